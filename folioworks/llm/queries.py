@@ -15,8 +15,14 @@ def op8_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_packing(spark, sf_dir):
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {"op8_bpe": op8_bpe}
+    return {"op8_bpe": op8_bpe, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:

@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
     # patterns number at most a few per class, whatever the input
-    placed = ranked.join(F.broadcast(table), (ranked.kind == table.kind) & (ranked.rank >= table.first) & (ranked.rank < table.last)).drop(table.kind)
+    placed = ranked.join(F.broadcast(table), "kind").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     k = F.col("rank") - F.col("first")
     placed = placed.withColumn("sequence_id", F.col("sequence") + F.floor(k / F.col("copies"))).withColumn("slot", F.col("place") + k % F.col("copies"))
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most size rows

@@ -9,6 +9,12 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality(spark, sf_dir):
+    from . import quality
+
+    return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark, sf_dir):
     from . import bpe
 
@@ -22,7 +28,7 @@ def op9_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op8_bpe": op8_bpe, "op9_packing": op9_packing}
+    return {"op5_quality": op5_quality, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:

@@ -9,6 +9,12 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark, sf_dir):
+    from . import pii
+
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark, sf_dir):
     from . import quality
 
@@ -28,7 +34,7 @@ def op9_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op5_quality": op5_quality, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
+    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:

@@ -21,6 +21,12 @@ def op5_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels"))
 
 
+def op7_html(spark, sf_dir):
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_bpe(spark, sf_dir):
     from . import bpe
 
@@ -34,7 +40,7 @@ def op9_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
+    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:

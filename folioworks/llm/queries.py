@@ -39,8 +39,14 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_jaccard(spark, sf_dir):
+    from . import jaccard
+
+    return jaccard.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
+    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict:

@@ -164,43 +164,48 @@ class UnitEncoder:
 
     A space between two characters that are no white space always begins a
     pre-token, so a text splits there without the pattern.  A text in which some
-    unit is empty or begins or ends with white space goes through the pattern as a
-    whole.  Values of units are kept in two generations of bounded size.
+    unit is empty or begins or ends with white space goes through ``value_of`` as
+    a whole.  Values of units are kept, by the unit without its space, in two
+    generations of bounded size; units with such edges are never kept, so they
+    show up as missing in every text.
     """
 
-    def __init__(self, value_of, join_all, most: int = 300_000, longest: int = 40):
-        self.value_of, self.join_all, self.most, self.longest = value_of, join_all, most, longest
+    def __init__(self, value_of, most: int = 400_000, longest: int = 40):
+        self.value_of, self.most, self.longest = value_of, most, longest
         self.young: dict = {}
         self.old: dict = {}
-        edge = re.compile(rf"^$|^[{SPACE}]|[{SPACE}]$")
-        self.edge = edge.search
+        self.edge = re.compile(rf"^$|^[{SPACE}]|[{SPACE}]$").search
 
     def values(self, text: str) -> list:
         units = text.split(" ")
-        if self.edge(units[0]) or any(map(self.edge, set(units))):
+        if self.edge(units[0]):
             return self.value_of([text])
-        units[1:] = [" " + u for u in units[1:]]
-        return self.of_units(units)
-
-    def of_units(self, units: list[str]) -> list:
-        get = self.young.get
-        found = [get(u) for u in units]
-        if None in found:
-            new = list({u for u, v in zip(units, found, strict=True) if v is None})
-            todo = []
-            for u in new:
-                v = self.old.get(u)
-                if v is None:
-                    todo.append(u)
-                else:
-                    self.young[u] = v
-            once = {}
-            for u, v in zip(todo, self.value_of(todo), strict=True) if todo else ():
-                (self.young if len(u) <= self.longest else once)[u] = v
-            found = [once[u] if u in once else self.young[u] for u in units] if once else [self.young[u] for u in units]
-            if len(self.young) > self.most:
-                self.old, self.young = self.young, {}
-        return found
+        if len(units) == 1:
+            return self.value_of(units)
+        head, rest = units[0], units[1:]
+        young = self.young
+        found = list(map(young.get, rest))
+        missing = [i for i, v in enumerate(found) if v is None] if None in found else []
+        new = {rest[i] for i in missing}
+        if new and any(map(self.edge, new)):
+            return self.value_of([text])
+        todo = []
+        for u in new:
+            v = self.old.get(u)
+            if v is None:
+                todo.append(u)
+            else:
+                young[u] = v
+        first, *made = self.value_of([head, *[" " + u for u in todo]])
+        long = {}
+        for u, v in zip(todo, made, strict=True):
+            (young if len(u) <= self.longest else long)[u] = v
+        for i in missing:
+            u = rest[i]
+            found[i] = young[u] if len(u) <= self.longest else long[u]
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return [first, *found]
 
 
 _ENCODERS: dict = {}
@@ -230,7 +235,7 @@ def encoder(path: str) -> UnitEncoder:
                 out.append((" ".join(map(str, ids)).encode(), two.decode(ids)))
             return out
 
-        _ENCODERS[path] = UnitEncoder(value_of, None)
+        _ENCODERS[path] = UnitEncoder(value_of)
     return _ENCODERS[path]
 
 

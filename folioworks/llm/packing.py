@@ -9,16 +9,18 @@ only the histogram, whose size does not depend on the data.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import UnitEncoder
+from .bpe import SPACE, UnitEncoder
 from .common import Scratch
 
 _ENCODERS: dict = {}
+BLANK = "\\x20"
 
 
 def id_encoder(path: str) -> UnitEncoder:
@@ -30,10 +32,50 @@ def id_encoder(path: str) -> UnitEncoder:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
 
-        def value_of(units: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+        edge = re.compile(rf"^ ?$|^ ?[{SPACE.replace(BLANK, '')}]|^  |[{SPACE}]$").search
+        newline = np.array(tok.encode("\n").ids, dtype="<u4")
+        mark = newline.tobytes()
+
+        def in_one(parts: list[str]) -> list[bytes]:
+            """Encodes many parts by one call: a newline between two of them is always a pre-token of its own."""
+            ids = np.array(tok.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.nonzero(ids == newline[0])[0]
+            data, at = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+            return [data[i:j] for i, j in zip(at, [*(4 * cuts).tolist(), len(data)], strict=True)]
 
-        _ENCODERS[path] = UnitEncoder(value_of, None)
+        stops = {c: np.array(tok.encode(c).ids, dtype="<u4").tobytes() for c in ",."}
+
+        def value_of(units: list[str]) -> list[bytes]:
+            """A unit is cut at newlines, and a last comma or full stop behind a letter is a pre-token of its own."""
+            whole, plans, parts, seen = {}, [], set(), enc.young
+            for u in units:
+                p = u.split("\n") if "\n" in u else (u,)
+                if any(map(edge, p)):
+                    whole[u] = None
+                    plans.append(None)
+                    continue
+                plan = []
+                for x in p:
+                    stop = stops[x[-1]] if x[-1] in stops and x[-2:-1].isalpha() else b""
+                    if stop:
+                        x = x[:-1]
+                    v = seen.get(x[1:]) if x[0] == " " else None
+                    if v is None:
+                        parts.add(x)
+                    plan.append((x, v, stop))
+                plans.append(plan)
+            parts = list(parts)
+            known = dict(zip(parts, in_one(parts), strict=True)) if parts else {}
+            for x, v in known.items():
+                if x[0] == " " and len(x) <= enc.longest:
+                    seen[x[1:]] = v
+            if whole:
+                whole = {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(whole, tok.encode_batch_fast(list(whole), add_special_tokens=False), strict=True)}
+            value = lambda x, v, stop: (known[x] if v is None else v) + stop
+            return [whole[u] if p is None else value(*p[0]) if len(p) == 1 else mark.join([value(*x) for x in p]) for u, p in zip(units, plans, strict=True)]
+
+        enc = UnitEncoder(value_of)
+        _ENCODERS[path] = enc
     return _ENCODERS[path]
 
 

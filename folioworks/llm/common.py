@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,9 @@ class Scratch:
         self.step += 1
         path = f"{self.root}/{self.step}"
         df.write.parquet(path)
+        # what shuffles of finished steps left on the executors' disks goes once the driver has collected its garbage
+        gc.collect()
+        self.spark._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back

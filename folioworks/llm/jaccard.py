@@ -71,6 +71,14 @@ def block_keys(hashes: np.ndarray, n: int, space: int) -> tuple[np.ndarray, bool
     return (np.concatenate(keys) if keys else np.zeros(0, dtype=U)), enough
 
 
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit keys of a set; the first names the set as a vertex."""
+    if not len(s):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        return int(np.bitwise_xor.reduce(mix(s, 21)).view(np.int64)), int(mix(s, 22).sum(dtype=U).view(np.int64))
+
+
 def signatures(docs: DataFrame, size: int, often: int) -> DataFrame:
     """One row (kind 0) per document: set size and two keys of its set; and (kind 1) shingles that ``often`` documents of a batch share."""
 
@@ -78,8 +86,7 @@ def signatures(docs: DataFrame, size: int, often: int) -> DataFrame:
         for pdf in batches:
             rows, sets = [], []
             for s in shingle_sets([t or "" for t in pdf.text], size):
-                with np.errstate(over="ignore"):
-                    rows.append((len(s), int(np.bitwise_xor.reduce(mix(s, 21)).view(np.int64)) if len(s) else 0, int(mix(s, 22).sum(dtype=U).view(np.int64)) if len(s) else 0))
+                rows.append((len(s), *set_keys(s)))
                 sets.append(s)
             own = pd.DataFrame(rows, columns=["n", "k1", "k2"])
             yield pd.DataFrame({"kind": np.int32(0), "doc_id": pdf.doc_id.astype("Int64").to_numpy(), "n": own.n, "k1": own.k1, "k2": own.k2}).astype({"doc_id": "Int64"})
@@ -93,20 +100,24 @@ def signatures(docs: DataFrame, size: int, often: int) -> DataFrame:
 
 
 def blobs(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
-    """Join keys and their documents, as one pair of arrays for each batch and part of the key space."""
+    """Join keys and their vertices, as one pair of arrays for each batch and part of the key space."""
 
     def run(batches):
-        skip = frequent.value
+        skip, seen = frequent.value, set()
         for pdf in batches:
             keys, ids = [], []
-            for doc_id, s in zip(pdf.doc_id.tolist(), shingle_sets([t or "" for t in pdf.text], size), strict=True):
+            for s in shingle_sets([t or "" for t in pdf.text], size):
+                vertex = set_keys(s)
+                if vertex in seen or not len(s):  # equal sets of one input partition go out once
+                    continue
+                seen.add(vertex)
                 at = np.searchsorted(skip, s) if len(skip) else None
                 rare = s[skip[np.minimum(at, len(skip) - 1)] != s] if len(skip) else s
                 k, enough = block_keys(rare, len(s), 0)
                 if not enough:
                     k = np.concatenate([k, block_keys(s, len(s), 1)[0]])
                 keys.append(k)
-                ids.append(np.full(len(k), doc_id, dtype=np.int64))
+                ids.append(np.full(len(k), vertex[0], dtype=np.int64))
             if not keys:
                 continue
             k, d = np.concatenate(keys), np.concatenate(ids)
@@ -139,10 +150,22 @@ def shared_lists(own: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"list": np.repeat(name[many].view(np.int64), total), "hub": np.repeat(docs[first[many]], total), "doc": docs[at]})
 
 
+BITMAP = 1 << 24
+
+
+def bitmap(vertices: DataFrame) -> np.ndarray:
+    """A bit for each vertex, by its lowest bits: 2 MB whatever the input.  It only saves rows; an exact join follows."""
+    low = F.col("v").bitwiseAND(BITMAP - 1)
+    words = vertices.select(F.shiftright(low, 5).alias("w"), F.expr("shiftleft(1L, cast(v & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(BITMAP >> 5, dtype=np.uint32)
+    out[words.w.to_numpy(dtype=np.int64)] = words.b.to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
-    one = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
-    two = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
+    one = sets.select(F.col("v").alias("b"), F.col("items").alias("items_b"))
+    two = sets.select(F.col("v").alias("a"), F.col("items").alias("items_a"))
 
     def run(batches):
         for pdf in batches:
@@ -150,7 +173,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for x, y in zip(pdf.items_a, pdf.items_b, strict=True):
                 p, q = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
                 at = np.searchsorted(p, q)
-                both = int((p[np.minimum(at, len(p) - 1)] == q).sum()) if len(p) else 0
+                both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
@@ -163,8 +186,9 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     Documents link when 100 * |A and B| >= ``percent`` * |A or B| over their
     distinct shingles (``percent`` is 75 or more); component_id is the least id that
     links reach.  A document of fewer words than ``size`` is one shingle; one
-    without words, or null, has none and links with nothing.  Rows of one id are one
-    vertex; a row with a null id has a null component.  Other columns are not read.
+    without words, or null, has none and links with nothing.  Each row is judged by
+    its own text, also where ids repeat; a row with a null id has a null component
+    but for the ids it links with.  Other columns are not read.
     """
     if percent < 75:
         raise ValueError("the bounds on blocks hold from 75 percent on")
@@ -176,20 +200,29 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     # at most `most` hashes come to the driver; which ones has no bearing on the result
     hot = both.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(most).select("k1").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(hot.k1.to_numpy(dtype=np.int64).view(U)))
-    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    classes = scratch.save(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     total = classes.agg(F.sum("n")).collect()[0][0] or 0
-    reps = classes.select(F.col("rep").alias("doc_id"))
     parts = max(shuffle_partitions(spark), total // 3_000_000)
-    chosen = docs.join(reps, "doc_id", "left_semi")
-    lists = scratch.save(blobs(chosen, size, frequent, parts).groupBy("part").applyInPandas(shared_lists, "list long, hub long, doc long"))
-    lists = scratch.save(lists.distinct().join(classes.select(F.col("rep").alias("doc"), "n"), "doc"))
+    found = blobs(docs, size, frequent, parts).groupBy("part").applyInPandas(shared_lists, "list long, hub long, doc long")
+    raw = scratch.save(found)
+    lists = scratch.save(raw.distinct().join(classes.select(F.col("k1").alias("doc"), "n"), "doc"))
+    scratch.drop(raw)
+    wanted = lists.select(F.col("doc").alias("v")).distinct()
+    filled = spark.sparkContext.broadcast(bitmap(wanted))
 
     def cut(batches):
+        seen, bits = set(), filled.value
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "items": [s.tobytes() for s in shingle_sets(pdf.text.tolist(), size)]})
-
-    wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
-    sets = scratch.save(docs.where("doc_id is not null and text is not null").join(wanted, "doc_id", "left_semi").join(reps, "doc_id", "left_semi").mapInPandas(cut, "doc_id long, items binary").where("length(items) > 0").dropDuplicates(["doc_id", "items"]))
+            rows = []
+            for s in shingle_sets([t or "" for t in pdf.text], size):
+                v = set_keys(s)[0]
+                at = v & (BITMAP - 1)
+                if len(s) and v not in seen and bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
+                    seen.add(v)
+                    rows.append((v, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["v", "items"])
+
+    sets = scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
     near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     hubs = lists.where("doc = hub").select("list", F.col("n").alias("hub_n"))
     stars = lists.join(hubs, "list").where(F.col("doc") != F.col("hub")).where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
@@ -199,9 +232,11 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     others = lists.where(F.col("doc") != F.col("hub")).select("list", F.col("doc").alias("other"), F.col("n").alias("other_n"))
     rest = apart.join(others, "list").where(F.col("doc") != F.col("other")).where(near(F.col("n"), F.col("other_n")))
     rest = rest.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    second = verified(rest.join(first, ["a", "b"], "left_anti"), sets, percent)
-    found = components(first.unionByName(second), scratch)
-    grouped = classes.join(found, classes.rep == found.id, "left").select("n", "k1", "k2", "members", "rep", F.coalesce("component", "rep").alias("component"))
-    grouped = grouped.where("members > 1 or component != rep").drop("members", "rep")
+    second = scratch.save(verified(rest.join(first, ["a", "b"], "left_anti"), sets, percent))
+    scratch.drop(sets, lists)
+    near_by = components(first.unionByName(second), scratch)
+    tagged = classes.join(near_by, classes.k1 == near_by.id, "left").select("n", "k1", "k2", "members", "rep", F.coalesce("component", "k1").alias("vertex"))
+    least = tagged.groupBy("vertex").agg(F.min("rep").alias("component"), F.sum("members").alias("all"))
+    grouped = tagged.join(least.where("all > 1"), "vertex").select("n", "k1", "k2", "component")
     out = rows.join(grouped, ["n", "k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

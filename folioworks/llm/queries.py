@@ -21,6 +21,12 @@ def op5_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels"))
 
 
+def op6_lines(spark, sf_dir):
+    from . import line_dedup
+
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_html(spark, sf_dir):
     from . import html_text
 
@@ -46,7 +52,7 @@ def op10_jaccard(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
+    return {"op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict:

@@ -151,7 +151,7 @@ def column_generation(hist: dict[int, int], size: int, gap: float = 1e-3, rounds
     for _ in range(rounds):
         duals = inverse.sum(axis=0)
         worth, new = best_pattern(size, lengths, duals)
-        if worth <= 1 + gap:
+        if worth <= 1 + gap or x.sum() * (1 - 1 / worth) < 0.5:  # within the gap, or half a sequence, of the bound
             break
         way = sum(inverse[:, i] * c for i, c in new.items())
         ratios = np.full(m, np.inf)

@@ -15,6 +15,12 @@ def op2_vectors(spark, sf_dir):
     return near_vectors.dedup_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op3_lm(spark, sf_dir):
+    from . import lm
+
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark, sf_dir):
     from . import pii
 
@@ -58,7 +64,7 @@ def op10_jaccard(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op2_vectors": op2_vectors, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
+    return {"op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict:

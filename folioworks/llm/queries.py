@@ -9,6 +9,12 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark, sf_dir):
+    from . import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_vectors(spark, sf_dir):
     from . import near_vectors
 
@@ -64,7 +70,7 @@ def op10_jaccard(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
+    return {"op1_ann": op1_ann, "op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict:

@@ -79,24 +79,41 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
         return int(np.bitwise_xor.reduce(mix(s, 21)).view(np.int64)), int(mix(s, 22).sum(dtype=U).view(np.int64))
 
 
-def signatures(docs: DataFrame, size: int, often: int) -> DataFrame:
-    """One row (kind 0) per document: set size and two keys of its set; and (kind 1) shingles that ``often`` documents of a batch share."""
+def parity(s: np.ndarray) -> bytes:
+    """The plain parity sketch of a set, of a power of two bits, at least as many as shingles."""
+    bits = max(256, 1 << max(0, int(len(s) - 1).bit_length()))
+    flips = np.bincount((mix(s, 41) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two sketches; the longer one is folded, which keeps parity."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """One row (kind 0) per document: set size, two keys of its set and its sketch; and (kind 1) shingles that documents of a batch share."""
 
     def run(batches):
         for pdf in batches:
             rows, sets = [], []
             for s in shingle_sets([t or "" for t in pdf.text], size):
-                rows.append((len(s), *set_keys(s)))
+                rows.append((len(s), *set_keys(s), parity(s)))
                 sets.append(s)
-            own = pd.DataFrame(rows, columns=["n", "k1", "k2"])
-            yield pd.DataFrame({"kind": np.int32(0), "doc_id": pdf.doc_id.astype("Int64").to_numpy(), "n": own.n, "k1": own.k1, "k2": own.k2}).astype({"doc_id": "Int64"})
+            own = pd.DataFrame(rows, columns=["n", "k1", "k2", "sketch"])
+            yield pd.DataFrame({"kind": np.int32(0), "doc_id": pdf.doc_id.astype("Int64").to_numpy(), "n": own.n, "k1": own.k1, "k2": own.k2, "sketch": own.sketch}).astype({"doc_id": "Int64"})
             if sets:
                 values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                hot = counts >= often
+                hot = counts >= 2
                 if hot.any():
-                    yield pd.DataFrame({"kind": np.int32(1), "doc_id": pd.array([None] * int(hot.sum()), dtype="Int64"), "n": counts[hot].astype(np.int64), "k1": values[hot].view(np.int64), "k2": np.int64(0)})
+                    yield pd.DataFrame({"kind": np.int32(1), "doc_id": pd.array([None] * int(hot.sum()), dtype="Int64"), "n": counts[hot].astype(np.int64), "k1": values[hot].view(np.int64), "k2": np.int64(0), "sketch": None})
 
-    return docs.mapInPandas(run, "kind int, doc_id long, n long, k1 long, k2 long")
+    return docs.mapInPandas(run, "kind int, doc_id long, n long, k1 long, k2 long, sketch binary")
 
 
 def blobs(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
@@ -162,6 +179,20 @@ def bitmap(vertices: DataFrame) -> np.ndarray:
     return out
 
 
+def close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches are no further apart than linked sets can be."""
+    one = sketches.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+
+    def run(batches):
+        for pdf in batches:
+            most = ((pdf.n_a + pdf.n_b) * (100 - percent)) // (100 + percent)
+            keep = [apart(x, y) <= m for x, y, m in zip(pdf.sketch_a, pdf.sketch_b, most.tolist(), strict=True)]
+            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
     one = sets.select(F.col("v").alias("b"), F.col("items").alias("items_b"))
@@ -180,7 +211,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").mapInPandas(run, "a long, b long").distinct()
 
 
-def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 75, often: int = 6, most: int = 200_000) -> DataFrame:
+def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 75, often: int = 12, most: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Documents link when 100 * |A and B| >= ``percent`` * |A or B| over their
@@ -195,19 +226,36 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    both = scratch.save(signatures(docs, size, often))
-    rows = both.where("kind = 0").drop("kind")
+    both = scratch.save(signatures(docs, size))
+    rows = both.where("kind = 0").drop("kind", "sketch")
     # at most `most` hashes come to the driver; which ones has no bearing on the result
-    hot = both.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(most).select("k1").toPandas()
+    hot = both.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "k1").limit(most).select("k1").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(hot.k1.to_numpy(dtype=np.int64).view(U)))
-    classes = scratch.save(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    classes = scratch.save(both.where("kind = 0 and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch")))
     total = classes.agg(F.sum("n")).collect()[0][0] or 0
     parts = max(shuffle_partitions(spark), total // 3_000_000)
     found = blobs(docs, size, frequent, parts).groupBy("part").applyInPandas(shared_lists, "list long, hub long, doc long")
     raw = scratch.save(found)
     lists = scratch.save(raw.distinct().join(classes.select(F.col("k1").alias("doc"), "n"), "doc"))
     scratch.drop(raw)
-    wanted = lists.select(F.col("doc").alias("v")).distinct()
+    sketches = classes.select(F.col("k1").alias("v"), "n", "sketch")
+    near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
+
+    def meet(some: DataFrame) -> DataFrame:
+        """Pairs of the given members with all others of their lists."""
+        others = lists.select("list", F.col("doc").alias("other"), F.col("n").alias("other_n"))
+        pairs = some.join(others, "list").where(F.col("doc") != F.col("other")).where(near(F.col("n"), F.col("other_n")))
+        return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+    hubs = lists.where("doc = hub").select("list", F.col("n").alias("hub_n"))
+    members = lists.where("doc != hub")
+    stars = members.join(hubs, "list").where(near(F.col("n"), F.col("hub_n"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    stars = scratch.save(close(stars, sketches, percent))
+    ends = lambda: (F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    # members of a list whose sketch is near the hub's wait for the check; each of the others meets all
+    rest = meet(members.select("*", *ends()).join(stars, ["a", "b"], "left_anti").select("list", "doc", "n"))
+    pairs = scratch.save(close(rest, sketches, percent).unionByName(stars).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     filled = spark.sparkContext.broadcast(bitmap(wanted))
 
     def cut(batches):
@@ -223,19 +271,19 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
             yield pd.DataFrame(rows, columns=["v", "items"])
 
     sets = scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
-    near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    hubs = lists.where("doc = hub").select("list", F.col("n").alias("hub_n"))
-    stars = lists.join(hubs, "list").where(F.col("doc") != F.col("hub")).where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    first = scratch.save(verified(stars, sets, percent))
-    # of a list, those that are linked with its hub are one group already; each of the others meets all
-    apart = lists.where(F.col("doc") != F.col("hub")).join(first.select(F.col("a").alias("hub"), F.col("b").alias("doc")), ["hub", "doc"], "left_anti")
-    others = lists.where(F.col("doc") != F.col("hub")).select("list", F.col("doc").alias("other"), F.col("n").alias("other_n"))
-    rest = apart.join(others, "list").where(F.col("doc") != F.col("other")).where(near(F.col("n"), F.col("other_n")))
-    rest = rest.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    second = scratch.save(verified(rest.join(first, ["a", "b"], "left_anti"), sets, percent))
+    first = scratch.save(verified(pairs, sets, percent))
+    # and so do those that are near the hub by sketch only; their sets may be any of their lists'
+    missed = members.select("*", *ends()).join(stars.join(first, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("list", "doc", "n")
+    late = scratch.save(close(meet(missed), sketches, percent).join(pairs, ["a", "b"], "left_anti"))
+    if late.limit(1).collect():
+        wanted = late.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        filled = spark.sparkContext.broadcast(bitmap(wanted))
+        scratch.drop(sets)
+        sets = scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
+        first = first.unionByName(scratch.save(verified(late, sets, percent)))
     scratch.drop(sets, lists)
-    near_by = components(first.unionByName(second), scratch)
-    tagged = classes.join(near_by, classes.k1 == near_by.id, "left").select("n", "k1", "k2", "members", "rep", F.coalesce("component", "k1").alias("vertex"))
+    near_by = components(first, scratch)
+    tagged = classes.drop("sketch").join(near_by, F.col("k1") == F.col("id"), "left").select("n", "k1", "k2", "members", "rep", F.coalesce("component", "k1").alias("vertex"))
     least = tagged.groupBy("vertex").agg(F.min("rep").alias("component"), F.sum("members").alias("all"))
     grouped = tagged.join(least.where("all > 1"), "vertex").select("n", "k1", "k2", "component")
     out = rows.join(grouped, ["n", "k1", "k2"], "left")

@@ -27,17 +27,19 @@ def normalised(line):
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _simhash(lines: DataFrame) -> DataFrame:
-    """Adds s1 and s2: bit i is set where more than half of the words' hashes have it."""
-    word = lines.select("h1", "h2", F.explode(F.split("norm", " ")).alias("w")).select("h1", "h2", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
-    step = 64 // LANES + 1  # 22 shifts of three lanes cover 64 bits
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Distinct lines as (v, s1, s2, n, place), from occurrences (h1, h2, place, norm), by one aggregation over all words.
+
+    Bit i of the SimHash is set where more than half of the words' hashes have it;
+    an occurrence more adds to both sides alike, so repeats need not go first and no
+    text is shuffled.  Everything that is summed has a fixed width.
+    """
+    n = F.length("norm").cast("long").alias("n")
+    word = lines.select("h1", "h2", "place", n, F.explode(F.split("norm", " ")).alias("w"))
+    word = word.select("h1", "h2", "place", "n", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
     mask = sum(1 << (LANE_BITS * k) for k in range(LANES))
-    sums = []
-    for name in ("a", "b"):
-        for i in range(step):
-            # lane k of sum i counts bit i + 21 k + k' of the hash, see bit_at()
-            sums.append(F.sum(F.shiftrightunsigned(name, i).bitwiseAND(F.lit(mask))).alias(f"{name}{i}"))
-    counted = word.groupBy("h1", "h2").agg(F.count("*").alias("words"), *sums)
+    sums = [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(mask))).alias(f"{x}{i}") for x in ("a", "b") for i in range(LANE_BITS + 1)]
+    counted = word.groupBy("h1", "h2").agg(F.count("*").alias("words"), F.min("place").alias("place"), F.max("n").alias("n"), *sums)
     bit_at = lambda i: (i % LANE_BITS, i // LANE_BITS) if i < 63 else (LANE_BITS, 2)
 
     def packed(name):
@@ -48,7 +50,7 @@ def _simhash(lines: DataFrame) -> DataFrame:
             bits.append(F.when(count * 2 > F.col("words"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
         return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
-    return counted.select("h1", "h2", packed("a").alias("s1"), packed("b").alias("s2"))
+    return counted.select(F.col("h1").alias("v"), packed("a").alias("s1"), packed("b").alias("s2"), "n", "place")
 
 
 def _blocks():
@@ -72,51 +74,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
 
+WIDE = 1 << 31  # more than any line number
+
+
+def _identity():
+    """The id that orders documents; null ids come last and count as one."""
+    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+
+
+def _texts(base: DataFrame, hashed: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, norm) of the wanted lines, fetched from where they occur first."""
+    at = hashed.join(wanted, "v", "left_semi").select("v", F.floor(F.col("place") / WIDE).cast("long").alias("id"), F.pmod(F.col("place"), F.lit(WIDE).cast("decimal(38,0)")).cast("int").alias("pos"))
+    by_doc = at.groupBy("id").agg(F.collect_list(F.struct("v", "pos")).alias("some"))
+    got = base.select("id", F.split("text", "\n").alias("rows")).join(by_doc, "id").select(F.explode(F.transform("some", lambda x: F.struct(x["v"].alias("v"), F.get(F.col("rows"), x["pos"]).alias("line")))).alias("e"))
+    got = got.select("e.v", normalised(F.col("e.line")).alias("norm"))
+    return scratch.save(got.where(F.xxhash64("norm") == F.col("v")).dropDuplicates(["v"]))
+
+
 def mark_lines(docs: DataFrame, scratch: Scratch, text: str = "text", similarity: float = 0.85, max_bits: int = 40) -> DataFrame:
-    """(rk, flags): for each distinct (id, text), whether each of its lines stays, in order."""
-    base = docs.select("doc_id", F.col(text).alias("text")).where(F.col(text).isNotNull())
-    occ = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    occ = occ.select("doc_id", "rk", "pos", normalised(F.col("line")).alias("norm"))
-    occ = occ.select("doc_id", "rk", "pos", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(7)).alias("h2"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk", "pos")
-    lines = occ.where("norm != ''").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("norm").alias("norm"))
-    lines = scratch.save(lines)
-    hashed = scratch.save(lines.select("h1", "h2", "norm").transform(_simhash).join(lines.select("h1", "h2", F.length("norm").alias("n")), ["h1", "h2"]).select(F.col("h1").alias("v"), "s1", "s2", "n"))
+    """(id, flags): for each document, whether each of its lines stays, in order."""
+    base = docs.select(_identity().alias("id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    occ = base.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normalised(F.col("line")).alias("norm"))
+    place = (F.col("id").cast("decimal(20,0)") * F.lit(WIDE).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
+    occ = occ.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7))).withColumn("place", place)
+    hashed = scratch.save(_hashed(occ.where("norm != ''")))
     # bands of length, half again as long each; a line near the lower end of its band is also in the one below
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.5)))
     bands = F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * similarity)))
-    keys = hashed.select("v", "s1", "s2", "n", F.explode(bands).alias("band"), F.lit(0).alias("z")).select("v", "s1", "s2", "n", "band", F.explode(_blocks()).alias("block"))
+    keys = hashed.select("v", "s1", "s2", "n", F.explode(bands).alias("band")).select("v", "s1", "s2", "n", "band", F.explode(_blocks()).alias("block"))
     keys = keys.select(F.xxhash64("block", "band").alias("list"), "v", "s1", "s2", "n")
-    hub = keys.groupBy("list").agg(F.min(F.struct("v", "s1", "s2", "n")).alias("hub"), F.count("*").alias("all")).where("all > 1")
-    lists = keys.join(hub, "list").select("list", "v", "s1", "s2", "n", F.col("hub.v").alias("hub"), F.col("hub.s1").alias("h1"), F.col("hub.s2").alias("h2"), F.col("hub.n").alias("hn"))
-    lists = scratch.save(lists.where("v != hub"))
+    # most keys are of one line: they go by a count of their hashes before anything else moves
+    shared = keys.groupBy("list").agg(F.count("*").alias("all"), F.min("v").alias("hub")).where("all > 1").drop("all")
+    lists = keys.join(shared, "list")
+    hubs = lists.where("v = hub").select("list", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("n").alias("hn"))
+    lists = scratch.save(lists.where("v != hub").join(hubs, "list"))
     alike = lambda p, q: F.least(p, q) >= F.greatest(p, q) * similarity
     stars = lists.where((_distance("s", "h") <= max_bits) & alike(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
     stars = scratch.save(stars)
     # members of a list that do not come near its hub meet all others of the list
-    far = lists.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("v")), ["hub", "v"], "left_anti")
+    far = lists.where((_distance("s", "h") > max_bits) | ~alike(F.col("n"), F.col("hn")))
     other = lists.select("list", F.col("v").alias("w"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("n").alias("on"))
 
     def meet(some: DataFrame) -> DataFrame:
         met = some.join(other, "list").where((F.col("v") != F.col("w")) & (_distance("s", "o") <= max_bits) & alike(F.col("n"), F.col("on")))
         return met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
-    apart = scratch.save(meet(far))
-    wanted = stars.unionByName(apart).select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    texts = scratch.save(lines.select(F.col("h1").alias("v"), "norm").join(wanted, "v", "left_semi").dropDuplicates(["v"]))
-    near = scratch.save(_verified(stars.unionByName(apart).distinct(), texts, similarity))
-    # and those that come near it by bits only, not by edits
+    pairs = scratch.save(stars.unionByName(meet(far)).distinct())
+    ends = F.explode(F.array("a", "b")).alias("v")
+    texts = _texts(base, hashed, pairs.select(ends).distinct(), scratch)
+    near = scratch.save(_verified(pairs, texts, similarity))
+    # and so do those that come near it by bits only, not by edits
     missed = stars.join(near, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("v"))
-    late = meet(lists.join(missed, ["hub", "v"], "left_semi")).join(near, ["a", "b"], "left_anti")
-    more = late.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    late = scratch.save(late)
-    extra = lines.select(F.col("h1").alias("v"), "norm").join(more, "v", "left_semi").dropDuplicates(["v"])
-    found = components(near.unionByName(_verified(late, extra, similarity)), scratch)
-    kept = lines.select("h1", "place").join(found, F.col("h1") == F.col("id"), "left").groupBy(F.coalesce("component", "h1").alias("c")).agg(F.min("place").alias("p"))
-    kept = kept.select(F.col("p.rk").alias("rk"), F.col("p.pos").alias("pos"), F.lit(True).alias("stays"))
-    marked = occ.select("rk", "pos", (F.col("norm") == "").alias("blank")).join(kept, ["rk", "pos"], "left")
-    marked = marked.select("rk", F.struct("pos", (F.col("blank") | F.coalesce("stays", F.lit(False))).alias("stays")).alias("one")).distinct()
-    return scratch.save(marked.groupBy("rk").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["stays"]).alias("flags")))
+    late = scratch.save(meet(lists.join(missed, ["hub", "v"], "left_semi")).join(pairs, ["a", "b"], "left_anti"))
+    scratch.drop(texts, lists, stars)
+    if late.limit(1).collect():
+        near = near.unionByName(_verified(late, _texts(base, hashed, late.select(ends).distinct(), scratch), similarity))
+    found = components(near, scratch)
+    # lines that repeat: each of a linked group but the first, and each occurrence beyond the first
+    kept = hashed.select("v", "place").join(found, F.col("v") == F.col("id"), "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("place").alias("place"))
+    marked = occ.select("id", "pos", "place", (F.col("norm") == "").alias("blank")).join(kept.select("place", F.lit(True).alias("stays")), "place", "left")
+    marked = marked.select("id", F.struct("pos", (F.col("blank") | F.coalesce("stays", F.lit(False))).alias("stays")).alias("one"))
+    sorted_ones = marked.groupBy("id").agg(F.array_sort(F.collect_set("one")).alias("a"))
+    # where texts of one id differ, the last entry of a line number is the one that stays
+    last = F.filter("a", lambda x, i: F.coalesce(F.get(F.col("a"), i + 1)["pos"] != x["pos"], F.lit(True)))
+    return scratch.save(sorted_ones.select("id", F.transform(last, lambda x: x["stays"]).alias("flags")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = 0.85, max_bits: int = 40) -> DataFrame:
@@ -125,18 +146,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = 0.85, m
     Every line with a letter or a digit takes part, however short; lines without
     are always kept.  A null text stays null with no lines; an empty one is one
     blank line.  Of exact and fuzzy repeats the occurrence of least (doc_id, line
-    number) stays, null ids last.  Rows equal in id and text are one document and
-    come out alike.  Other columns are passed on as they are, unless they are
-    called n_lines or n_removed, which are replaced.
+    number) stays, null ids last.  Rows of one id are one document: what they have
+    alike at the same line number stays in all of them.  Other columns are passed on
+    as they are, but n_lines and n_removed, if there are any, are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    flags = mark_lines(docs, scratch, text, similarity, max_bits)
+    flags = mark_lines(docs, scratch, text, similarity, max_bits).select(F.col("id").alias("__id"), F.col("flags").alias("__flags"))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    joined = docs.select(*cols, _identity().alias("__id")).join(flags, "__id", "left")
     parts = F.split(text, "\n")
-    keyed = docs.select(*cols, F.xxhash64("doc_id", text).alias("__rk"))
-    joined = keyed.join(flags.withColumnRenamed("rk", "__rk").withColumnRenamed("flags", "__flags"), "__rk", "left")
-    stays = F.filter(parts, lambda x, i: F.element_at(F.col("__flags"), i + 1))
-    out = joined.withColumn("__parts", stays).withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("__flags")).cast("long"))
+    stays = F.filter(parts, lambda x, i: F.coalesce(F.get(F.col("__flags"), i), F.lit(True)))
+    out = joined.withColumn("__parts", stays).withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__parts")).cast("long"))
     out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("__parts", "\n")))
     return out.select(*cols, "n_lines", "n_removed")

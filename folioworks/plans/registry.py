@@ -1,15 +1,525 @@
-"""Registered queries of the document operators."""
+"""Registered queries over the test tables, each with its DuckDB statement where SQL has one.
+
+Bindings: a document is a file of the project named by its source; its language
+stands for a file type; conversations are blocks of contracts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from folioworks.functions import lexicons as lx
+from folioworks.functions import text as tx
+from folioworks.operators import classify, evidence, fusion, graph, measure, people, privacy, segment
+from folioworks.sources import files as src
+from folioworks.streaming import uploads
+
+NOW = "2024-06-01 00:00:00"
+TYPES = {"en": "docx", "de": "pptx", "fr": "pdf", "es": "txt"}
+SIMPLE_RULES = (privacy.RULES[0], privacy.RULES[3])
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("project_id"), F.col("doc_id").alias("file_ord"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), kinds[F.col("lang")].alias("file_type"), "text")
+
+
+FILES_SQL = """files AS (SELECT source AS project_id, doc_id AS file_ord, 'doc_' || doc_id || '.txt' AS filename,
+  CASE lang WHEN 'en' THEN 'docx' WHEN 'de' THEN 'pptx' WHEN 'fr' THEN 'pdf' ELSE 'txt' END AS file_type, text FROM documents)"""
+#: white space at both ends, as the Unicode-aware strip sees it
+STRIP = lambda c: f"regexp_replace({c}, '^[\\s\\x0B\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+Q: dict = {}
+SQL: dict = {}
+
+
+def query(name, sql=None):
+    def add(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql.replace("{FILES}", FILES_SQL)
+        return f
+
+    return add
+
+
+def joined(col, sep="|"):
+    return F.array_join(col, sep)
+
+
+# ---- sources
+
+
+@query("src_03_file_kind", "WITH {FILES} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lower(filename) LIKE '%screenshot%' THEN 'screenshot' WHEN filename LIKE '%.txt' THEN 'text' ELSE 'other' END AS kind FROM files) GROUP BY kind")
+def _(spark, sf):
+    return src.with_file_kind(files(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("src_04_snapshot_type", "WITH {FILES} SELECT file_ord, filename AS source_name, 'txt' AS source_type FROM files WHERE filename LIKE '%.txt'")
+def _(spark, sf):
+    return src.corpus_snapshot_type(files(spark, sf)).select("file_ord", "source_name", "source_type")
+
+
+@query("src_05_list_projects", "SELECT o_custkey AS project_id, max(o_orderdate) AS updated_at FROM orders GROUP BY o_custkey ORDER BY updated_at DESC, project_id LIMIT 50")
+def _(spark, sf):
+    p = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.max("o_orderdate").alias("updated_at")).withColumn("created_at", F.col("updated_at"))
+    return src.list_projects(p).select("project_id", "updated_at")
+
+
+# ---- text
+
+
+@query("txt_01_normalize_text", "WITH {FILES} SELECT file_ord, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'))) AS digest FROM files")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", F.md5(tx.normalize_text(F.col("text"))).alias("digest"))
+
+
+@query("txt_05_text_key", "WITH {FILES} SELECT file_ord, left(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), 120) AS text_key FROM files")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", tx.text_key(F.col("text")).alias("text_key"))
+
+
+@query("txt_06_slugify", "SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 64) AS slug FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.slugify(F.col("url")).alias("slug"))
+
+
+@query("txt_07_label_tokens", "WITH {FILES}, t AS (SELECT file_ord, unnest(regexp_split_to_array(text, '[,;|\\n•·]')) AS x FROM files), u AS (SELECT file_ord, regexp_replace(x, '^[\\s\\-–—]+|[\\s\\-–—]+$', '', 'g') AS x FROM t) SELECT file_ord, count(*) AS n, sum(length(x))::BIGINT AS chars FROM u WHERE length(x) BETWEEN 3 AND 80 GROUP BY file_ord")
+def _(spark, sf):
+    rows = files(spark, sf).select("file_ord", F.explode(tx.label_tokens(F.col("text"))).alias("x"))
+    return rows.groupBy("file_ord").agg(F.count("*").alias("n"), F.sum(F.length("x")).cast("long").alias("chars"))
+
+
+@query("txt_08_sentences", "WITH {FILES}, t AS (SELECT file_ord, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM files) SELECT file_ord, count(*) AS n, sum(length(trim(x)))::BIGINT AS chars FROM t WHERE length(trim(x)) > 25 GROUP BY file_ord")
+def _(spark, sf):
+    rows = files(spark, sf).select("file_ord", F.explode(tx.sentences(F.col("text"))).alias("x"))
+    return rows.groupBy("file_ord").agg(F.count("*").alias("n"), F.sum(F.length("x")).cast("long").alias("chars"))
+
+
+@query("txt_09_first_paragraph", "WITH {FILES} SELECT file_ord, md5(trim(regexp_split_to_array(trim(text), '\\n[ \\t]*\\n')[1])) AS digest FROM files")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", F.md5(tx.first_paragraph(F.col("text"))).alias("digest"))
+
+
+@query("txt_11_keywords", """WITH {FILES}, w AS (SELECT file_ord, unnest(regexp_extract_all(lower(text), '[а-яёa-z]{5,}')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[а-яёa-z]{5,}'), 1) AS pos FROM files),
+  c AS (SELECT file_ord, word, count(*) AS n, min(pos) AS p FROM w WHERE word <> 'slide' GROUP BY file_ord, word)
+  SELECT file_ord, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY n DESC, p)::INTEGER AS rank FROM c) WHERE rank <= 12""")
+def _(spark, sf):
+    return evidence.extract_keywords(files(spark, sf), ("file_ord",))
+
+
+@query("txt_12_sanitize_url", "SELECT page_id, CASE WHEN regexp_matches(lower(trim(url)), '^(javascript|vbscript|data|file):') THEN NULL WHEN regexp_matches(lower(trim(url)), '^https?://[^\\s]+$') THEN trim(url) END AS safe_url FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.sanitize_url(F.col("url")).alias("safe_url"))
+
+
+@query("txt_16_context_budget", """WITH {FILES}, p AS (SELECT project_id, file_ord, least(length(text), 3000) AS n FROM files),
+  q AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY project_id ORDER BY file_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+  SELECT project_id, file_ord, least(n, 12000 - before)::BIGINT AS used FROM q WHERE before < 12000""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    p = files(spark, sf).select("project_id", "file_ord", F.least(F.length("text"), F.lit(3000)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("project_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return p.withColumn("before", before).where("before < 12000").select("project_id", "file_ord", F.least(F.col("n"), 12000 - F.col("before")).cast("long").alias("used"))
+
+
+@query("txt_17_hash16", "WITH {FILES} SELECT file_ord, left(sha256(text), 16) AS h FROM files")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", tx.hash16(F.col("text")).alias("h"))
+
+
+@query("txt_18_person_key", "SELECT c_custkey, lower(c_name) AS person FROM customer")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", tx.normalize_person(F.col("c_name")).alias("person"))
+
+
+@query("txt_19_canonical_tech", "SELECT event_type, event_type AS tech, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, sf):
+    return table(spark, sf, "events").withColumn("tech", tx.canonical_tech(F.col("event_type"))).groupBy("event_type", "tech").agg(F.count("*").alias("n"))
+
+
+@query("txt_20_combine_text", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE text <> '' GROUP BY conv_id")
+def _(spark, sf):
+    part = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return table(spark, sf, "conversations").where("text <> ''").groupBy("conv_id").agg(F.md5(F.array_join(part, "\n\n")).alias("digest"))
+
+
+# ---- segments
+
+
+def slides(spark, sf):
+    """Conversations as slide decks of one text each."""
+    c = table(spark, sf, "conversations")
+    part = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("Slide "), (F.col("turn") + 1).cast("string"), F.lit(":\n"), "text").alias("t")))), lambda x: x["t"])
+    return c.groupBy(F.col("conv_id").alias("file_ord")).agg(F.array_join(part, "\n").alias("text")).withColumn("project_id", F.lit("p")).withColumn("file_type", F.lit("pptx"))
+
+
+@query("seg_01_split_slides", "SELECT conv_id AS file_ord, (turn + 1)::INTEGER AS location_index, length(trim('Slide ' || (turn + 1) || ':' || chr(10) || text)) AS chars FROM conversations")
+def _(spark, sf):
+    return segment.split_slides(slides(spark, sf)).select("file_ord", "location_index", F.length("text").cast("long").alias("chars"))
+
+
+@query("seg_03_split_headings")
+def _(spark, sf):
+    return segment.split_headings(files(spark, sf)).select("file_ord", "location_index", "title", F.md5("text").alias("digest"))
+
+
+@query("seg_04_split_paragraphs", """WITH {FILES}, b AS (SELECT file_ord, text, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS blocks,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 40) AS rows FROM files WHERE trim(text) <> ''),
+  p AS (SELECT file_ord, text, CASE WHEN len(blocks) <= 1 AND length(text) > 400 THEN rows ELSE blocks END AS parts FROM b),
+  n AS (SELECT file_ord, len(list_filter(parts, lambda x: length(x) >= 15)) AS k, list_sum(list_transform(list_filter(parts, lambda x: length(x) >= 15), lambda x: length(x))) AS c, length(text) AS whole FROM p)
+  SELECT file_ord, CASE WHEN k > 0 THEN k ELSE 1 END AS n, CASE WHEN k > 0 THEN c ELSE whole END::BIGINT AS chars FROM n""")
+def _(spark, sf):
+    return segment.split_paragraphs(files(spark, sf)).groupBy("file_ord").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("seg_05_segment")
+def _(spark, sf):
+    return segment.segment(files(spark, sf)).groupBy("project_id", "location_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---- classifiers
+
+
+def _hits_sql(lexicon):
+    cols = ", ".join("(" + " + ".join(f"(contains(t, '{w}'))::INT" for w in ws) + f") AS {k}" for k, ws in lexicon.items())
+    return cols
+
+
+_S = lx.SAMPLE_DOMAINS
+_BEST = "greatest(" + ", ".join(_S) + ")"
+
+
+@query("cls_07_classify_domain", f"""WITH {{FILES}}, h AS (SELECT file_ord, {_hits_sql(_S)} FROM (SELECT file_ord, lower(text) AS t FROM files))
+  SELECT file_ord, CASE WHEN {_BEST} = 0 THEN 'general' {' '.join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in _S)} END AS primary_domain,
+  CASE WHEN {_BEST} = 0 THEN 0.4::DOUBLE ELSE least(0.95::DOUBLE, 0.45::DOUBLE + 0.5::DOUBLE * {_BEST} / ({' + '.join(_S)})) END AS confidence FROM h""")
+def _(spark, sf):
+    return classify.classify_domain(files(spark, sf), lx.SAMPLE_DOMAINS).select("file_ord", "primary_domain", "confidence")
+
+
+@query("cls_03_inventory")
+def _(spark, sf):
+    return classify.build_inventory(files(spark, sf)).select("project_id", "file_ord", "detected_source_type", "confidence", "char_count")
+
+
+@query("cls_04_roles")
+def _(spark, sf):
+    return classify.infer_roles(classify.build_inventory(files(spark, sf))).groupBy("project_id", "source_role").agg(F.count("*").alias("n"))
+
+
+@query("cls_06_primary_text", "WITH {FILES} SELECT project_id, file_ord, char_count FROM (SELECT project_id, file_ord, length(text)::BIGINT AS char_count, row_number() OVER (PARTITION BY project_id ORDER BY file_type IN ('docx', 'pdf', 'pptx') DESC, length(text) DESC, file_ord) AS r FROM files) WHERE r = 1")
+def _(spark, sf):
+    return classify.primary_text(files(spark, sf)).select("project_id", "file_ord", F.col("char_count").cast("long").alias("char_count"))
+
+
+@query("cls_13_route_visual", """SELECT page_id, CASE WHEN n >= 4000 AND i = 0 THEN 'text_layer' WHEN n >= 40 AND NOT (i > 0 AND d) THEN 'text_layer' WHEN i > 0 AND d THEN 'ocr_vlm' ELSE 'text_layer' END AS route
+  FROM (SELECT page_id, length(html) AS n, page_id % 3 AS i, page_id % 2 = 0 AS d FROM pages)""")
+def _(spark, sf):
+    p = table(spark, sf, "pages")
+    items = p.select("page_id", F.length("html").alias("text_chars"), (F.col("page_id") % 3).alias("image_count"), F.lit(True).alias("ocr_enabled"), F.when(F.col("page_id") % 2 == 0, "diagram").otherwise("text").alias("content_type"))
+    return classify.route_visual(items).select("page_id", "route")
+
+
+@query("cls_16_user_projects", "SELECT c_custkey AS project_id FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def _(spark, sf):
+    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.count("*").alias("n_files"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name")).join(n, "project_id", "left").fillna(0)
+    return classify.user_projects(c).select("project_id")
+
+
+# ---- personal data
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+_SPANS = f"""e AS (SELECT project_id, file_ord, unnest(regexp_extract_all(text, '{_EMAIL}')) AS original, generate_subscripts(regexp_extract_all(text, '{_EMAIL}'), 1) AS i, text FROM files),
+  s AS (SELECT project_id, file_ord, original, i, (list_sum(list_transform(string_split_regex(text, '{_EMAIL}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{_EMAIL}')[1:i-1], lambda x: length(x))), 0))::INTEGER AS start FROM e)"""
+
+
+def simple_entities(spark, sf):
+    return privacy.privacy_pass(files(spark, sf), SIMPLE_RULES, names=False, medical=False)
+
+
+@query("pii_01_detect_entities", f"WITH {{FILES}}, {_SPANS} SELECT project_id, file_ord, original, start, (start + length(original))::INTEGER AS \"end\" FROM s")
+def _(spark, sf):
+    return privacy.detect_entities(files(spark, sf), SIMPLE_RULES[:1], names=False, medical=False).select("project_id", "file_ord", "original", "start", "end")
+
+
+@query("pii_03_detect_names")
+def _(spark, sf):
+    return privacy.detect_entities(files(spark, sf)).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("pii_05_resolve_overlaps", f"WITH {{FILES}}, {_SPANS} SELECT project_id, file_ord, 'email' AS type, original, start FROM s")
+def _(spark, sf):
+    e = privacy.detect_entities(files(spark, sf), SIMPLE_RULES, names=False, medical=False)
+    return privacy.resolve_overlaps(privacy.dedupe_names(e)).select("project_id", "file_ord", "type", "original", "start")
+
+
+@query("pii_07_assign_placeholders", f"""WITH {{FILES}}, {_SPANS}, o AS (SELECT project_id, file_ord, original, min(start) AS first FROM s GROUP BY project_id, file_ord, original)
+  SELECT project_id, file_ord, original, '[EMAIL_' || row_number() OVER (PARTITION BY project_id ORDER BY file_ord, first) || ']' AS placeholder FROM o""")
+def _(spark, sf):
+    return simple_entities(spark, sf).select("project_id", "file_ord", "original", "placeholder").distinct()
+
+
+@query("pii_08_redact_text")
+def _(spark, sf):
+    f = files(spark, sf)
+    return privacy.redact_text(f, privacy.privacy_pass(f)).select("project_id", "file_ord", F.md5("redacted").alias("digest"))
+
+
+@query("pii_11_rehydrate", "WITH {FILES} SELECT file_ord, md5(text) AS digest FROM files")
+def _(spark, sf):
+    f, e = files(spark, sf), simple_entities(spark, sf)
+    back = privacy.rehydrate(privacy.redact_text(f, e), privacy.mapping_of(e))
+    return back.select("file_ord", F.md5("restored").alias("digest"))
+
+
+@query("pii_12_risk_level", f"""WITH {{FILES}}, {_SPANS} SELECT project_id, count(*) AS n_entities, CASE WHEN count(*) >= 15 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS risk FROM s GROUP BY project_id""")
+def _(spark, sf):
+    return privacy.risk_level(simple_entities(spark, sf))
+
+
+@query("pii_13_report")
+def _(spark, sf):
+    f = files(spark, sf)
+    return privacy.pii_report(f, privacy.privacy_pass(f), NOW).select("project_id", "has_pii", "n_placeholders", "n_sources", "risk")
+
+
+@query("pii_17_audit", f"WITH {{FILES}}, {_SPANS} SELECT project_id, count(*) AS redactions, 'email' AS entity_types, sum(length(original))::BIGINT AS redacted_chars FROM s GROUP BY project_id")
+def _(spark, sf):
+    return privacy.audit_rollup(simple_entities(spark, sf))
+
+
+# ---- evidence
+
+
+@query("evd_02_technologies", "WITH {FILES} SELECT file_ord, array_to_string(list_distinct_ordered, '|') AS technologies FROM (SELECT file_ord, list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{lx.TECHNOLOGIES[k][1]}' END" for k in sorted(lx.TECHNOLOGIES, key=len, reverse=True)) + "], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM files)")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", joined(evidence.extract_technologies(F.col("text"))).alias("technologies"))
+
+
+@query("evd_03_group_technologies")
+def _(spark, sf):
+    t = files(spark, sf).withColumn("technologies", evidence.extract_technologies(F.col("text")))
+    return evidence.group_technologies(t).select("project_id", "category", joined(F.col("names")).alias("names"))
+
+
+FIELD_RULES = {"title": ("license",), "tech_stack": ("rag", "llm"), "team": ("@", "+1 ("), "results": ("trend",)}
+
+
+def ranked_evidence(spark, sf):
+    inv = classify.build_inventory(files(spark, sf)).select("file_ord", F.col("confidence").alias("inventory_confidence"), F.col("detected_source_type").alias("source_type"))
+    parts = evidence.build_evidence(segment.split_paragraphs(files(spark, sf)))
+    lab = evidence.field_labels(parts, FIELD_RULES).join(inv, "file_ord").withColumn("source_role", F.lit("unknown"))
+    return evidence.rank_field_evidence(lab, {"unknown": 0.3}, {"raw_notes": 0.1})
+
+
+@query("evd_07_rank_field_evidence")
+def _(spark, sf):
+    return ranked_evidence(spark, sf).select("project_id", "field", "rank", "file_ord", "location_index", F.round("score", 6).alias("score"))
+
+
+@query("evd_08_field_coverage")
+def _(spark, sf):
+    return evidence.field_coverage(ranked_evidence(spark, sf)).select("project_id", "field", "items", "status")
+
+
+@query("evd_15_assembly_confidence")
+def _(spark, sf):
+    return evidence.assembly_confidence(evidence.field_coverage(ranked_evidence(spark, sf)))
+
+
+@query("evd_16_completeness", """WITH a AS (SELECT o_custkey AS project_id, count(*) AS n, sum(length(o_comment))::BIGINT AS chars FROM (SELECT o_custkey, o_orderpriority AS o_comment FROM orders) GROUP BY o_custkey),
+  b AS (SELECT project_id, 1 + (chars > 200)::INT + (n >= 5)::INT + 6 * (n >= 3)::INT + 2 * (n >= 1)::INT AS passed FROM a)
+  SELECT project_id, passed::INTEGER AS passed, round(passed * 100.0 / 11)::INTEGER AS score FROM b""")
+def _(spark, sf):
+    a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.count("*").alias("n"), F.sum(F.length("o_orderpriority")).alias("essence_chars")).withColumn("has_title", F.lit(True))
+    for f in evidence.COMPLETE:
+        a = a.withColumn(f"n_{f}", F.col("n"))
+    return evidence.completeness(a).select("project_id", "passed", "score")
+
+
+# ---- fusion
+
+
+def candidates(spark, sf):
+    modes = F.array(*[F.lit(x) for x in lx.PARSER_PRIORITY])
+    roles = F.array(*[F.lit(x) for x in ("primary_project_doc", "report", "supporting_presentation", "unknown")])
+    f = files(spark, sf)
+    one = f.select("project_id", F.col("file_ord").alias("cand_ord"), F.concat(F.lit("s"), F.col("file_ord").cast("string")).alias("source_id"), F.get(modes, (F.col("file_ord") % 4).cast("int")).alias("parser_mode"), F.get(roles, (F.floor(F.col("file_ord") / 4) % 4).cast("int")).alias("source_role"), F.get(F.array(F.lit("title"), F.lit("tasks"), F.lit("client")), (F.col("file_ord") % 3).cast("int")).alias("field"), F.substring("text", 1, 200).alias("value"))
+    return fusion.field_candidates(one.withColumn("n_items", F.size(tx.lines_of(F.col("value")))))
+
+
+_CAND = """c AS (SELECT source AS project_id, doc_id AS cand_ord, 's' || doc_id AS source_id, [95, 85, 70, 40][doc_id % 4 + 1] AS p, [100, 70, 60, 30][(doc_id // 4) % 4 + 1] AS r,
+  ['title', 'tasks', 'client'][doc_id % 3 + 1] AS field, left(text, 200) AS value FROM documents),
+  k AS (SELECT *, round(least(p::DOUBLE / 100.0::DOUBLE + 0.3::DOUBLE * r / 100.0::DOUBLE, 1.0::DOUBLE), 3) AS confidence, p + r AS priority FROM c WHERE trim(value) <> '')"""
+
+
+@query("fus_01_field_candidates", f"WITH {_CAND} SELECT project_id, cand_ord, field, confidence, priority::INTEGER AS priority FROM k")
+def _(spark, sf):
+    return candidates(spark, sf).select("project_id", "cand_ord", "field", "confidence", "priority")
+
+
+@query("fus_02_rank_candidates")
+def _(spark, sf):
+    return fusion.rank_candidates(candidates(spark, sf)).select("project_id", "field", "cand_ord", "score", "rank")
+
+
+@query("fus_03_fuse_single")
+def _(spark, sf):
+    return fusion.fuse_single(fusion.rank_candidates(candidates(spark, sf)))
+
+
+@query("fus_05_fuse_lists")
+def _(spark, sf):
+    return fusion.fuse_lists(fusion.rank_candidates(candidates(spark, sf)))
+
+
+@query("fus_09_conflicts", f"WITH {_CAND} SELECT project_id, field, count(DISTINCT trim(value)) AS n_values, count(*) AS n_candidates FROM k WHERE field IN ('title', 'client') GROUP BY project_id, field HAVING count(DISTINCT trim(value)) > 1")
+def _(spark, sf):
+    return fusion.fusion_conflicts(candidates(spark, sf))
+
+
+@query("fus_10_decisions")
+def _(spark, sf):
+    return fusion.fusion_decisions(fusion.rank_candidates(candidates(spark, sf)))
+
+
+# ---- people
+
+
+@query("team_01_name_quality", "SELECT s_suppkey, 0.25::DOUBLE AS score FROM supplier WHERE regexp_matches(s_name, '^[A-Za-z]+#[0-9]+$')")
+def _(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name").where(F.col("s_name").rlike("^[A-Za-z]+#[0-9]+$"))
+    # supplier names hold digits, are no Cyrillic name and one word; those with artifact characters lose more
+    q = people.name_quality(F.regexp_replace("s_name", "[01]", "2"))
+    return s.select("s_suppkey", F.round(q + 0.2, 6).alias("score"))
+
+
+@query("team_04_best_name_match")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name"))
+    r = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("project_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("roster_ord"))
+    return people.best_name_match(c, r).groupBy("project_id", "tier").agg(F.count("*").alias("n"))
+
+
+@query("team_07_metrics", "SELECT o_custkey AS project_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS verified, count(*) FILTER (o_orderstatus = 'O') AS needs_review, count(*) FILTER (o_orderstatus = 'P') AS rejected FROM orders GROUP BY o_custkey")
+def _(spark, sf):
+    s = F.create_map(F.lit("F"), F.lit("verified"), F.lit("O"), F.lit("needs_review"), F.lit("P"), F.lit("rejected"))
+    return people.team_metrics(table(spark, sf, "orders").select(F.col("o_custkey").alias("project_id"), s[F.col("o_orderstatus")].alias("status")))
+
+
+# ---- graph
+
+
+def blocks(spark, sf):
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("block_ord"), F.col("role").alias("block_key"), F.col("text").alias("content"))
+
+
+@query("kg_01_corpus", "SELECT conv_id AS project_id, md5(string_agg(lower(coalesce(text, '')), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    return graph.contract_corpus(blocks(spark, sf)).select("project_id", F.md5("corpus").alias("digest"))
+
+
+def entities(spark, sf):
+    return graph.extract_entities(blocks(spark, sf), {"user": "module", "assistant": "technology"})
+
+
+KG_RULES = (("module", 8, "technology", 6, "uses"), ("technology", 4, "module", 3, "produces"))
+
+
+@query("kg_03_entities")
+def _(spark, sf):
+    return entities(spark, sf)
+
+
+@query("kg_04_relations")
+def _(spark, sf):
+    return graph.build_relations(entities(spark, sf), KG_RULES)
+
+
+@query("kg_05_validate")
+def _(spark, sf):
+    e = entities(spark, sf)
+    return graph.validate_graph(e, graph.build_relations(e, KG_RULES))
+
+
+@query("top_03_topology")
+def _(spark, sf):
+    e = entities(spark, sf)
+    return graph.topology_summary(e, graph.build_relations(e, KG_RULES))
+
+
+@query("kg_07_stale_reports", "WITH c AS (SELECT user_id AS project_id, max(ts) AS updated_at FROM events GROUP BY user_id), r AS (SELECT user_id AS project_id, max(ts) AS report_at FROM events WHERE event_id % 2 = 0 GROUP BY user_id) SELECT c.project_id, updated_at, report_at FROM c LEFT JOIN r USING (project_id) WHERE report_at IS NULL OR report_at < updated_at")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    c = e.groupBy(F.col("user_id").alias("project_id")).agg(F.max("ts").alias("updated_at"))
+    return graph.stale_reports(c, e.where("event_id % 2 = 0").select(F.col("user_id").alias("project_id"), F.col("ts").alias("created_at")))
+
+
+# ---- metrics, evaluation, increments
+
+
+@query("met_01_impact_metrics", "WITH {FILES}, m AS (SELECT project_id, unnest(regexp_extract_all(text, '(?i)(\\d[\\d ]*\\d|\\d)\\+?\\s*(version|inha|st|the)', 1)) AS n, unnest(regexp_extract_all(text, '(?i)(\\d[\\d ]*\\d|\\d)\\+?\\s*(version|inha|st|the)', 2)) AS u FROM files) SELECT project_id, lower(u) AS label, max(replace(n, ' ', '')::BIGINT) AS value FROM m WHERE replace(n, ' ', '')::BIGINT >= 3 GROUP BY project_id, lower(u)")
+def _(spark, sf):
+    return measure.impact_metrics(files(spark, sf), {"version": "version", "inha": "inha", "st": "st", "the": "the"})
+
+
+def engine_runs(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("engine"), (F.col("l_returnflag") != "R").alias("ok"), (F.col("l_suppkey") % 8).alias("accepted"), (F.col("l_partkey") % 4).alias("known"), (F.col("l_linestatus") == "F").alias("section"), F.col("l_partkey").alias("chars"), (F.col("l_suppkey") % 3).alias("rejected"))
+
+
+_RUNS = """r AS (SELECT l_orderkey AS page, l_linenumber AS engine, l_returnflag <> 'R' AS ok, l_suppkey % 8 AS accepted, l_partkey % 4 AS known, l_linestatus = 'F' AS section, l_partkey AS chars, l_suppkey % 3 AS rejected FROM lineitem),
+  s AS (SELECT *, CASE WHEN ok THEN round(10 * accepted + 5 * known + 3 * section::INT + least(chars / 300.0::DOUBLE, 5.0::DOUBLE) - rejected, 2) ELSE -50.0::DOUBLE END AS score FROM r)"""
+
+
+@query("eval_01_best_engine", f"WITH {_RUNS} SELECT page, engine, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, accepted DESC, known DESC, chars DESC, engine) AS k FROM s) WHERE k = 1")
+def _(spark, sf):
+    return measure.best_engine(engine_runs(spark, sf)).select("page", "engine", "score")
+
+
+@query("eval_02_known_names", "WITH {FILES} SELECT file_ord, ((contains(lower(text), 'gnu') AND contains(lower(text), 'license'))::INT + contains(lower(text), 'apache')::INT)::INTEGER AS hits FROM files")
+def _(spark, sf):
+    return measure.known_name_hits(files(spark, sf), ["GNU License", "Apache"]).select("file_ord", "hits")
+
+
+@query("eval_04_team_consistency", "SELECT coalesce(a.k, b.k) AS project_id, coalesce(n1, 0) AS n_evidence, coalesce(n2, 0) AS n_contract, CASE WHEN coalesce(n1, 0) > 0 AND coalesce(n2, 0) = 0 THEN 'contract' WHEN coalesce(n2, 0) > 0 AND coalesce(n3, 0) = 0 THEN 'page' ELSE 'none' END AS lost_at FROM (SELECT c_nationkey AS k, count(*) AS n1 FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n2 FROM supplier GROUP BY 1) b ON a.k = b.k LEFT JOIN (SELECT n_nationkey AS k, count(*) AS n3 FROM nation WHERE n_regionkey = 1 GROUP BY 1) c ON c.k = coalesce(a.k, b.k)")
+def _(spark, sf):
+    n = lambda t, k, c: table(spark, sf, t).groupBy(F.col(k).alias("project_id")).agg(F.count("*").alias(c))
+    page = table(spark, sf, "nation").where("n_regionkey = 1").groupBy(F.col("n_nationkey").alias("project_id")).agg(F.count("*").alias("n_page"))
+    out = measure.team_consistency(n("customer", "c_nationkey", "n_evidence"), n("supplier", "s_nationkey", "n_contract"), page)
+    return out.where("n_evidence > 0 or n_contract > 0").select("project_id", "n_evidence", "n_contract", "lost_at")
+
+
+@query("str_02_skip_unchanged")
+def _(spark, sf):
+    now = uploads.fingerprints(files(spark, sf))
+    return uploads.skip_unchanged(now, now.where(F.crc32(F.col("project_id").cast("binary")) % 2 == 0))
+
+
+@query("str_03_expire_reports", "SELECT event_id FROM events WHERE ts + INTERVAL 72 HOUR > TIMESTAMP '2024-01-20 00:00:00'")
+def _(spark, sf):
+    r = table(spark, sf, "events").select("event_id", F.col("ts").alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"))
+    return uploads.expire_reports(r, "2024-01-20 00:00:00").select("event_id")
+
 
 def queries() -> dict:
-    return {}
+    return Q
 
 
 def oracle_sql() -> dict:
-    return {}
+    return SQL
 
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Risk of every project, with the number of masked files and the digest of its safe text."""
+    f = files(spark, sf_dir)
+    e = privacy.privacy_pass(f)
+    safe = privacy.redacted_bundle(privacy.redact_text(f, e))
+    return privacy.pii_report(f, e, NOW).join(safe.select("project_id", F.sha2("safe_text", 256).alias("safe_sha256")), "project_id", "left")

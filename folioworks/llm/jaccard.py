@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, most_frequent, shuffle_partitions
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -229,7 +229,8 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     both = scratch.save(signatures(docs, size))
     rows = both.where("kind = 0").drop("kind", "sketch")
     # at most `most` hashes come to the driver; which ones has no bearing on the result
-    hot = both.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "k1").limit(most).select("k1").toPandas()
+    shared = scratch.save(both.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= often))
+    hot = most_frequent(shared, "n", most).select("k1").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(hot.k1.to_numpy(dtype=np.int64).view(U)))
     classes = scratch.save(both.where("kind = 0 and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch")))
     total = classes.agg(F.sum("n")).collect()[0][0] or 0

@@ -509,6 +509,120 @@ def _(spark, sf):
     return uploads.expire_reports(r, "2024-01-20 00:00:00").select("event_id")
 
 
+# ---- more of the same modules
+
+
+@query("txt_02_clean_ocr_text", "WITH {FILES} SELECT file_ord, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^\\s*[•·▪●◦*]\\s*', '- '), '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS digest FROM files")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", F.md5(tx.clean_ocr_text(F.col("text"))).alias("digest"))
+
+
+@query("txt_09_bullets")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", joined(tx.bullets(F.col("text"))).alias("bullets"))
+
+
+@query("txt_10_dates", "WITH {FILES} SELECT file_ord, array_to_string(regexp_extract_all(text, '\\d{2}\\.\\d{2}\\.\\d{2,4}\\s*[-–—]\\s*\\d{2}\\.\\d{2}\\.\\d{2,4}'), '|') AS dates FROM files")
+def _(spark, sf):
+    return files(spark, sf).select("file_ord", joined(tx.extract_dates(F.col("text"))).alias("dates"))
+
+
+@query("seg_02_split_pages", "WITH {FILES} SELECT file_ord, count(*) AS n FROM files WHERE trim(text) <> '' GROUP BY file_ord")
+def _(spark, sf):
+    return segment.split_pages(files(spark, sf)).groupBy("file_ord").agg(F.count("*").alias("n"))
+
+
+HEADERS = {"released under the mit license": "license", "licensed under the apache license, version 2.0": "license"}
+
+
+@query("seg_06_known_sections")
+def _(spark, sf):
+    return segment.split_known_sections(files(spark, sf), HEADERS).select("file_ord", "key", F.md5("text").alias("digest"))
+
+
+@query("seg_10_parse_stack")
+def _(spark, sf):
+    return segment.parse_stack(files(spark, sf)).groupBy("project_id", "category").agg(F.sum(F.size("items")).cast("long").alias("n"))
+
+
+@query("seg_12_classify_slides", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)license') THEN 'sources' WHEN regexp_matches(text, '\\?') THEN 'goal' WHEN length(text) < 60 THEN 'title' ELSE 'member' END AS kind FROM (SELECT conv_id, turn, text FROM conversations)")
+def _(spark, sf):
+    rules = (("sources", "(?i)license"), ("goal", r"\?"), ("title", r"(?s)^.{0,59}$"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", segment.classify_by_rules(F.col("text"), rules, "member").alias("kind"))
+
+
+@query("cls_05_single_ready_doc")
+def _(spark, sf):
+    return classify.single_ready_doc(classify.build_inventory(files(spark, sf)))
+
+
+@query("cls_14_ocr_targets", """WITH p AS (SELECT o_custkey AS file_ord, o_orderkey AS page, (o_orderkey % 3) AS image_count, (o_orderkey % 97) AS text_chars, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders),
+  h AS (SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY page) AS r FROM p WHERE image_count > 0 AND (text_chars < 40 OR page = last)) SELECT file_ord, page FROM h WHERE r <= 40""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.lit("p").alias("project_id"), F.col("o_custkey").alias("file_ord"), F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 3).alias("image_count"), (F.col("o_orderkey") % 97).alias("text_chars"))
+    return classify.ocr_targets(o).select("file_ord", "page")
+
+
+@query("pii_02_detect_medical")
+def _(spark, sf):
+    return privacy.detect_entities(files(spark, sf), (), names=False).groupBy("project_id").agg(F.count("*").alias("n"))
+
+
+@query("pii_04_dedupe_names")
+def _(spark, sf):
+    return privacy.dedupe_names(privacy.detect_entities(files(spark, sf), (), medical=False)).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("pii_06_context_preview")
+def _(spark, sf):
+    return privacy.context_preview(files(spark, sf), simple_entities(spark, sf)).select("file_ord", "start", "context_preview_redacted")
+
+
+@query("pii_10_redacted_bundle", """WITH {FILES} SELECT project_id, md5(string_agg('### ' || filename || chr(10) || regexp_replace(text, '[^@ ]*[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), chr(10) || chr(10) ORDER BY file_ord)) AS digest FROM files WHERE text <> '' AND NOT contains(text, '@') GROUP BY project_id""")
+def _(spark, sf):
+    f = files(spark, sf).where(~F.col("text").contains("@"))
+    return privacy.redacted_bundle(privacy.redact_text(f, privacy.privacy_pass(f, SIMPLE_RULES, names=False, medical=False))).select("project_id", F.md5("safe_text").alias("digest"))
+
+
+@query("fus_06_fuse_stack")
+def _(spark, sf):
+    t = files(spark, sf).withColumn("technologies", evidence.extract_technologies(F.col("text")))
+    rows = t.select("project_id", F.col("file_ord").alias("cand_ord"), F.posexplode("technologies").alias("item_ord", "name")).withColumn("category", F.lit("found"))
+    return fusion.fuse_stack(rows).select("project_id", "category", joined(F.col("technologies")).alias("technologies"))
+
+
+@query("fus_07_fuse_team", "SELECT c_nationkey AS project_id, lower(c_name) AS key, max(c_name) AS name FROM customer GROUP BY c_nationkey, lower(c_name)")
+def _(spark, sf):
+    m = table(spark, sf, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name"), F.lit("").alias("role"), F.lit("").alias("project_area"), F.array(F.lit("a")).alias("contributions"), F.col("c_custkey").alias("item_ord"))
+    return fusion.fuse_team(m).select("project_id", "key", "name")
+
+
+@query("team_03_roster", "SELECT k AS project_id, row_number() OVER (PARTITION BY k ORDER BY src, i, lower(name))::INTEGER AS roster_ord, name FROM (SELECT s_nationkey AS k, s_name AS name, s_suppkey AS i, 0 AS src FROM supplier UNION ALL SELECT c_nationkey, c_name, c_custkey, 1 FROM customer)")
+def _(spark, sf):
+    given = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("project_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("item_ord"))
+    found = table(spark, sf, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("item_ord"))
+    return people.trusted_roster(given, found)
+
+
+@query("kg_05_orphans")
+def _(spark, sf):
+    e = entities(spark, sf)
+    return graph.orphans(e, graph.build_relations(e, KG_RULES)).select("project_id", "slug")
+
+
+@query("eval_03_acceptance", "SELECT doc_id AS project_id, count(*) AS missing FROM (SELECT doc_id, 'quality' AS item, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) WHERE v = 0 GROUP BY doc_id")
+def _(spark, sf):
+    l = table(spark, sf, "labels")  # noqa: E741
+    need = l.select(F.col("doc_id").alias("project_id"), F.array(F.lit("quality"), F.lit("toxic")).alias("must_have"))
+    have = l.select(F.col("doc_id").alias("project_id"), F.explode(F.filter(F.array(F.when(F.col("quality") != 0, F.lit("quality")), F.when(F.col("toxic") != 0, F.lit("toxic"))), lambda x: x.isNotNull())).alias("item"))
+    return measure.acceptance(have, need)
+
+
+@query("txt_17_fingerprint", "WITH {FILES} SELECT project_id, left(sha256(project_id || chr(10) || string_agg(filename || chr(10) || text, chr(10) ORDER BY file_ord)), 24) AS fingerprint FROM files GROUP BY project_id")
+def _(spark, sf):
+    return uploads.fingerprints(files(spark, sf))
+
+
 def queries() -> dict:
     return Q
 

@@ -85,3 +85,21 @@ def completeness(contracts: DataFrame) -> DataFrame:
     checks = [F.col("has_title"), F.col("essence_chars") > COMPLETE["essence"], *[F.col(f"n_{f}") >= n for f, n in COMPLETE.items() if f != "essence"]]
     passed = sum(c.cast("int") for c in checks)
     return contracts.withColumn("passed", passed).withColumn("score", F.round(passed * 100.0 / len(checks)).cast("int")).withColumn("can_export", F.col("score") >= 70)
+
+
+# Least sizes of the fields for a strong assembly.
+GAP_MINIMUM = {"essence": 300, "tasks": 4, "purpose": 3, "inputs": 3, "outputs": 3, "results": 3, "tech_stack": 3, "modules": 3, "outlook": 2, "team": 1}
+
+
+def gap_analysis(sizes: DataFrame, minimum: dict[str, int] = GAP_MINIMUM) -> DataFrame:
+    """EVD-14: (project, field, size) -> missing, weak or strong."""
+    least = F.create_map(*[F.lit(x) for kv in minimum.items() for x in kv])[F.col("field")]
+    return sizes.withColumn("gap", F.when(F.coalesce("size", F.lit(0)) == 0, "missing").when(F.col("size") < F.coalesce(least, F.lit(1)), "weak").otherwise("strong"))
+
+
+def source_usage(inventory: DataFrame, ranked: DataFrame) -> DataFrame:
+    """EVD-17: what each source gave: number of items, its fields, and used, weak, empty or ignored."""
+    used = ranked.groupBy("project_id", "file_ord").agg(F.count("*").alias("items"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    out = inventory.join(used, ["project_id", "file_ord"], "left")
+    status = F.when(F.col("items") >= 2, "used").when(F.col("items") == 1, "weak").when(F.col("char_count") == 0, "empty").otherwise("ignored")
+    return out.select("project_id", "file_ord", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("fields", F.lit("")).alias("fields"), status.alias("status"))

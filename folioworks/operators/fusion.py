@@ -82,3 +82,33 @@ def fusion_decisions(ranked: DataFrame) -> DataFrame:
         F.min_by("source_id", "rank").alias("selected"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("rank") > 1, F.col("source_id")))), ",").alias("rejected"),
         F.round(F.avg("confidence"), 6).alias("confidence"),
     )
+
+
+def fuse_text(ranked: DataFrame, least: int = 80, most: int = 1500) -> DataFrame:
+    """FUS-4: the longest text of ``least`` characters or more, plus up to two new sentences of each other, cut at ``most``."""
+    w = Window.partitionBy("project_id").orderBy((F.length("value") >= least).desc(), F.desc(F.length("value")), "rank")
+    rows = ranked.withColumn("o", F.row_number().over(w))
+    base = rows.where("o = 1").select("project_id", F.col("value").alias("base"))
+    parts = F.filter(F.transform(F.split("value", r"\. "), tx.strip), lambda x: F.length(x) > 20)
+    more = rows.where("o > 1").select("project_id", "rank", F.posexplode(parts).alias("k", "s")).join(base, "project_id")
+    more = more.where(~F.contains(F.lower("base"), F.lower("s"))).withColumn("key", tx.text_key(F.col("s")))
+    first = more.withColumn("f", F.row_number().over(Window.partitionBy("project_id", "key").orderBy("rank", "k"))).where("f = 1")
+    two = first.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "rank").orderBy("k"))).where("n <= 2")
+    extra = two.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "k", "s"))), lambda x: x["s"]).alias("e"))
+    out = base.join(extra, "project_id", "left")
+    return out.select("project_id", F.substring(F.concat_ws(" ", "base", F.array_join("e", ". ")), 1, most).alias("value"))
+
+
+def fuse_modules(modules: DataFrame, generic: tuple[str, ...] = HEADINGS, cap: int = 12) -> DataFrame:
+    """FUS-8: by name key, in order; descriptions that say something new are joined, 400 characters at most."""
+    key = tx.text_key(F.replace("name", F.lit("Компонент:"), F.lit("")))
+    m = modules.withColumn("key", key).where(~F.col("key").isin(*generic) & (F.length("key") >= 4) & ~F.col("key").startswith("slide "))
+    g = m.groupBy("project_id", "key").agg(F.min(F.struct("item_ord", "name")).alias("first"), F.array_sort(F.collect_list(F.struct("item_ord", "description"))).alias("d"))
+    text = F.aggregate("d", F.lit(""), lambda t, x: F.when(F.contains(t, F.coalesce(x["description"], F.lit(""))), t).otherwise(F.trim(F.concat_ws(" ", t, x["description"]))))
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("first.item_ord", "key"))
+    return g.withColumn("module_ord", rank).where(F.col("module_ord") <= cap).select("project_id", "module_ord", F.col("first.name").alias("name"), F.substring(text, 1, 400).alias("description"))
+
+
+def fused_contract(values: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """FUS-11: fused values as one row per project."""
+    return values.groupBy("project_id").pivot("field", list(fields)).agg(F.first("value"))

@@ -69,3 +69,17 @@ def stale_reports(contracts: DataFrame, reports: DataFrame) -> DataFrame:
     """KG-7: projects without a report, or with one older than the contract."""
     last = reports.groupBy("project_id").agg(F.max("created_at").alias("report_at"))
     return contracts.join(last, "project_id", "left").where(F.col("report_at").isNull() | (F.col("report_at") < F.col("updated_at"))).select("project_id", "updated_at", "report_at")
+
+
+def graph_summary(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """KG-6: mean confidence, counts by project, and an overall figure of at most 0.95."""
+    e = entities.groupBy("project_id").agg(F.count("*").alias("n_entities"), F.avg("confidence").alias("c"))
+    r = relations.groupBy("project_id").agg(F.count("*").alias("n_relations"))
+    out = e.join(r, "project_id", "left")
+    return out.select("project_id", "n_entities", F.coalesce("n_relations", F.lit(0)).alias("n_relations"), F.round(F.least(F.lit(0.95), F.coalesce("c", F.lit(0.0))), 6).alias("confidence"))
+
+
+def ground_metrics(metrics: DataFrame, corpus: DataFrame) -> DataFrame:
+    """SEM-2: metrics all of whose numbers occur in the project's text."""
+    numbers = F.regexp_extract_all("metric", F.lit(r"\d+"), 0)
+    return metrics.join(corpus, "project_id").where(F.forall(numbers, lambda n: F.contains(F.col("corpus"), n))).drop("corpus")

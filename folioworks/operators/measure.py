@@ -46,3 +46,16 @@ def team_consistency(evidence: DataFrame, contract: DataFrame, page: DataFrame)
     j = evidence.join(contract, "project_id", "full_outer").join(page, "project_id", "full_outer").fillna(0, ["n_evidence", "n_contract", "n_page"])
     lost = F.when((F.col("n_evidence") > 0) & (F.col("n_contract") == 0), "contract").when((F.col("n_contract") > 0) & (F.col("n_page") == 0), "page").otherwise("none")
     return j.withColumn("lost_at", lost)
+
+
+def product_metrics(texts: DataFrame, names: tuple[str, ...] = ("recall", "precision", "accuracy", "f1"), text: str = "text") -> DataFrame:
+    """MET-2: the first number within 16 characters behind a measure's name."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("label"), F.regexp_extract(F.lower(text), n + r"\D{0,16}?(\d+(?:[.,]\d+)?)", 1).alias("value")) for n in names])
+    return texts.select("project_id", "file_ord", F.explode(F.filter(pairs, lambda p: p["value"] != "")).alias("p")).select("project_id", "file_ord", "p.label", "p.value")
+
+
+def metric_cards(sources: DataFrame, most: int = 6) -> DataFrame:
+    """MET-3: (project, source_ord, label, value): the first of each label, at most ``most`` a project in source order."""
+    first = sources.groupBy("project_id", "label").agg(F.min(F.struct("source_ord", "value")).alias("m"))
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("m.source_ord", "label"))
+    return first.withColumn("card", rank).where(F.col("card") <= most).select("project_id", "card", "label", F.col("m.value").alias("value"))

@@ -73,3 +73,20 @@ def team_metrics(candidates: DataFrame) -> DataFrame:
     """TEAM-7."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     return candidates.groupBy("project_id").agg(F.count("*").alias("total"), n("verified"), n("needs_review"), n("rejected"))
+
+
+def public_team(members: DataFrame, candidates: DataFrame, accepted: DataFrame, mode: str = "safe") -> DataFrame:
+    """TEAM-8: manual members, accepted candidates, and in safe mode verified ones of quality 0.5 or more, in draft mode all but rejected; each name once."""
+    ok = (F.col("status") == "verified") & (F.col("quality") >= 0.5) if mode == "safe" else F.col("status") != "rejected"
+    one = members.select("project_id", "name", "item_ord", F.lit(0).alias("bucket"))
+    two = candidates.join(accepted, ["project_id", "candidate_id"], "left_semi").select("project_id", "name", "item_ord", F.lit(1).alias("bucket"))
+    three = candidates.where(ok).select("project_id", "name", "item_ord", F.lit(2).alias("bucket"))
+    every = one.unionByName(two).unionByName(three)
+    first = every.groupBy("project_id", normalize_person(F.col("name")).alias("key")).agg(F.min(F.struct("bucket", "item_ord", "name")).alias("m"))
+    return first.select("project_id", F.col("m.name").alias("name"), F.col("m.bucket").alias("bucket"))
+
+
+def review_summary(candidates: DataFrame) -> DataFrame:
+    """TEAM-9: totals of a project and whether its team can be published."""
+    a = team_metrics(candidates)
+    return a.withColumn("can_publish", (F.col("verified") > 0) & (F.col("needs_review") == 0))

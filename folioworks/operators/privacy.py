@@ -192,3 +192,40 @@ def audit_rollup(entities: DataFrame) -> DataFrame:
 def privacy_pass(files: DataFrame, rules=RULES, names: bool = True, medical: bool = True) -> DataFrame:
     """The entities of all files with their placeholders."""
     return assign_placeholders(resolve_overlaps(dedupe_names(detect_entities(files, rules, names, medical))))
+
+
+def scrub_payload(payloads: DataFrame, mapping: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """PII-9: every known original of the project out of the given text columns, longest first."""
+    per = mapping.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("original")).alias("l"), "original", "placeholder"))).alias("__m"))
+    out = payloads.join(per, "project_id", "left")
+    for c in columns:
+        out = out.withColumn(c, F.when(F.col("__m").isNull(), F.col(c)).otherwise(F.aggregate("__m", F.col(c), lambda t, m: F.replace(t, m["original"], m["placeholder"]))))
+    return out.drop("__m")
+
+
+def public_report(entities: DataFrame) -> DataFrame:
+    """PII-14: entities without their originals."""
+    keep = [c for c in ("project_id", "file_ord", "type", "placeholder", "confidence", "start", "end", "context_preview_redacted") if c in entities.columns]
+    return entities.select(*keep, F.substring(F.sha2("original", 256), 1, 16).alias("original_hash"))
+
+
+def leaks(texts: DataFrame, entities: DataFrame, column: str = "redacted") -> DataFrame:
+    """PII-14: public texts in which an original of the same project occurs; must be empty."""
+    originals = entities.groupBy("project_id").agg(F.collect_set("original").alias("__o"))
+    return texts.join(originals, "project_id").where(F.exists("__o", lambda o: F.contains(F.col(column), o))).drop("__o")
+
+
+def route_privacy(reports: DataFrame, mode: str = "mode") -> DataFrame:
+    """PII-15: which view a project's text gets, whether it is safe, and why it is blocked."""
+    m = F.col(mode)
+    view = F.when(m == "local_only", "raw").when(m == "hybrid_safe", "redacted").otherwise("raw")
+    blocked = F.when((m == "hybrid_safe") & (F.col("risk") == "unknown"), "prescan_failed").when((m == "hybrid_safe") & (F.col("risk") == "critical"), "critical_risk")
+    return reports.withColumn("view", view).withColumn("is_safe", (m == "local_only") | ((m == "hybrid_safe") & blocked.isNull())).withColumn("block_reason", blocked)
+
+
+def safe_payload(redacted: DataFrame, preview: int = 4000) -> DataFrame:
+    """PII-16: preview of the safe text, its characters and its files, by project."""
+    part = F.struct("file_ord", "filename", F.coalesce("redacted", F.lit("")).alias("t"))
+    g = redacted.groupBy("project_id").agg(F.array_sort(F.collect_list(part)).alias("a"))
+    text = F.array_join(F.transform("a", lambda x: x["t"]), "\n\n")
+    return g.select("project_id", F.substring(text, 1, preview).alias("preview"), F.length(text).cast("long").alias("total_chars"), F.transform("a", lambda x: x["filename"]).alias("files"))

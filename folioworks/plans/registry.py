@@ -532,7 +532,7 @@ def _(spark, sf):
     return segment.split_pages(files(spark, sf)).groupBy("file_ord").agg(F.count("*").alias("n"))
 
 
-HEADERS = {"released under the mit license": "license", "licensed under the apache license, version 2.0": "license"}
+HEADERS = {"the and attion to thanedble the, anea. eriner thanea": "opening", "of onthshes": "second"}
 
 
 @query("seg_06_known_sections")
@@ -623,6 +623,100 @@ def _(spark, sf):
     return uploads.fingerprints(files(spark, sf))
 
 
+@query("pii_09_scrub_payload", "WITH {FILES} SELECT file_ord, md5(text) AS digest FROM files WHERE NOT contains(text, '@')")
+def _(spark, sf):
+    f = files(spark, sf)
+    out = privacy.scrub_payload(f, privacy.mapping_of(simple_entities(spark, sf)), ("text",))
+    return out.join(f.where(~F.col("text").contains("@")).select("file_ord"), "file_ord", "left_semi").select("file_ord", F.md5("text").alias("digest"))
+
+
+@query("pii_14_public_report", f"WITH {{FILES}}, {_SPANS} SELECT file_ord, start, left(sha256(original), 16) AS original_hash FROM s")
+def _(spark, sf):
+    return privacy.public_report(simple_entities(spark, sf)).select("file_ord", "start", "original_hash")
+
+
+@query("pii_15_route_privacy")
+def _(spark, sf):
+    f = files(spark, sf)
+    r = privacy.pii_report(f, simple_entities(spark, sf), NOW).withColumn("mode", F.when(F.crc32(F.col("project_id").cast("binary")) % 2 == 0, "local_only").otherwise("hybrid_safe"))
+    return privacy.route_privacy(r).select("project_id", "view", "is_safe", "block_reason")
+
+
+@query("pii_16_safe_payload", "WITH {FILES} SELECT project_id, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS total_chars, count(*) AS n_files FROM files GROUP BY project_id")
+def _(spark, sf):
+    f = files(spark, sf).withColumn("redacted", F.col("text"))
+    return privacy.safe_payload(f).select("project_id", "total_chars", F.size("files").cast("long").alias("n_files"))
+
+
+@query("evd_14_gap_analysis", "SELECT o_custkey AS project_id, CASE WHEN count(*) < 4 THEN 'weak' ELSE 'strong' END AS gap FROM orders GROUP BY o_custkey")
+def _(spark, sf):
+    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.count("*").alias("size")).withColumn("field", F.lit("tasks"))
+    return evidence.gap_analysis(n).select("project_id", "gap")
+
+
+@query("evd_17_source_usage")
+def _(spark, sf):
+    inv = classify.build_inventory(files(spark, sf)).select("project_id", "file_ord", "char_count")
+    return evidence.source_usage(inv, ranked_evidence(spark, sf))
+
+
+@query("fus_04_fuse_text")
+def _(spark, sf):
+    return fusion.fuse_text(fusion.rank_candidates(candidates(spark, sf)).where("field = 'tasks'"))
+
+
+@query("fus_08_fuse_modules")
+def _(spark, sf):
+    m = blocks(spark, sf).select("project_id", F.col("block_ord").alias("item_ord"), F.concat(F.lit("module "), F.col("block_key")).alias("name"), F.substring("content", 1, 120).alias("description"))
+    return fusion.fuse_modules(m)
+
+
+@query("fus_11_fused_contract")
+def _(spark, sf):
+    return fusion.fused_contract(fusion.fuse_single(fusion.rank_candidates(candidates(spark, sf))), ("title", "client", "tasks"))
+
+
+@query("team_08_public_team", "SELECT c_nationkey AS project_id, min(c_name) AS name FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_nationkey, lower(c_name)")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("item_ord"), F.col("c_custkey").alias("candidate_id"), F.when(F.col("c_custkey") % 2 == 0, "verified").otherwise("rejected").alias("status"), F.lit(0.9).alias("quality"))
+    return people.public_team(c.limit(0), c, c.limit(0).select("project_id", "candidate_id")).select("project_id", "name")
+
+
+@query("team_09_review_summary", "SELECT o_custkey AS project_id, count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus = 'O') = 0 AS can_publish FROM orders GROUP BY o_custkey")
+def _(spark, sf):
+    s = F.create_map(F.lit("F"), F.lit("verified"), F.lit("O"), F.lit("needs_review"), F.lit("P"), F.lit("rejected"))
+    return people.review_summary(table(spark, sf, "orders").select(F.col("o_custkey").alias("project_id"), s[F.col("o_orderstatus")].alias("status"))).select("project_id", "can_publish")
+
+
+@query("kg_02_grounded")
+def _(spark, sf):
+    e = entities(spark, sf).join(graph.contract_corpus(blocks(spark, sf)), "project_id")
+    return e.select("project_id", "slug", graph.grounded(F.col("label"), F.col("corpus")).alias("grounded"))
+
+
+@query("kg_06_graph_summary")
+def _(spark, sf):
+    e = entities(spark, sf)
+    return graph.graph_summary(e, graph.build_relations(e, KG_RULES))
+
+
+@query("sem_02_ground_metrics", "SELECT doc_id AS project_id FROM documents WHERE contains(lower(text), '555')")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("project_id"), F.lower("text").alias("corpus"))
+    return graph.ground_metrics(d.select("project_id", F.lit("555 calls").alias("metric")), d).select("project_id")
+
+
+@query("met_02_product_metrics", "WITH {FILES} SELECT file_ord, 'version' AS label, regexp_extract(lower(text), 'version[^0-9]{0,16}?([0-9]+([.,][0-9]+)?)', 1) AS value FROM files WHERE regexp_matches(lower(text), 'version[^0-9]{0,16}?([0-9]+([.,][0-9]+)?)')")
+def _(spark, sf):
+    return measure.product_metrics(files(spark, sf), ("version",)).select("file_ord", "label", "value")
+
+
+@query("met_03_metric_cards", "SELECT o_custkey AS project_id, card, label, value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY source_ord, label)::INTEGER AS card FROM (SELECT o_custkey, o_orderpriority AS label, min(o_orderkey) AS source_ord, min(o_orderkey) AS value FROM orders GROUP BY 1, 2)) WHERE card <= 6")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("source_ord"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("value"))
+    return measure.metric_cards(o)
+
+
 def queries() -> dict:
     return Q
 

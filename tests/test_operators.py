@@ -126,3 +126,8 @@ def test_expiry(spark):
     r = spark.createDataFrame([(1, "2024-01-01 00:00:00", None), (2, "2024-01-05 00:00:00", None), (3, None, None)], "id int, created_at string, expires_at string")
     r = r.select("id", F.col("created_at").cast("timestamp").alias("created_at"), F.col("expires_at").cast("timestamp").alias("expires_at"))
     assert {x.id for x in uploads.expire_reports(r, "2024-01-06 00:00:00").collect()} == {2, 3}
+
+
+def test_known_sections(spark):
+    got = segment.split_known_sections(files(spark, "Intro\nStack:\nRedis\n\nPython\n# Team\nIvan\nstack\nGo"), {"stack": "tech", "team": "people"}).collect()
+    assert {r.key: r.text for r in got} == {"tech": "Redis\nPython\nGo", "people": "Ivan"}

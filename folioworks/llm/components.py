@@ -36,3 +36,30 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", r
             break
         mark = (seen.n, seen.s)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def across(lists: DataFrame, near: DataFrame, scratch: Scratch, member: str = "v") -> DataFrame:
+    """Pairs of rows of a list whose members are not connected yet: (left columns l_*, right columns r_*).
+
+    ``near`` is (id, component) of what is connected so far.  Of a list, the members
+    of its largest component meet no one of it; every other member meets all members
+    of other components.  A list that is connected as a whole goes.
+    """
+    tagged = lists.join(near.withColumnRenamed("id", member), member, "left").withColumn("component", F.coalesce("component", member))
+    tagged = scratch.save(tagged)
+    sizes = tagged.groupBy("list", "component").agg(F.count("*").alias("n")).groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
+    open_lists = scratch.save(tagged.join(sizes.where("parts > 1").drop("parts"), "list"))
+    cols = [c for c in open_lists.columns if c not in ("list", "major")]
+    left = open_lists.where("component != major").select("list", *[F.col(c).alias(f"l_{c}") for c in cols])
+    right = open_lists.select("list", *[F.col(c).alias(f"r_{c}") for c in cols])
+    return left.join(right, "list").where("l_component != r_component")
+
+
+def joined_components(first: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) of all links, from the components of the first ones and further links (a, b)."""
+    at = lambda name: first.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
+    links = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    upper = components(links, scratch)
+    top = upper.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    known = first.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return known.unionByName(upper.join(first.select("id"), "id", "left_anti"))

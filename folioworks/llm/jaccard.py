@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, most_frequent, shuffle_partitions
-from .components import components
+from .components import across, components, joined_components
 from .shingles import U, mix, shingle_sets
 
 GROWTH = 1.5
@@ -242,48 +242,38 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     sketches = classes.select(F.col("k1").alias("v"), "n", "sketch")
     near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
-    def meet(some: DataFrame) -> DataFrame:
-        """Pairs of the given members with all others of their lists."""
-        others = lists.select("list", F.col("doc").alias("other"), F.col("n").alias("other_n"))
-        pairs = some.join(others, "list").where(F.col("doc") != F.col("other")).where(near(F.col("n"), F.col("other_n")))
-        return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """The sets of all ends of the pairs."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        filled = spark.sparkContext.broadcast(bitmap(wanted))
+
+        def cut(batches):
+            seen, bits = set(), filled.value
+            for pdf in batches:
+                rows = []
+                for s in shingle_sets([t or "" for t in pdf.text], size):
+                    v = set_keys(s)[0]
+                    at = v & (BITMAP - 1)
+                    if len(s) and v not in seen and bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
+                        seen.add(v)
+                        rows.append((v, s.tobytes()))
+                yield pd.DataFrame(rows, columns=["v", "items"])
+
+        return scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
 
     hubs = lists.where("doc = hub").select("list", F.col("n").alias("hub_n"))
-    members = lists.where("doc != hub")
-    stars = members.join(hubs, "list").where(near(F.col("n"), F.col("hub_n"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    stars = lists.where("doc != hub").join(hubs, "list").where(near(F.col("n"), F.col("hub_n"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
     stars = scratch.save(close(stars, sketches, percent))
-    ends = lambda: (F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
-    # members of a list whose sketch is near the hub's wait for the check; each of the others meets all
-    rest = meet(members.select("*", *ends()).join(stars, ["a", "b"], "left_anti").select("list", "doc", "n"))
-    pairs = scratch.save(close(rest, sketches, percent).unionByName(stars).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    filled = spark.sparkContext.broadcast(bitmap(wanted))
-
-    def cut(batches):
-        seen, bits = set(), filled.value
-        for pdf in batches:
-            rows = []
-            for s in shingle_sets([t or "" for t in pdf.text], size):
-                v = set_keys(s)[0]
-                at = v & (BITMAP - 1)
-                if len(s) and v not in seen and bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
-                    seen.add(v)
-                    rows.append((v, s.tobytes()))
-            yield pd.DataFrame(rows, columns=["v", "items"])
-
-    sets = scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
-    first = scratch.save(verified(pairs, sets, percent))
-    # and so do those that are near the hub by sketch only; their sets may be any of their lists'
-    missed = members.select("*", *ends()).join(stars.join(first, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("list", "doc", "n")
-    late = scratch.save(close(meet(missed), sketches, percent).join(pairs, ["a", "b"], "left_anti"))
-    if late.limit(1).collect():
-        wanted = late.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        filled = spark.sparkContext.broadcast(bitmap(wanted))
-        scratch.drop(sets)
-        sets = scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
-        first = first.unionByName(scratch.save(verified(late, sets, percent)))
+    sets = fetched(stars)
+    first = components(scratch.save(verified(stars, sets, percent)), scratch)
+    scratch.drop(sets)
+    # what a hub has not connected meets the rest of its lists
+    rest = across(lists.select("list", F.col("doc").alias("v"), "n"), first, scratch).where(near(F.col("l_n"), F.col("r_n")))
+    rest = rest.select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = scratch.save(close(rest, sketches, percent))
+    sets = fetched(rest)
+    near_by = joined_components(first, scratch.save(verified(rest, sets, percent)), scratch)
     scratch.drop(sets, lists)
-    near_by = components(first, scratch)
     tagged = classes.drop("sketch").join(near_by, F.col("k1") == F.col("id"), "left").select("n", "k1", "k2", "members", "rep", F.coalesce("component", "k1").alias("vertex"))
     least = tagged.groupBy("vertex").agg(F.min("rep").alias("component"), F.sum("members").alias("all"))
     grouped = tagged.join(least.where("all > 1"), "vertex").select("n", "k1", "k2", "component")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .components import components
+from .components import across, components, joined_components
 
 BLOCKS, BLOCK_BITS = 6, 21
 LANES, LANE_BITS = 3, 21  # counters of three bits share one long: 2 million words a line before they touch
@@ -106,30 +106,22 @@ def mark_lines(docs: DataFrame, scratch: Scratch, text: str = "text", similarity
     # most keys are of one line: they go by a count of their hashes before anything else moves
     shared = keys.groupBy("list").agg(F.count("*").alias("all"), F.min("v").alias("hub")).where("all > 1").drop("all")
     lists = keys.join(shared, "list")
-    hubs = lists.where("v = hub").select("list", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("n").alias("hn"))
-    lists = scratch.save(lists.where("v != hub").join(hubs, "list"))
+    hubs = lists.where("v = hub").select("list", "hub", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("n").alias("hn"))
+    lists = scratch.save(lists.where("v != hub").join(hubs.drop("hub"), "list"))
     alike = lambda p, q: F.least(p, q) >= F.greatest(p, q) * similarity
     stars = lists.where((_distance("s", "h") <= max_bits) & alike(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
     stars = scratch.save(stars)
-    # members of a list that do not come near its hub meet all others of the list
-    far = lists.where((_distance("s", "h") > max_bits) | ~alike(F.col("n"), F.col("hn")))
-    other = lists.select("list", F.col("v").alias("w"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("n").alias("on"))
-
-    def meet(some: DataFrame) -> DataFrame:
-        met = some.join(other, "list").where((F.col("v") != F.col("w")) & (_distance("s", "o") <= max_bits) & alike(F.col("n"), F.col("on")))
-        return met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-
-    pairs = scratch.save(stars.unionByName(meet(far)).distinct())
     ends = F.explode(F.array("a", "b")).alias("v")
-    texts = _texts(base, hashed, pairs.select(ends).distinct(), scratch)
-    near = scratch.save(_verified(pairs, texts, similarity))
-    # and so do those that come near it by bits only, not by edits
-    missed = stars.join(near, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("v"))
-    late = scratch.save(meet(lists.join(missed, ["hub", "v"], "left_semi")).join(pairs, ["a", "b"], "left_anti"))
-    scratch.drop(texts, lists, stars)
-    if late.limit(1).collect():
-        near = near.unionByName(_verified(late, _texts(base, hashed, late.select(ends).distinct(), scratch), similarity))
-    found = components(near, scratch)
+    texts = _texts(base, hashed, stars.select(ends).distinct(), scratch)
+    first = components(scratch.save(_verified(stars, texts, similarity)), scratch)
+    scratch.drop(texts)
+    # what a hub has not connected meets the rest of its lists
+    rows = lists.select("list", "v", "s1", "s2", "n").unionByName(hubs.join(lists.select("list").distinct(), "list", "left_semi").select("list", F.col("hub").alias("v"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("hn").alias("n")))
+    rest = across(rows, first, scratch).where((_distance("l_s", "r_s") <= max_bits) & alike(F.col("l_n"), F.col("r_n")))
+    rest = rest.select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct()
+    rest = scratch.save(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    scratch.drop(lists)
+    found = joined_components(first, scratch.save(_verified(rest, _texts(base, hashed, rest.select(ends).distinct(), scratch), similarity)), scratch)
     # lines that repeat: each of a linked group but the first, and each occurrence beyond the first
     kept = hashed.select("v", "place").join(found, F.col("v") == F.col("id"), "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("place").alias("place"))
     marked = occ.select("id", "pos", "place", (F.col("norm") == "").alias("blank")).join(kept.select("place", F.lit(True).alias("stays")), "place", "left")

@@ -121,7 +121,7 @@ def blobs(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
 
     def run(batches):
         skip, seen = frequent.value, set()
-        for pdf in batches:
+        for pdf in (b.iloc[a : a + 2048] for b in batches for a in range(0, len(b), 2048)):  # small rows, little memory in flight
             keys, ids = [], []
             for s in shingle_sets([t or "" for t in pdf.text], size):
                 vertex = set_keys(s)
@@ -234,7 +234,7 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     frequent = spark.sparkContext.broadcast(np.sort(hot.k1.to_numpy(dtype=np.int64).view(U)))
     classes = scratch.save(both.where("kind = 0 and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch")))
     total = classes.agg(F.sum("n")).collect()[0][0] or 0
-    parts = max(shuffle_partitions(spark), total // 3_000_000)
+    parts = max(shuffle_partitions(spark), total // 1_000_000)
     found = blobs(docs, size, frequent, parts).groupBy("part").applyInPandas(shared_lists, "list long, hub long, doc long")
     raw = scratch.save(found)
     lists = scratch.save(raw.distinct().join(classes.select(F.col("k1").alias("doc"), "n"), "doc"))

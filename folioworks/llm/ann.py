@@ -284,7 +284,7 @@ def search(starts: DataFrame, adj: DataFrame, scratch: Scratch, pool: int, width
 
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", degree: int = 28, reverse: int = 24,
-    trees: int = 8, run_length: int = 256, rounds: int = 3, pool: int = 192, width: int = 20, hops: int = 9,
+    trees: int = 8, run_length: int = 256, rounds: int = 3, pool: int = 448, width: int = 32, hops: int = 14,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id is divisible by ``every``.
 

@@ -242,3 +242,15 @@ def test_html(spark):
     assert by[1].text == "Head & more\nOne two\nThree\nfour" and by[1].n_chars == len(by[1].text)
     assert by[2].text == "" and by[3].text == "" and by[4].text == "plain < text" and len(got) == 6 and by[5].text.count("a") == 3000
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_html_every_article_and_text_outside():
+    a, b, c = words(11, 40), words(12, 30), words(13, 60)
+    nav, small = "<nav><a href=x>menu</a></nav>", "<div><p>short note</p></div>"
+    siblings = f"<body>{nav}<article><p>{a}</p></article><article><p>{b}</p></article>{small}<footer>f</footer>"
+    assert html_text.main_text(siblings) == f"{a}\n{b}"
+    # the text of the page is not in its one short article: surge and dive find it
+    assert html_text.main_text(f"<body>{nav}<div><p>{c}</p><p>{a}</p></div><article><p>{b}</p></article>") == f"{c}\n{a}\n{b}"
+    # with and without the element
+    one = f"<body>{nav}<article><h1>Head</h1><p>{a}<br>{b}</p><div class='ad'>buy</div><p>{c}</p></article><footer>f</footer>"
+    assert html_text.main_text(one) == f"Head\n{a}\n{b}\n{c}" == html_text.main_text(one.replace("article>", "div>"))

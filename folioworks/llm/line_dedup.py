@@ -19,7 +19,7 @@ from .common import Scratch
 from .components import across, components, joined_components
 
 BLOCKS, BLOCK_BITS = 6, 21
-LANES, LANE_BITS = 3, 21  # counters of three bits share one long: 2 million words a line before they touch
+LANES, LANE_BITS = 2, 32  # counters of two bits share one long; no string has the 2^31 words at which they touch
 
 
 def normalised(line):
@@ -28,25 +28,25 @@ def normalised(line):
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """Distinct lines as (v, s1, s2, n, place), from occurrences (h1, h2, place, norm), by one aggregation over all words.
+    """Distinct lines as (v, s1, s2, n, place), from occurrences (h1, h2, place, norm).
 
-    Bit i of the SimHash is set where more than half of the words' hashes have it;
-    an occurrence more adds to both sides alike, so repeats need not go first and no
-    text is shuffled.  Everything that is summed has a fixed width.
+    Lines are made distinct before their words are counted, each word once for each
+    time it stands in the line, so no count grows with the repeats of a line.  Bit i
+    of the SimHash is set where more than half of the words' hashes have it.  The
+    words meet where the distinct lines are: no second shuffle.
     """
+    once = lines.groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.min("place").alias("place"))
     n = F.length("norm").cast("long").alias("n")
-    word = lines.select("h1", "h2", "place", n, F.explode(F.split("norm", " ")).alias("w"))
+    word = once.select("h1", "h2", "place", n, F.explode(F.split("norm", " ")).alias("w"))
     word = word.select("h1", "h2", "place", "n", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
     mask = sum(1 << (LANE_BITS * k) for k in range(LANES))
-    sums = [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(mask))).alias(f"{x}{i}") for x in ("a", "b") for i in range(LANE_BITS + 1)]
+    sums = [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(mask))).alias(f"{x}{i}") for x in ("a", "b") for i in range(LANE_BITS)]
     counted = word.groupBy("h1", "h2").agg(F.count("*").alias("words"), F.min("place").alias("place"), F.max("n").alias("n"), *sums)
-    bit_at = lambda i: (i % LANE_BITS, i // LANE_BITS) if i < 63 else (LANE_BITS, 2)
 
     def packed(name):
         bits = []
         for i in range(64):
-            shift, lane = bit_at(i)
-            count = F.shiftrightunsigned(f"{name}{shift}", LANE_BITS * lane).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
+            count = F.shiftrightunsigned(f"{name}{i % LANE_BITS}", LANE_BITS * (i // LANE_BITS)).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
             bits.append(F.when(count * 2 > F.col("words"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
         return reduce(lambda x, y: x.bitwiseOR(y), bits)
 

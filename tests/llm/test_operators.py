@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from folioworks.llm import ann, bpe, html_text, jaccard, line_dedup, lm, near_vectors, packing, pii, quality
 
@@ -254,3 +255,11 @@ def test_html_every_article_and_text_outside():
     # with and without the element
     one = f"<body>{nav}<article><h1>Head</h1><p>{a}<br>{b}</p><div class='ad'>buy</div><p>{c}</p></article><footer>f</footer>"
     assert html_text.main_text(one) == f"Head\n{a}\n{b}\n{c}" == html_text.main_text(one.replace("article>", "div>"))
+
+
+def test_hash_of_a_line_does_not_depend_on_its_repeats(spark):
+    line = words(21, 20)
+    occ = spark.range(300_000).select(F.col("id").cast("decimal(38,0)").alias("place"), F.lit(line).alias("norm"))  # 6 million words
+    occ = occ.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7)))
+    many, once = line_dedup._hashed(occ).collect(), line_dedup._hashed(occ.limit(1)).collect()
+    assert len(many) == len(once) == 1 and (many[0].s1, many[0].s2, many[0].n) == (once[0].s1, once[0].s2, once[0].n) and many[0].place == 0

@@ -3,9 +3,12 @@
 Lines are normalised and made distinct; each distinct line gets a SimHash of 128
 bits over its words, cut into six blocks.  Lines that agree in a block (and in
 their length band) are candidates by the pigeonhole principle: lines whose
-hashes differ in five bits or less always are, others often.  Candidates within
-``max_bits`` are verified by edit similarity, and one occurrence of each
-connected group of lines is kept: the first by document id and line number.
+hashes differ in five bits or less always are, others often.  Lines that agree in
+their first or last two fifths are candidates too: whatever differs in one place
+only (a typo, a word replaced, put in or left out) is always found, however few
+words a line has.  Candidates, those by blocks within ``max_bits``, are verified by
+edit similarity, and one occurrence of each connected group of lines is kept: the
+first by document id and line number.
 """
 
 from __future__ import annotations
@@ -27,8 +30,28 @@ def normalised(line):
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """Distinct lines as (v, s1, s2, n, place), from occurrences (h1, h2, place, norm).
+def _end_bands(n, similarity: float):
+    """The bands of length whose lists of line ends hold a line: its own and the one below.  A band is as wide as ``similarity`` allows a pair to be."""
+    own = F.floor(F.log(n) / F.log(F.lit(1 / similarity)))
+    return F.array(own - 1, own)
+
+
+def _end_keys(norm, n, similarity: float):
+    """Hashes of the first and the last characters of a line, for each of its bands; none where no other line is near enough.
+
+    Lines of one pair that differ in one place only share a start and an end that hold
+    all but ``gap`` of the shorter one, so one of the two is half of that or more.
+    """
+    gap = (1 - similarity) / similarity
+    # a thousandth less than the bound: the band's lower end is a rounded power
+    least = lambda b: F.pow(F.lit(1 / similarity), b) * ((1 - gap) / 2 * 0.999)
+    size = lambda b: F.greatest(F.floor(least(b)), F.lit(3)).cast("int")
+    key = lambda b: F.array(F.xxhash64(F.lit("start"), b, F.substring(norm, F.lit(1), size(b))), F.xxhash64(F.lit("end"), b, F.right(norm, size(b))))
+    return F.when(F.floor(n * (1 - similarity)) >= 1, F.flatten(F.transform(_end_bands(n, similarity), key)))
+
+
+def _hashed(lines: DataFrame, similarity: float = 0.85) -> DataFrame:
+    """Distinct lines as (v, s1, s2, n, place, e0 .. e3), from occurrences (h1, h2, place, norm).
 
     Lines are made distinct before their words are counted, each word once for each
     time it stands in the line, so no count grows with the repeats of a line.  Bit i
@@ -36,12 +59,14 @@ def _hashed(lines: DataFrame) -> DataFrame:
     words meet where the distinct lines are: no second shuffle.
     """
     once = lines.groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.min("place").alias("place"))
-    n = F.length("norm").cast("long").alias("n")
-    word = once.select("h1", "h2", "place", n, F.explode(F.split("norm", " ")).alias("w"))
-    word = word.select("h1", "h2", "place", "n", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
+    once = once.withColumn("n", F.length("norm").cast("long"))
+    once = once.withColumn("ends", _end_keys(F.col("norm"), F.col("n"), similarity))
+    ends = [f"e{i}" for i in range(4)]
+    word = once.select("h1", "h2", "place", "n", *[F.get("ends", F.lit(i)).alias(e) for i, e in enumerate(ends)], F.explode(F.split("norm", " ")).alias("w"))
+    word = word.select("h1", "h2", "place", "n", *ends, F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
     mask = sum(1 << (LANE_BITS * k) for k in range(LANES))
     sums = [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(mask))).alias(f"{x}{i}") for x in ("a", "b") for i in range(LANE_BITS)]
-    counted = word.groupBy("h1", "h2").agg(F.count("*").alias("words"), F.min("place").alias("place"), F.max("n").alias("n"), *sums)
+    counted = word.groupBy("h1", "h2").agg(F.count("*").alias("words"), F.min("place").alias("place"), F.max("n").alias("n"), *[F.max(e).alias(e) for e in ends], *sums)
 
     def packed(name):
         bits = []
@@ -50,7 +75,7 @@ def _hashed(lines: DataFrame) -> DataFrame:
             bits.append(F.when(count * 2 > F.col("words"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
         return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
-    return counted.select(F.col("h1").alias("v"), packed("a").alias("s1"), packed("b").alias("s2"), "n", "place")
+    return counted.select(F.col("h1").alias("v"), packed("a").alias("s1"), packed("b").alias("s2"), "n", "place", *ends)
 
 
 def _blocks():
@@ -97,27 +122,30 @@ def mark_lines(docs: DataFrame, scratch: Scratch, text: str = "text", similarity
     occ = base.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normalised(F.col("line")).alias("norm"))
     place = (F.col("id").cast("decimal(20,0)") * F.lit(WIDE).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
     occ = occ.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7))).withColumn("place", place)
-    hashed = scratch.save(_hashed(occ.where("norm != ''")))
+    hashed = scratch.save(_hashed(occ.where("norm != ''"), similarity))
     # bands of length, half again as long each; a line near the lower end of its band is also in the one below
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.5)))
     bands = F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * similarity)))
     keys = hashed.select("v", "s1", "s2", "n", F.explode(bands).alias("band")).select("v", "s1", "s2", "n", "band", F.explode(_blocks()).alias("block"))
-    keys = keys.select(F.xxhash64("block", "band").alias("list"), "v", "s1", "s2", "n")
+    keys = keys.select(F.xxhash64("block", "band").alias("list"), F.lit(False).alias("at_end"), "v", "s1", "s2", "n")
+    # a line of one word or two may share no bit pattern with its near copy, so lists of ends ask for no distance of hashes
+    at_end = hashed.select(F.explode(F.filter(F.array("e0", "e1", "e2", "e3"), lambda x: x.isNotNull())).alias("list"), F.lit(True).alias("at_end"), "v", "s1", "s2", "n")
+    keys = keys.unionByName(at_end)
     # most keys are of one line: they go by a count of their hashes before anything else moves
     shared = keys.groupBy("list").agg(F.count("*").alias("all"), F.min("v").alias("hub")).where("all > 1").drop("all")
     lists = keys.join(shared, "list")
-    hubs = lists.where("v = hub").select("list", "hub", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("n").alias("hn"))
-    lists = scratch.save(lists.where("v != hub").join(hubs.drop("hub"), "list"))
+    hubs = lists.where("v = hub").select("list", "at_end", "hub", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("n").alias("hn"))
+    lists = scratch.save(lists.where("v != hub").join(hubs.drop("hub", "at_end"), "list"))
     alike = lambda p, q: F.least(p, q) >= F.greatest(p, q) * similarity
-    stars = lists.where((_distance("s", "h") <= max_bits) & alike(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
+    stars = lists.where((F.col("at_end") | (_distance("s", "h") <= max_bits)) & alike(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
     stars = scratch.save(stars)
     ends = F.explode(F.array("a", "b")).alias("v")
     texts = _texts(base, hashed, stars.select(ends).distinct(), scratch)
     first = components(scratch.save(_verified(stars, texts, similarity)), scratch)
     scratch.drop(texts)
     # what a hub has not connected meets the rest of its lists
-    rows = lists.select("list", "v", "s1", "s2", "n").unionByName(hubs.join(lists.select("list").distinct(), "list", "left_semi").select("list", F.col("hub").alias("v"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("hn").alias("n")))
-    rest = across(rows, first, scratch).where((_distance("l_s", "r_s") <= max_bits) & alike(F.col("l_n"), F.col("r_n")))
+    rows = lists.select("list", "at_end", "v", "s1", "s2", "n").unionByName(hubs.join(lists.select("list").distinct(), "list", "left_semi").select("list", "at_end", F.col("hub").alias("v"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("hn").alias("n")))
+    rest = across(rows, first, scratch).where((F.col("l_at_end") | (_distance("l_s", "r_s") <= max_bits)) & alike(F.col("l_n"), F.col("r_n")))
     rest = rest.select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct()
     rest = scratch.save(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     scratch.drop(lists)

@@ -263,3 +263,14 @@ def test_hash_of_a_line_does_not_depend_on_its_repeats(spark):
     occ = occ.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7)))
     many, once = line_dedup._hashed(occ).collect(), line_dedup._hashed(occ.limit(1)).collect()
     assert len(many) == len(once) == 1 and (many[0].s1, many[0].s2, many[0].n) == (once[0].s1, once[0].s2, once[0].n) and many[0].place == 0
+
+
+def test_lines_that_differ_in_one_place_are_found_however_short(spark):
+    r, texts = random.Random(5), []
+    for i in range(90):
+        a = words(1000 + i, (2, 5, 10)[i % 3]).split(" ") + ["zzzzzzz"]
+        b, k = list(a), r.randrange(len(a))
+        b[k] = b[k][:-1] + "y"  # one character
+        texts += [" ".join(a), " ".join(b)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 1").select("doc_id").collect()
+    assert {x.doc_id for x in got} == {2 * i + 1 for i in range(90)}

@@ -225,26 +225,25 @@ class GatedModel:
 CHUNK = 1 << 14
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, every: int, first: int, total: int) -> np.ndarray:
-    """Parameters: a start on about ``first`` documents (at most twice as many, of each at most 4096 tokens), then one pass over one in ``every`` training documents.
+def train(docs: DataFrame, vocabulary: Vocabulary, first: int, total: int) -> np.ndarray:
+    """Parameters: a start on about ``first`` whole documents (at most twice as many), then one pass over all training documents.
 
     In the pass each partition trains a copy on its own documents; the copies are
     averaged by their tokens, in chunks, on the executors.
     """
     spark = docs.sparkSession
-    drawn = docs.where(F.pmod(F.xxhash64("plain"), F.lit(every)) == 0)
     some = [vocabulary.ids([w for w in r.plain.split(" ") if w]) for r in docs.where(F.pmod(F.xxhash64("plain", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, first / max(1, total)) * (1 << 20))).select("plain").limit(2 * first).collect()]
     model = GatedModel(vocabulary)
     if some:
-        model.fit([d[:4096] for d in some], batch=24)
+        model.fit(some, batch=24)
     base = spark.sparkContext.broadcast((vocabulary, model.flat()))
 
     def run(batches):
         voc, flat = base.value
         own, tokens = GatedModel(voc).load(flat), 0
-        for pdf in batches:
-            ids = [voc.ids([w for w in t.split(" ") if w]) for t in pdf.plain]
-            if ids:
+        for whole in batches:
+            for a in range(0, len(whole), 2048):
+                ids = [voc.ids([w for w in t.split(" ") if w]) for t in whole.plain.iloc[a : a + 2048]]
                 own.fit(ids)
                 tokens += sum(map(len, ids))
         if tokens:
@@ -256,17 +255,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary, every: int, first: int, total
         return pd.DataFrame([(pdf.chunk.iloc[0], int(pdf.tokens.sum()), total.astype(np.float32).tobytes())], columns=["chunk", "tokens", "sums"])
 
     schema = "chunk int, tokens long, sums binary"
-    rows = drawn.select("plain").mapInPandas(run, schema).groupBy("chunk").applyInPandas(add, schema).collect()
+    rows = docs.select("plain").mapInPandas(run, schema).groupBy("chunk").applyInPandas(add, schema).collect()
     return np.concatenate([np.frombuffer(r.sums, dtype=np.float32) for r in sorted(rows, key=lambda r: r.chunk)]) if rows else model.flat()
 
 
-def score_documents(docs: DataFrame, text: str = "text", words: int = 4096, lookup: int = 131_072, every: int = 16, first: int = 600) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", words: int = 4096, lookup: int = 131_072, first: int = 600) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for every row.
 
     A document is its words and one end; a null or empty text is the end alone.  A
     null id is not held out.  Repeated rows score alike; other columns are not read.
-    All training documents count; the network learns from one in ``every`` of them
-    by a hash of the text, so what it learns from grows with the input.  ``words``
+    All training documents count, and the network learns from all of them.  ``words``
     (the network's) and ``lookup`` (broadcast counts) are fixed sizes; counts of
     other words are joined.
     """
@@ -289,7 +287,7 @@ def score_documents(docs: DataFrame, text: str = "text", words: int = 4096, look
     vocabulary = Vocabulary(known.word.tolist(), known.c.tolist(), ends, kind_n.astype(int).tolist())
     n_all, v_all = total + ends, distinct + (ends > 0)
     base_total, kind_total = n_all + 0.1 * (v_all + 1), kind_n + 0.1 * (kind_v + 1)
-    flat = train(training, vocabulary, every, first, ends)
+    flat = train(training, vocabulary, first, ends)
     shared = spark.sparkContext.broadcast((vocabulary, flat, dict(zip(top.word.tolist(), top.c.tolist(), strict=True))))
     log_kind = np.log10(kind_total)
 

@@ -274,3 +274,11 @@ def test_lines_that_differ_in_one_place_are_found_however_short(spark):
         texts += [" ".join(a), " ".join(b)]
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 1").select("doc_id").collect()
     assert {x.doc_id for x in got} == {2 * i + 1 for i in range(90)}
+
+
+def test_language_model_learns_from_every_training_document(spark):
+    # a text that no draw of one in 16 by its hash takes, without a start on a few documents
+    texts = spark.createDataFrame([(words(s, 60),) for s in range(40, 48)], "text string")
+    text = texts.where(F.pmod(F.xxhash64("text"), F.lit(16)) != 0).orderBy("text").first().text
+    got = lm.score_documents(spark.createDataFrame([(i, text) for i in range(3000)], "doc_id long, text string"), first=0).first()
+    assert got.score > 0.5 * got.base_score

@@ -351,7 +351,7 @@ def candidates(spark, sf):
     modes = F.array(*[F.lit(x) for x in lx.PARSER_PRIORITY])
     roles = F.array(*[F.lit(x) for x in ("primary_project_doc", "report", "supporting_presentation", "unknown")])
     f = files(spark, sf)
-    one = f.select("project_id", F.col("file_ord").alias("cand_ord"), F.concat(F.lit("s"), F.col("file_ord").cast("string")).alias("source_id"), F.get(modes, (F.col("file_ord") % 4).cast("int")).alias("parser_mode"), F.get(roles, (F.floor(F.col("file_ord") / 4) % 4).cast("int")).alias("source_role"), F.get(F.array(F.lit("title"), F.lit("tasks"), F.lit("client")), (F.col("file_ord") % 3).cast("int")).alias("field"), F.substring("text", 1, 200).alias("value"))
+    one = f.select("project_id", F.col("file_ord").alias("cand_ord"), F.concat(F.lit("s"), F.col("file_ord").cast("string")).alias("source_id"), F.get(modes, (F.col("file_ord") % 4).cast("int")).alias("parser_mode"), F.get(roles, (F.floor(F.col("file_ord") / 4) % 4).cast("int")).alias("source_role"), F.get(F.array(F.lit("title"), F.lit("tasks"), F.lit("client")), (F.col("file_ord") % 3).cast("int")).alias("field"), F.col("text").alias("value"))
     return fusion.field_candidates(one.withColumn("n_items", F.size(tx.lines_of(F.col("value")))))
 
 
@@ -667,7 +667,7 @@ def _(spark, sf):
 
 @query("fus_08_fuse_modules")
 def _(spark, sf):
-    m = blocks(spark, sf).select("project_id", F.col("block_ord").alias("item_ord"), F.concat(F.lit("module "), F.col("block_key")).alias("name"), F.substring("content", 1, 120).alias("description"))
+    m = blocks(spark, sf).select("project_id", F.col("block_ord").alias("item_ord"), F.concat(F.lit("module "), F.col("block_key")).alias("name"), F.col("content").alias("description"))
     return fusion.fuse_modules(m)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import text as tx
 from folioworks.operators import classify, evidence, fusion, graph, measure, people, privacy, segment
+from folioworks.plans import registry
 from folioworks.streaming import uploads
 
 TEXT = "Пациент: Иванов Иван Иванович\nПочта alex.dreval@example.com, телефон +7 (495) 123-45-67"
@@ -131,3 +132,15 @@ def test_expiry(spark):
 def test_known_sections(spark):
     got = segment.split_known_sections(files(spark, "Intro\nStack:\nRedis\n\nPython\n# Team\nIvan\nstack\nGo"), {"stack": "tech", "team": "people"}).collect()
     assert {r.key: r.text for r in got} == {"tech": "Redis\nPython\nGo", "people": "Ivan"}
+
+
+def test_fusion_sees_whole_texts(spark):
+    top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    head = "x" * 250
+    rows = [(0, f"{head} one", "en", "s"), (3, f"{head} two", "en", "s"), (1, f"{head}\n- a task far down the list", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", head)], "conv_id long, turn int, role string, text string").write.parquet(f"{top}/conversations.parquet")
+    q = registry.queries()
+    assert [(r.field, r.n_values) for r in q["fus_09_conflicts"](spark, top).collect()] == [("title", 2)]
+    assert "a task far down the list" in {r.item for r in q["fus_05_fuse_lists"](spark, top).collect()}
+    assert q["fus_08_fuse_modules"](spark, top).first().description == head

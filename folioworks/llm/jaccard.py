@@ -10,7 +10,16 @@ So joining on these blocks misses nothing.  The number of blocks is fixed for
 each size band, and bands overlap so that every pair that may link has one in
 common.  Sketches are of shingles that are not frequent; dropping the same
 shingles everywhere cannot raise the distance, so the bound holds for any choice
-of them.  Documents with too few blocks left also use sketches of all shingles.
+of them.
+
+Sets with too few such blocks (mostly frequent shingles) are few-block sets.  One
+of them and any other set share a block, or they do not link.  Two of them meet
+on a sketch so wide that each shingle has a block of its own: the first
+|A| / 4 + 1 blocks, frequent ones last and the most frequent at the very end.
+Where two linked sets share no shingle but frequent ones, all their other
+shingles differ, so among the sets of equal frequent part the one with the fewest
+others links with every set that any of them links with.  Such a hub stands for
+its class: a passage that many documents hold makes no pairs of these documents.
 
 Candidate pairs are verified exactly.  Documents of equal sets are one vertex.
 """
@@ -47,7 +56,7 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def block_keys(hashes: np.ndarray, n: int, space: int) -> tuple[np.ndarray, bool]:
+def block_keys(hashes: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
     """Join keys of the first n / 3 + 1 blocks that are not empty, in each band; and whether every band had so many."""
     need, keys, enough = n // 3 + 1, [], True
     for band, blocks in bands(n):
@@ -65,9 +74,7 @@ def block_keys(hashes: np.ndarray, n: int, space: int) -> tuple[np.ndarray, bool
             at = parity = np.zeros(0, dtype=U)
         enough &= len(at) >= need
         with np.errstate(over="ignore"):
-            keys.append(mix(parity[:need] ^ mix(at[:need] * U(2) + U(space), 2000 + band), 3))
-        if space == 1 and len(at) < need:  # never seen but possible: then all of the band meet
-            keys.append(mix(np.array([band], dtype=U), 4))
+            keys.append(mix(parity[:need] ^ mix(at[:need], 2000 + band), 3))
     return (np.concatenate(keys) if keys else np.zeros(0, dtype=U)), enough
 
 
@@ -116,41 +123,66 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(run, "kind int, doc_id long, n long, k1 long, k2 long, sketch binary")
 
 
-def blobs(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
-    """Join keys and their vertices, as one pair of arrays for each batch and part of the key space."""
+CLASS = np.dtype([("h", "<i8"), ("others", "<i4"), ("n", "<i4")])
+
+
+def wide_keys(s: np.ndarray, others: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a few-block set: join keys of its first shingles that are not frequent, and its first frequent ones, in the order all sets share."""
+    most = len(s) - -(-percent * len(s) // 100) + 1
+    left = max(0, most - len(others))
+    return mix(others[:most], 5), frequent[np.argsort(order, kind="stable")[:left]]
+
+
+def blobs(docs: DataFrame, size: int, percent: int, frequent, parts: int) -> DataFrame:
+    """Join keys and their vertices, as one pair of arrays for each batch and part of the key space; from part ``parts`` on, frequent shingles with vertices and their classes."""
 
     def run(batches):
-        skip, seen = frequent.value, set()
+        (skip, rank), seen = frequent.value, set()
         for pdf in (b.iloc[a : a + 2048] for b in batches for a in range(0, len(b), 2048)):  # small rows, little memory in flight
-            keys, ids = [], []
+            keys, ids, hot, hot_ids, hot_class = [], [], [], [], []
             for s in shingle_sets([t or "" for t in pdf.text], size):
                 vertex = set_keys(s)
                 if vertex in seen or not len(s):  # equal sets of one input partition go out once
                     continue
                 seen.add(vertex)
-                at = np.searchsorted(skip, s) if len(skip) else None
-                rare = s[skip[np.minimum(at, len(skip) - 1)] != s] if len(skip) else s
-                k, enough = block_keys(rare, len(s), 0)
+                at = np.minimum(np.searchsorted(skip, s), len(skip) - 1) if len(skip) else None
+                often = skip[at] == s if len(skip) else np.zeros(len(s), dtype=bool)
+                others = s[~often]
+                k, enough = block_keys(others, len(s))
                 if not enough:
-                    k = np.concatenate([k, block_keys(s, len(s), 1)[0]])
+                    common = s[often]
+                    wide, first = wide_keys(s, others, common, rank[at[often]] if len(skip) else common, percent)
+                    k = np.concatenate([k, wide])
+                    hot.append(first)
+                    hot_ids.append(np.full(len(first), vertex[0], dtype=np.int64))
+                    hot_class.append(np.repeat(np.array([(set_keys(common)[0], len(others), len(s))], dtype=CLASS), len(first)))
                 keys.append(k)
                 ids.append(np.full(len(k), vertex[0], dtype=np.int64))
-            if not keys:
-                continue
-            k, d = np.concatenate(keys), np.concatenate(ids)
-            part = (k % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            k, d, cuts = k[order], d[order], np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, k[a:b].tobytes(), d[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-            yield pd.DataFrame(rows, columns=["part", "keys", "docs"])
-
-    return docs.mapInPandas(run, "part int, keys binary, docs binary")
+            rows = []
+            if keys:
+                k, d = np.concatenate(keys), np.concatenate(ids)
+                part = (k % U(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                k, d, cuts = k[by], d[by], np.searchsorted(part[by], np.arange(parts + 1))
+                rows = [(p, k[a:b].tobytes(), d[a:b].tobytes(), None) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            if hot:
+                k, d, c = np.concatenate(hot), np.concatenate(hot_ids), np.concatenate(hot_class)
+                for a in range(0, len(k), 1 << 16):
+                    b = min(a + (1 << 16), len(k))
+                    rows.append((parts + int(d[a].view(U) % U(parts)), k[a:b].tobytes(), d[a:b].tobytes(), c[a:b].tobytes()))
+            if rows:
+                yield pd.DataFrame(rows, columns=["part", "keys", "docs", "classes"])
+
+    return docs.mapInPandas(run, "part int, keys binary, docs binary, classes binary")
 
 
 def shared_lists(own: pd.DataFrame) -> pd.DataFrame:
-    """Of one part of the key space: each distinct list of two or more documents that share a key, as (list, hub, doc) with hub the least."""
+    """Of one part of the key space: each distinct list of two or more documents that share a key, as (list, hub, doc) with hub the least; rows of frequent shingles are passed on without a hub."""
     keys = np.concatenate([np.frombuffer(x, dtype=U) for x in own["keys"]])
     docs = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in own["docs"]])
+    if own["classes"].iloc[0] is not None:
+        c = np.concatenate([np.frombuffer(x, dtype=CLASS) for x in own["classes"]])
+        return pd.DataFrame({"list": keys.view(np.int64), "hub": pd.array([None] * len(keys), dtype="Int64"), "doc": docs, "h": c["h"], "others": c["others"], "n": c["n"]})
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
@@ -164,7 +196,56 @@ def shared_lists(own: pd.DataFrame) -> pd.DataFrame:
     many = many[once]
     total = count[many]
     at = np.repeat(first[many] - np.concatenate([[0], np.cumsum(total)[:-1]]), total) + np.arange(total.sum())
-    return pd.DataFrame({"list": np.repeat(name[many].view(np.int64), total), "hub": np.repeat(docs[first[many]], total), "doc": docs[at]})
+    return pd.DataFrame({"list": np.repeat(name[many].view(np.int64), total), "hub": np.repeat(docs[first[many]], total), "doc": docs[at], "h": np.int64(0), "others": np.int32(0), "n": np.int32(0)})
+
+
+def may_link(percent: int):
+    """A condition on (others, n) of two sets that share frequent shingles only: their sizes allow a link."""
+    h = lambda x: F.col(f"{x}n") - F.col(f"{x}others")
+    return lambda x, y: (100 + percent) * (F.col(f"{x}others") + F.col(f"{y}others") + F.abs(h(x) - h(y))).cast("long") <= (100 - percent) * (F.col(f"{x}n") + F.col(f"{y}n")).cast("long")  # noqa: E501
+
+
+class Frequent:
+    """Few-block sets by the frequent shingles they meet on: rows (list, h, v, others, n), lists of the same sets once."""
+
+    HUBS = 4
+
+    def __init__(self, rows: DataFrame, percent: int, scratch: Scratch):
+        rows = rows.distinct()
+        sums = rows.groupBy("list").agg(F.count("*").alias("all"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("name")).where("all > 1")
+        once = sums.groupBy("all", "name").agg(F.min("list").alias("list")).select("list")
+        self.rows = scratch.save(rows.join(once, "list"))
+        self.hubs = scratch.save(self.rows.groupBy("list", "h").agg(F.min(F.struct("others", "v", "n")).alias("m")).select("list", "h", "m.*"))
+        self.fit, self.scratch = may_link(percent), scratch
+
+    @staticmethod
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select("list", *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != "list"])
+
+    def pairs(self, left: DataFrame, right: DataFrame, on=("list",)) -> DataFrame:
+        both = self.named(left, "l_").join(self.named(right, "r_"), "list").where("l_v != r_v").where(self.fit("l_", "r_"))
+        return both
+
+    def stars(self) -> DataFrame:
+        """Every set with the hub of its class, and hubs of classes with a few of their list."""
+        own = self.rows.join(self.hubs.select("list", "h", F.col("v").alias("r_v"), F.col("others").alias("r_others"), F.col("n").alias("r_n")), ["list", "h"])
+        own = own.select(F.col("v").alias("l_v"), F.col("others").alias("l_others"), F.col("n").alias("l_n"), "r_v", "r_others", "r_n").where("l_v != r_v").where(self.fit("l_", "r_"))
+        some = [F.min(F.struct("others", "v", "n", "h")).alias("m0")] + [F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("o"), "others", "v", "n", "h")).alias(f"m{k}") for k in range(1, self.HUBS)]
+        picked = self.hubs.groupBy("list").agg(*some).select("list", F.explode(F.array(*[F.struct(*[F.col(f"m{k}.{c}").alias(c) for c in ("others", "v", "n", "h")]) for k in range(self.HUBS)])).alias("m")).select("list", "m.*").distinct()
+        across_classes = self.pairs(self.hubs, picked)
+        return own.select("l_v", "r_v").unionByName(across_classes.select("l_v", "r_v"))
+
+    def rest(self, near: DataFrame) -> DataFrame:
+        """Sets with the hubs of other classes of their lists, where one of the two is outside of what is connected most in the list."""
+        tag = lambda df: df.join(near.select(F.col("id").alias("v"), F.col("component")), "v", "left").withColumn("component", F.coalesce("component", "v"))
+        rows = self.scratch.save(tag(self.rows))
+        sizes = rows.groupBy("list", "component").agg(F.count("*").alias("n")).groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
+        classes = self.hubs.groupBy("list").agg(F.count("*").alias("classes")).where("classes > 1").select("list")
+        left = self.scratch.save(rows.join(sizes.where("parts > 1").select("list", "major"), "list").join(classes, "list"))
+        right = left.join(self.hubs.select("list", "v"), ["list", "v"], "left_semi")
+        one = self.pairs(left.where("component != major"), right)
+        two = self.pairs(left.where("component = major"), right.where("component != major"))
+        return one.unionByName(two).where("l_component != r_component and l_h != r_h").select("l_v", "r_v")
 
 
 BITMAP = 1 << 24
@@ -230,14 +311,19 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
     rows = both.where("kind = 0").drop("kind", "sketch")
     # at most `most` hashes come to the driver; which ones has no bearing on the result
     shared = scratch.save(both.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= often))
-    hot = most_frequent(shared, "n", most).select("k1").toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(hot.k1.to_numpy(dtype=np.int64).view(U)))
+    hot = most_frequent(shared, "n", most).select("k1", "n").toPandas()
+    hashes, totals = hot.k1.to_numpy(dtype=np.int64).view(U), hot.n.to_numpy(dtype=np.int64)
+    rank = np.empty(len(hashes), dtype=np.int32)
+    rank[np.lexsort((hashes, totals))] = np.arange(len(hashes), dtype=np.int32)
+    by_hash = np.argsort(hashes)
+    frequent = spark.sparkContext.broadcast((hashes[by_hash], rank[by_hash]))
     classes = scratch.save(both.where("kind = 0 and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch")))
     total = classes.agg(F.sum("n")).collect()[0][0] or 0
     parts = max(shuffle_partitions(spark), total // 1_000_000)
-    found = blobs(docs, size, frequent, parts).groupBy("part").applyInPandas(shared_lists, "list long, hub long, doc long")
+    found = blobs(docs, size, percent, frequent, parts).groupBy("part").applyInPandas(shared_lists, "list long, hub long, doc long, h long, others int, n int")
     raw = scratch.save(found)
-    lists = scratch.save(raw.distinct().join(classes.select(F.col("k1").alias("doc"), "n"), "doc"))
+    lists = scratch.save(raw.where("hub is not null").select("list", "hub", "doc").distinct().join(classes.select(F.col("k1").alias("doc"), "n"), "doc"))
+    often_lists = Frequent(raw.where("hub is null").select("list", "h", F.col("doc").alias("v"), "others", "n"), percent, scratch)
     scratch.drop(raw)
     sketches = classes.select(F.col("k1").alias("v"), "n", "sketch")
     near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
@@ -262,14 +348,15 @@ def link_documents(docs: DataFrame, text: str = "text", size: int = 5, percent:
         return scratch.save(docs.mapInPandas(cut, "v long, items binary").join(wanted, "v", "left_semi").groupBy("v").agg(F.first("items").alias("items")))
 
     hubs = lists.where("doc = hub").select("list", F.col("n").alias("hub_n"))
-    stars = lists.where("doc != hub").join(hubs, "list").where(near(F.col("n"), F.col("hub_n"))).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    stars = lists.where("doc != hub").join(hubs, "list").where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("l_v"), F.col("doc").alias("r_v"))
+    stars = stars.unionByName(often_lists.stars()).select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct()
     stars = scratch.save(close(stars, sketches, percent))
     sets = fetched(stars)
     first = components(scratch.save(verified(stars, sets, percent)), scratch)
     scratch.drop(sets)
     # what a hub has not connected meets the rest of its lists
-    rest = across(lists.select("list", F.col("doc").alias("v"), "n"), first, scratch).where(near(F.col("l_n"), F.col("r_n")))
-    rest = rest.select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = across(lists.select("list", F.col("doc").alias("v"), "n"), first, scratch).where(near(F.col("l_n"), F.col("r_n"))).select("l_v", "r_v")
+    rest = rest.unionByName(often_lists.rest(first)).select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = scratch.save(close(rest, sketches, percent))
     sets = fetched(rest)
     near_by = joined_components(first, scratch.save(verified(rest, sets, percent)), scratch)

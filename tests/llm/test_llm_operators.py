@@ -129,6 +129,25 @@ def test_jaccard_matches_brute_force(spark, none):
     assert jaccard.link_documents(none).count() == 0
 
 
+def test_jaccard_of_documents_that_are_mostly_common_passages(spark):
+    r = random.Random(11)
+    passages = [words(900 + i, 60).split(" ") for i in range(4)]
+    texts = []
+    for i in range(160):
+        own = words(2000 + i, r.choice([0, 2, 5, 9, 14, 20])).split(" ")
+        w = passages[i % 2][: r.choice([60, 60, 60, 57])] + (passages[2 + i % 2] if r.random() < 0.3 else []) + own
+        if r.random() < 0.2:
+            w[r.randrange(len(w))] = "edit"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(range(len(texts)), linked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for often in (3,):
+        got = {x.doc_id: x.component_id for x in jaccard.link_documents(df, often=often).collect()}
+        assert got == want and len(set(want.values())) > 3, often
+
+
 def test_jaccard_odd_rows(spark, docs):
     got = jaccard.link_documents(docs).collect()
     assert len(got) == len(rows())

@@ -126,15 +126,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 CLASS = np.dtype([("h", "<i8"), ("others", "<i4"), ("n", "<i4")])
 
 
-def wide_keys(s: np.ndarray, others: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a few-block set: join keys of its first shingles that are not frequent, and its first frequent ones, in the order all sets share."""
+def wide_keys(s: np.ndarray, others: np.ndarray, ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a few-block set: join keys of its first shingles that are not frequent, and the ranks of its first frequent ones, in the order all sets share."""
     most = len(s) - -(-percent * len(s) // 100) + 1
     left = max(0, most - len(others))
-    return mix(others[:most], 5), frequent[np.argsort(order, kind="stable")[:left]]
+    return mix(others[:most], 5), np.sort(ranks)[:left].astype(np.int64).view(U)
 
 
 def blobs(docs: DataFrame, size: int, percent: int, frequent, parts: int) -> DataFrame:
-    """Join keys and their vertices, as one pair of arrays for each batch and part of the key space; from part ``parts`` on, frequent shingles with vertices and their classes."""
+    """Join keys and their vertices, as one pair of arrays for each batch and part of the key space; from part ``parts`` on, ranks of frequent shingles with vertices and their classes."""
 
     def run(batches):
         (skip, rank), seen = frequent.value, set()
@@ -151,7 +151,7 @@ def blobs(docs: DataFrame, size: int, percent: int, frequent, parts: int) -> Dat
                 k, enough = block_keys(others, len(s))
                 if not enough:
                     common = s[often]
-                    wide, first = wide_keys(s, others, common, rank[at[often]] if len(skip) else common, percent)
+                    wide, first = wide_keys(s, others, rank[at[often]] if len(skip) else np.zeros(0, dtype=np.int32), percent)
                     k = np.concatenate([k, wide])
                     hot.append(first)
                     hot_ids.append(np.full(len(first), vertex[0], dtype=np.int64))
@@ -206,7 +206,12 @@ def may_link(percent: int):
 
 
 class Frequent:
-    """Few-block sets by the frequent shingles they meet on: rows (list, h, v, others, n), lists of the same sets once."""
+    """Few-block sets by the frequent shingles they meet on: rows (list, h, v, others, n), lists of the same sets once.
+
+    A list is named by the rank of its shingle.  Sets of one class (h) hold the first
+    lists of one sequence, so two classes have the same least list in common whichever
+    of their sets meet: they are compared there only.
+    """
 
     HUBS = 4
 
@@ -232,7 +237,10 @@ class Frequent:
         own = own.select(F.col("v").alias("l_v"), F.col("others").alias("l_others"), F.col("n").alias("l_n"), "r_v", "r_others", "r_n").where("l_v != r_v").where(self.fit("l_", "r_"))
         some = [F.min(F.struct("others", "v", "n", "h")).alias("m0")] + [F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("o"), "others", "v", "n", "h")).alias(f"m{k}") for k in range(1, self.HUBS)]
         picked = self.hubs.groupBy("list").agg(*some).select("list", F.explode(F.array(*[F.struct(*[F.col(f"m{k}.{c}").alias(c) for c in ("others", "v", "n", "h")]) for k in range(self.HUBS)])).alias("m")).select("list", "m.*").distinct()
-        across_classes = self.pairs(self.hubs, picked)
+        # a class need not try the hubs of all its lists here: the largest list connects most, rest() sees to the others
+        sizes = self.hubs.groupBy("list").agg(F.count("*").alias("classes"))
+        largest = self.hubs.join(sizes, "list").groupBy("h").agg(F.max_by("list", F.struct("classes", "list")).alias("list"))
+        across_classes = self.pairs(self.hubs.join(largest, ["list", "h"]), picked)
         return own.select("l_v", "r_v").unionByName(across_classes.select("l_v", "r_v"))
 
     def rest(self, near: DataFrame) -> DataFrame:
@@ -242,10 +250,11 @@ class Frequent:
         sizes = rows.groupBy("list", "component").agg(F.count("*").alias("n")).groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
         classes = self.hubs.groupBy("list").agg(F.count("*").alias("classes")).where("classes > 1").select("list")
         left = self.scratch.save(rows.join(sizes.where("parts > 1").select("list", "major"), "list").join(classes, "list"))
+        left = self.scratch.save(left.join(left.groupBy("h").agg(F.collect_set("list").alias("all")), "h"))
         right = left.join(self.hubs.select("list", "v"), ["list", "v"], "left_semi")
         one = self.pairs(left.where("component != major"), right)
         two = self.pairs(left.where("component = major"), right.where("component != major"))
-        return one.unionByName(two).where("l_component != r_component and l_h != r_h").select("l_v", "r_v")
+        return one.unionByName(two).where("l_component != r_component and l_h != r_h and list = array_min(array_intersect(l_all, r_all))").select("l_v", "r_v")
 
 
 BITMAP = 1 << 24

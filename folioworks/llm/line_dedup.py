@@ -1,33 +1,37 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-Lines are normalised and made distinct; each distinct line gets a SimHash of 128
-bits over its words, cut into six blocks.  Lines that agree in a block (and in
-their length band) are candidates by the pigeonhole principle: lines whose
-hashes differ in five bits or less always are, others often.  Lines that agree in
-their first or last two fifths are candidates too: whatever differs in one place
-only (a typo, a word replaced, put in or left out) is always found, however few
-words a line has.  Candidates, those by blocks within ``max_bits``, are verified by
-edit similarity, and one occurrence of each connected group of lines is kept: the
-first by document id and line number.
+Lines are normalised once and made distinct; each distinct line gets a SimHash of
+126 bits over its different words, cut into six blocks.  Lines that agree in a block (and in
+their length band) are candidates by the pigeonhole principle: of two lines in one
+band that differ in five bits or less one block is always equal, with more often.
+The bands of the six blocks are shifted against each other, so two lines of like
+length are in one band for most blocks.  Lines that agree in their first or last
+two fifths are candidates too: whatever differs in one place only (a typo, a word
+replaced, put in or left out) is found, however few words a line has.  Candidates
+within ``max_bits`` (lines of few words: all) are verified by edit similarity, and
+one occurrence of each connected group of lines is kept: the first by document id
+and line number.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import across, components, joined_components
 
 BLOCKS, BLOCK_BITS = 6, 21
-LANES, LANE_BITS = 2, 32  # counters of two bits share one long; no string has the 2^31 words at which they touch
+LANES, LANE_BITS = 3, 21  # three counters share one long; a line of 2^21 words or more gets no hash of its words
+FEW_WORDS = 8  # so few words may share no bit pattern with their near copy
+HUBS, MANY = 3, 8  # a list of ``MANY`` lines or more has so many hubs, others one
 
 
-def normalised(line):
-    """Lower case, runs of anything but letters and digits to one blank; empty for a line without either."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def normalised(text):
+    """Lower case, runs of anything but letters and digits to one blank; line ends stay."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
 def _end_bands(n, similarity: float):
@@ -50,114 +54,135 @@ def _end_keys(norm, n, similarity: float):
     return F.when(F.floor(n * (1 - similarity)) >= 1, F.flatten(F.transform(_end_bands(n, similarity), key)))
 
 
-def _hashed(lines: DataFrame, similarity: float = 0.85) -> DataFrame:
-    """Distinct lines as (v, s1, s2, n, place, e0 .. e3), from occurrences (h1, h2, place, norm).
+def _hashed(occ: DataFrame, similarity: float) -> DataFrame:
+    """Distinct lines as (v, h2, s1, s2, n, words, times, place, e0 .. e3), from occurrences (id, row, pos, v, h2, norm).
 
-    Lines are made distinct before their words are counted, each word once for each
-    time it stands in the line, so no count grows with the repeats of a line.  Bit i
-    of the SimHash is set where more than half of the words' hashes have it.  The
-    words meet where the distinct lines are: no second shuffle.
+    Lines are made distinct before their words are counted, so no count grows with
+    the repeats of a line.  Each different word of a line counts once, or the few
+    words that stand in every line would decide the hash.  Bit i of the SimHash is
+    set where more than half of the words' hashes have it.  The words meet where the
+    distinct lines are: no second shuffle.
     """
-    once = lines.groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.min("place").alias("place"))
+    once = occ.groupBy("v", "h2").agg(F.first("norm").alias("norm"), F.min(F.struct("id", "row", "pos")).alias("place"), F.count("*").alias("times"))
     once = once.withColumn("n", F.length("norm").cast("long"))
     once = once.withColumn("ends", _end_keys(F.col("norm"), F.col("n"), similarity))
     ends = [f"e{i}" for i in range(4)]
-    word = once.select("h1", "h2", "place", "n", *[F.get("ends", F.lit(i)).alias(e) for i, e in enumerate(ends)], F.explode(F.split("norm", " ")).alias("w"))
-    word = word.select("h1", "h2", "place", "n", *ends, F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
+    kept = ["n", "times", "id", "row", "pos", *ends]
+    word = once.select("v", "h2", "n", "times", "place.*", *[F.get("ends", F.lit(i)).alias(e) for i, e in enumerate(ends)], F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
+    word = word.select("v", "h2", *kept, F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
     mask = sum(1 << (LANE_BITS * k) for k in range(LANES))
     sums = [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(mask))).alias(f"{x}{i}") for x in ("a", "b") for i in range(LANE_BITS)]
-    counted = word.groupBy("h1", "h2").agg(F.count("*").alias("words"), F.min("place").alias("place"), F.max("n").alias("n"), *[F.max(e).alias(e) for e in ends], *sums)
+    counted = word.groupBy("v", "h2").agg(F.count("*").alias("words"), *[F.max(c).alias(c) for c in kept], *sums)
 
     def packed(name):
         bits = []
-        for i in range(64):
+        for i in range(LANES * LANE_BITS):
             count = F.shiftrightunsigned(f"{name}{i % LANE_BITS}", LANE_BITS * (i // LANE_BITS)).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
-            bits.append(F.when(count * 2 > F.col("words"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
-        return reduce(lambda x, y: x.bitwiseOR(y), bits)
+            bits.append(F.when(count * 2 > F.col("words"), F.lit(1 << i)).otherwise(F.lit(0)))
+        return F.when(F.col("words") < 1 << LANE_BITS, reduce(lambda x, y: x.bitwiseOR(y), bits))
 
-    return counted.select(F.col("h1").alias("v"), packed("a").alias("s1"), packed("b").alias("s2"), "n", "place", *ends)
+    return counted.select("v", "h2", packed("a").alias("s1"), packed("b").alias("s2"), "words", *kept)
 
 
-def _blocks():
-    """The six blocks of the hash: three of s1, three of s2."""
+def _block_keys():
+    """One key for each block: its place and bits and the band of length, half again as long each, shifted by a sixth of a band from block to block."""
     out = []
-    for s in ("s1", "s2"):
-        for k in range(3):
-            out.append(F.shiftrightunsigned(s, BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
-    return F.array(*[F.xxhash64(F.lit(i), b) for i, b in enumerate(out)])
+    for i in range(BLOCKS):
+        bits = F.shiftrightunsigned("s1" if i < 3 else "s2", BLOCK_BITS * (i % 3)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+        band = F.floor(F.log("n") / F.log(F.lit(1.5)) + i / BLOCKS)
+        out.append(F.when(F.col("s1").isNotNull(), F.xxhash64(F.lit(i), band, bits)))
+    return out
+
+
+def _lists(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(list, v): lines that share a key with another line; lists of the same lines once."""
+    keys = hashed.select(F.explode(F.filter(F.array(*_block_keys(), "e0", "e1", "e2", "e3"), lambda x: x.isNotNull())).alias("list"), "v")
+    # most keys are of one line: they go by a count before anything else moves
+    shared = keys.groupBy("list").agg(F.count("*").alias("all")).where("all > 1").select("list")
+    lists = scratch.save(keys.join(shared, "list"))
+    named = lists.groupBy("list").agg(F.count("*").alias("all"), F.sum(F.shiftright(F.xxhash64("v"), 20)).alias("sum"), F.bit_xor(F.xxhash64("v", F.lit(3))).alias("name"))
+    once = scratch.save(lists.join(named.groupBy("all", "sum", "name").agg(F.min("list").alias("list")).select("list"), "list"))
+    scratch.drop(lists)
+    return once
+
+
+def _near(pairs: DataFrame, hashed: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """The pairs (a, b) whose lengths and hashes allow the similarity."""
+    of = lambda x: hashed.select(F.col("v").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("s1", "s2", "n", "words")])
+    bits = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
+    few = F.least("a_words", "b_words") <= FEW_WORDS
+    long = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(long & (few | F.coalesce(bits, F.lit(0)).__le__(max_bits))).select("a", "b")
+
 
+def _stripped(both: DataFrame) -> DataFrame:
+    """x and y without most of the start and end that they share: that leaves their distance as it is."""
+    n = F.least(F.length("x"), F.length("y"))
+    part = lambda k: F.floor(n * k / 8).cast("int")
 
-def _distance(a: str, b: str):
-    return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
+    def shared(end):
+        found = F.lit(0)
+        for k in (1, 2, 4, 6, 7):
+            found = F.when(end(F.col("x"), part(k)) == end(F.col("y"), part(k)), F.lit(k)).otherwise(found)
+        return found
 
+    both = both.withColumns({"p": shared(F.left), "q": shared(F.right)}).withColumn("q", F.least("q", 8 - F.col("p")))
+    cut = lambda c: F.substring(c, part(F.col("p")) + 1, F.length(c) - part(F.col("p")) - part(F.col("q")))
+    return both.select("a", "b", "most", cut(F.col("x")).alias("x"), cut(F.col("y")).alias("y"))
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+
+WIDE = 1 << 20
+
+
+def _verified(pairs: DataFrame, occ: DataFrame, hashed: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) with the edit similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    # at most 2^20 rows whatever the input: it only keeps most texts from being moved, an exact join follows
+    low = wanted.select(F.pmod("v", F.lit(WIDE)).alias("low")).distinct()
+    first = hashed.join(wanted, "v", "left_semi").select("v", "id", "row", "pos")
+    some = occ.withColumn("low", F.pmod("v", F.lit(WIDE))).join(F.broadcast(low), "low", "left_semi").select("v", "id", "row", "pos", "norm")
+    texts = scratch.save(some.join(first, ["v", "id", "row", "pos"]).select("v", "norm").dropDuplicates(["v"]))
     x = texts.select(F.col("v").alias("a"), F.col("norm").alias("x"))
     y = texts.select(F.col("v").alias("b"), F.col("norm").alias("y"))
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity)).cast("int")
-    both = pairs.join(x, "a").join(y, "b").withColumn("most", most)
-    return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
-
-
-WIDE = 1 << 31  # more than any line number
-
-
-def _identity():
-    """The id that orders documents; null ids come last and count as one."""
-    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-
-
-def _texts(base: DataFrame, hashed: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, norm) of the wanted lines, fetched from where they occur first."""
-    at = hashed.join(wanted, "v", "left_semi").select("v", F.floor(F.col("place") / WIDE).cast("long").alias("id"), F.pmod(F.col("place"), F.lit(WIDE).cast("decimal(38,0)")).cast("int").alias("pos"))
-    by_doc = at.groupBy("id").agg(F.collect_list(F.struct("v", "pos")).alias("some"))
-    got = base.select("id", F.split("text", "\n").alias("rows")).join(by_doc, "id").select(F.explode(F.transform("some", lambda x: F.struct(x["v"].alias("v"), F.get(F.col("rows"), x["pos"]).alias("line")))).alias("e"))
-    got = got.select("e.v", normalised(F.col("e.line")).alias("norm"))
-    return scratch.save(got.where(F.xxhash64("norm") == F.col("v")).dropDuplicates(["v"]))
-
-
-def mark_lines(docs: DataFrame, scratch: Scratch, text: str = "text", similarity: float = 0.85, max_bits: int = 40) -> DataFrame:
-    """(id, flags): for each document, whether each of its lines stays, in order."""
-    base = docs.select(_identity().alias("id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    occ = base.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normalised(F.col("line")).alias("norm"))
-    place = (F.col("id").cast("decimal(20,0)") * F.lit(WIDE).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    occ = occ.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7))).withColumn("place", place)
-    hashed = scratch.save(_hashed(occ.where("norm != ''"), similarity))
-    # bands of length, half again as long each; a line near the lower end of its band is also in the one below
-    band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.5)))
-    bands = F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * similarity)))
-    keys = hashed.select("v", "s1", "s2", "n", F.explode(bands).alias("band")).select("v", "s1", "s2", "n", "band", F.explode(_blocks()).alias("block"))
-    keys = keys.select(F.xxhash64("block", "band").alias("list"), F.lit(False).alias("at_end"), "v", "s1", "s2", "n")
-    # a line of one word or two may share no bit pattern with its near copy, so lists of ends ask for no distance of hashes
-    at_end = hashed.select(F.explode(F.filter(F.array("e0", "e1", "e2", "e3"), lambda x: x.isNotNull())).alias("list"), F.lit(True).alias("at_end"), "v", "s1", "s2", "n")
-    keys = keys.unionByName(at_end)
-    # most keys are of one line: they go by a count of their hashes before anything else moves
-    shared = keys.groupBy("list").agg(F.count("*").alias("all"), F.min("v").alias("hub")).where("all > 1").drop("all")
-    lists = keys.join(shared, "list")
-    hubs = lists.where("v = hub").select("list", "at_end", "hub", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("n").alias("hn"))
-    lists = scratch.save(lists.where("v != hub").join(hubs.drop("hub", "at_end"), "list"))
-    alike = lambda p, q: F.least(p, q) >= F.greatest(p, q) * similarity
-    stars = lists.where((F.col("at_end") | (_distance("s", "h") <= max_bits)) & alike(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    stars = scratch.save(stars)
-    ends = F.explode(F.array("a", "b")).alias("v")
-    texts = _texts(base, hashed, stars.select(ends).distinct(), scratch)
-    first = components(scratch.save(_verified(stars, texts, similarity)), scratch)
+    both = _stripped(pairs.join(x, "a").join(y, "b").withColumn("most", most))
+    found = scratch.save(both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b"))
     scratch.drop(texts)
-    # what a hub has not connected meets the rest of its lists
-    rows = lists.select("list", "at_end", "v", "s1", "s2", "n").unionByName(hubs.join(lists.select("list").distinct(), "list", "left_semi").select("list", "at_end", F.col("hub").alias("v"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("hn").alias("n")))
-    rest = across(rows, first, scratch).where((F.col("l_at_end") | (_distance("l_s", "r_s") <= max_bits)) & alike(F.col("l_n"), F.col("r_n")))
-    rest = rest.select(F.least("l_v", "r_v").alias("a"), F.greatest("l_v", "r_v").alias("b")).distinct()
-    rest = scratch.save(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    scratch.drop(lists)
-    found = joined_components(first, scratch.save(_verified(rest, _texts(base, hashed, rest.select(ends).distinct(), scratch), similarity)), scratch)
+    return found
+
+
+def _rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with __id and __row, which name each row: by its id alone where ids are unique and not null; else the rows are written once with numbers."""
+    last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not repeats:
+        return docs.withColumn("__id", last).withColumn("__row", F.lit(0).cast("long"))
+    return scratch.save(docs.withColumn("__id", last).withColumn("__row", F.monotonically_increasing_id()))
+
+
+def mark_lines(rows: DataFrame, scratch: Scratch, text: str = "text", similarity: float = 0.85, max_bits: int = 40) -> DataFrame:
+    """(__id, __row, gone): the numbers of the lines that go, for each row of ``rows`` that loses any."""
+    base = rows.where(F.col(text).isNotNull()).select(F.col("__id").alias("id"), F.col("__row").alias("row"), normalised(F.col(text)).alias("lines"))
+    occ = base.select("id", "row", F.posexplode(F.split("lines", "\n")).alias("pos", "norm")).select("id", "row", "pos", F.trim("norm").alias("norm")).where("norm != ''")
+    occ = scratch.save(occ.select("id", "row", "pos", F.xxhash64("norm").alias("v"), F.xxhash64("norm", F.lit(7)).alias("h2"), "norm"))
+    hashed = scratch.save(_hashed(occ, similarity))
+    lists = _lists(hashed, scratch)
+    hubs = lists.groupBy("list").agg(F.min("v").alias("m0"), F.count("*").alias("all"), *[F.min_by("v", F.xxhash64("v", F.lit(k))).alias(f"m{k}") for k in range(1, HUBS)])
+    hubs = hubs.select("list", F.explode(F.when(F.col("all") < MANY, F.array("m0")).otherwise(F.array_distinct(F.array(*[f"m{k}" for k in range(HUBS)])))).alias("hub"))
+    ordered = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    tried = scratch.save(ordered(lists.join(hubs, "list"), "hub", "v"))
+    first = components(_verified(scratch.save(_near(tried, hashed, similarity, max_bits)), occ, hashed, similarity, scratch), scratch)
+    # what its hubs have not connected meets the rest of its list
+    rest = ordered(across(lists, first, scratch), "l_v", "r_v").join(tried, ["a", "b"], "left_anti")
+    rest = scratch.save(_near(rest, hashed, similarity, max_bits))
+    scratch.drop(lists, tried)
+    found = joined_components(first, _verified(rest, occ, hashed, similarity, scratch), scratch)
     # lines that repeat: each of a linked group but the first, and each occurrence beyond the first
-    kept = hashed.select("v", "place").join(found, F.col("v") == F.col("id"), "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("place").alias("place"))
-    marked = occ.select("id", "pos", "place", (F.col("norm") == "").alias("blank")).join(kept.select("place", F.lit(True).alias("stays")), "place", "left")
-    marked = marked.select("id", F.struct("pos", (F.col("blank") | F.coalesce("stays", F.lit(False))).alias("stays")).alias("one"))
-    sorted_ones = marked.groupBy("id").agg(F.array_sort(F.collect_set("one")).alias("a"))
-    # where texts of one id differ, the last entry of a line number is the one that stays
-    last = F.filter("a", lambda x, i: F.coalesce(F.get(F.col("a"), i + 1)["pos"] != x["pos"], F.lit(True)))
-    return scratch.save(sorted_ones.select("id", F.transform(last, lambda x: x["stays"]).alias("flags")))
+    grouped = hashed.join(found.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    kept = grouped.groupBy("component").agg(F.min(F.struct("id", "row", "pos")).alias("kept"), F.sum("times").alias("all")).where(F.col("all") > 1).drop("all")
+    kept = grouped.select("v", "h2", "component").join(kept, "component").select("v", "h2", "kept")
+    gone = occ.select("id", "row", "pos", "v", "h2").join(kept, ["v", "h2"]).where(F.struct("id", "row", "pos") != F.col("kept"))
+    return scratch.save(gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__gone")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = 0.85, max_bits: int = 40) -> DataFrame:
@@ -166,17 +191,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = 0.85, m
     Every line with a letter or a digit takes part, however short; lines without
     are always kept.  A null text stays null with no lines; an empty one is one
     blank line.  Of exact and fuzzy repeats the occurrence of least (doc_id, line
-    number) stays, null ids last.  Rows of one id are one document: what they have
-    alike at the same line number stays in all of them.  Other columns are passed on
-    as they are, but n_lines and n_removed, if there are any, are replaced.
+    number) stays, null ids last.  Rows of one id are documents of their own, one of
+    them the first, and so are rows without an id.  Other columns are passed on as
+    they are, but n_lines and n_removed, if there are any, are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    flags = mark_lines(docs, scratch, text, similarity, max_bits).select(F.col("id").alias("__id"), F.col("flags").alias("__flags"))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*cols, _identity().alias("__id")).join(flags, "__id", "left")
+    rows = _rows(docs.select(*cols), scratch)
+    joined = rows.join(mark_lines(rows, scratch, text, similarity, max_bits), ["__id", "__row"], "left")
     parts = F.split(text, "\n")
-    stays = F.filter(parts, lambda x, i: F.coalesce(F.get(F.col("__flags"), i), F.lit(True)))
-    out = joined.withColumn("__parts", stays).withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__parts")).cast("long"))
-    out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("__parts", "\n")))
+    stays = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
+    out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+    out = out.withColumn("n_removed", F.when(F.col(text).isNull() | F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
+    out = out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
     return out.select(*cols, "n_lines", "n_removed")

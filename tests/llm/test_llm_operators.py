@@ -301,3 +301,22 @@ def test_language_model_learns_from_every_training_document(spark):
     text = texts.where(F.pmod(F.xxhash64("text"), F.lit(16)) != 0).orderBy("text").first().text
     got = lm.score_documents(spark.createDataFrame([(i, text) for i in range(3000)], "doc_id long, text string"), first=0).first()
     assert got.score > 0.5 * got.base_score
+
+
+def test_pii_adds_spans_in_other_forms(spark):
+    r = random.Random(3)
+    num = lambda n: "".join(r.choices("0123456789", k=n))
+    name = lambda: "".join(r.choices("abcdefghij", k=r.randint(3, 8)))
+    phone = lambda: f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}"
+    some = lambda: r.choice([f"{name()}.{name()}@{name()}.org", phone(), f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}"])
+    texts = [f"{words(i, 12)} {some()} {words(i + 5000, 9)} {some()} {words(i + 9000, 4)} {num(4)}" for i in range(300)]
+    planted = []
+    for i in range(40):
+        form = r.choice([phone()[1:], f"{name()} @ {name()}.org", "[.]".join(str(r.randint(1, 255)) for _ in range(4))])
+        planted.append(f"{words(i + 20000, 8)} {form} {words(i + 30000, 8)}")
+    df = spark.createDataFrame(list(enumerate(texts + planted)), "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.find(df).collect()}
+    for i, t in enumerate(texts):
+        assert {(k, a, b) for k, a, b in pii.base_spans(t)} <= {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].spans.split(","))}
+    found = sum(bool(got[len(texts) + i].spans) for i in range(40))
+    assert found >= 28, found

@@ -33,6 +33,11 @@ TECH_ALIASES = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")

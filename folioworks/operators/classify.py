@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions.lexicons import DOMAINS, SOURCE_TYPES
+from folioworks.functions.text import let, squeeze
 
 
 def keyword_hits(text: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
@@ -29,7 +30,7 @@ def _ranked(hits: Column) -> Column:
 
 def classify_domain(texts: DataFrame, lexicon: dict[str, tuple[str, ...]] = DOMAINS, text: str = "text") -> DataFrame:
     """CLS-7 / CLS-8: primary domain, up to two secondary ones of at least half its hits, confidence and evidence."""
-    ranked = texts.withColumn("__r", _ranked(keyword_hits(F.lower(F.coalesce(F.col(text), F.lit(""))), lexicon)))
+    ranked = texts.withColumn("__r", let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: _ranked(keyword_hits(t, lexicon))))
     best, total = F.get("__r", 0), F.aggregate("__r", F.lit(0), lambda a, h: a + h["hits"])
     second = F.slice(F.filter(F.slice("__r", 2, 100), lambda h: h["hits"] * 2 >= best["hits"]), 1, 2)
     none = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", 0.3).otherwise(0.4)
@@ -40,7 +41,7 @@ def classify_domain(texts: DataFrame, lexicon: dict[str, tuple[str, ...]] = DOMA
 def build_inventory(files: DataFrame, lexicon: dict[str, tuple[str, ...]] = SOURCE_TYPES) -> DataFrame:
     """CLS-3: source type with the largest share of its marks, first in lexicon order on ties."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hits = keyword_hits(F.translate(F.lower(text), " ", " "), lexicon)
+    hits = let(F.translate(F.lower(text), " ", " "), lambda t: keyword_hits(t, lexicon))
     slides = F.size(F.regexp_extract_all(text, F.lit(r"(?i)(?:^|\n)\s*Slide\s+\d+\s*:"), 0))
     people = F.size(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[А-ЯЁ][а-яё]+\s+[А-ЯЁ]"), 0))
     f = files.withColumn("__h", hits).withColumn("slides", slides).withColumn("__people", people)
@@ -103,3 +104,123 @@ def ocr_targets(pages: DataFrame, min_chars: int = 40, cap: int = 40) -> DataFra
 def user_projects(projects: DataFrame, technical: str = r"(?iU)\b(test|smoke|demo|debug|tmp|sample)\b") -> DataFrame:
     """CLS-16: projects with material whose names are no technical ones."""
     return projects.where(~F.coalesce("name", F.lit("")).rlike(technical) & (F.col("n_files") > 0))
+
+
+def classify_profile(texts: DataFrame, lexicon: dict[str, tuple[str, ...]], text: str = "text", other: str = "general") -> DataFrame:
+    """CLS-8: the one profile with most hits, first in the lexicon's order on ties."""
+    best = let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: F.get(_ranked(keyword_hits(t, lexicon)), 0))
+    return texts.withColumn("__b", best).withColumn("profile", F.coalesce(F.col("__b")["key"], F.lit(other))).withColumn("hits", F.coalesce(F.col("__b")["hits"], F.lit(0))).drop("__b")
+
+
+def _scored(hits: Column, confidence, top: int) -> Column:
+    """The keys with hits as (confidence, key, markers), best first, then lexicon order, at most ``top``."""
+    some = F.transform(F.filter(hits, lambda h: h["hits"] > 0), lambda h: F.struct((-confidence(h)).alias("neg"), h["key_ord"].alias("o"), h["key"].alias("key"), h["markers"].alias("markers")))
+    return F.transform(F.slice(F.array_sort(some), 1, top), lambda h: F.struct(h["key"].alias("key"), F.round(-h["neg"], 6).alias("confidence"), F.slice(h["markers"], 1, 5).alias("evidence")))
+
+
+def detect_archetypes(classified: DataFrame, rules: dict[str, tuple[str | None, tuple[str, ...]]], text: str = "text", top: int = 3) -> DataFrame:
+    """CLS-9: archetypes of texts that CLS-7 has classified.
+
+    ``rules`` gives each archetype the domain it needs (None: any) and its words.  0.5
+    and 0.12 for each word found, at most 0.92; 0.1 more, at most 0.95, where the
+    domain is the primary one.
+    """
+    need = F.create_map(*[F.lit(x) for k, (d, _) in rules.items() for x in (k, d or "")])
+    base = lambda h: F.least(F.lit(0.92), F.lit(0.5) + 0.12 * h["hits"])
+    conf = lambda h: F.when(need[h["key"]] == F.col("primary_domain"), F.least(F.lit(0.95), base(h) + 0.1)).otherwise(base(h))
+    fits = lambda h: (need[h["key"]] == "") | (need[h["key"]] == F.col("primary_domain")) | F.array_contains("secondary", need[h["key"]])
+    hits = let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: keyword_hits(t, {k: w for k, (_, w) in rules.items()}))
+    return classified.withColumn("__h", hits).withColumn("archetypes", _scored(F.filter("__h", fits), conf, top)).drop("__h")
+
+
+def detect_patterns(classified: DataFrame, rules: dict[str, tuple[str, ...]], boosts: dict[tuple[str, str], float] | None = None, text: str = "text", top: int = 10) -> DataFrame:
+    """CLS-10: patterns by their words: 0.48 and 0.1 for each, at most 0.9; ``boosts`` adds for (pattern, primary domain), at most 0.95."""
+    add = F.lit(0.0)
+    base = lambda h: F.least(F.lit(0.9), F.lit(0.48) + 0.1 * h["hits"])
+
+    def conf(h):
+        extra = add
+        for (pattern, domain), more in (boosts or {}).items():
+            extra = F.when((h["key"] == pattern) & (F.col("primary_domain") == domain), more).otherwise(extra)
+        return F.when(extra > 0, F.least(F.lit(0.95), base(h) + extra)).otherwise(base(h))
+
+    hits = let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: keyword_hits(t, rules))
+    return classified.withColumn("__h", hits).withColumn("patterns", _scored(F.col("__h"), conf, top)).drop("__h")
+
+
+def plan_sections(domains: DataFrame, plan: dict[str, tuple[str, ...]], default: tuple[str, ...], domain: str = "primary_domain") -> DataFrame:
+    """CLS-11: one row for each planned section of a project, in order; domains without a plan get the default."""
+    lists = F.create_map(*[x for k, v in plan.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    rows = F.coalesce(lists[F.col(domain)], F.array(*[F.lit(s) for s in default]))
+    return domains.select(*domains.columns, F.posexplode(rows).alias("section_ord", "section"))
+
+
+def classify_visual(items: DataFrame, lexicon: dict[str, tuple[str, ...]], text: str = "text") -> DataFrame:
+    """CLS-12: content type with most marks (first on ties): 0.45 and 0.12 for each, 0.08 more for images alone, at most 0.95; without marks generic, or unknown where there is neither text nor image."""
+    best = let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: F.get(_ranked(keyword_hits(t, lexicon)), 0))
+    alone = (F.col("image_count") > 0) & (F.length(F.coalesce(F.col(text), F.lit(""))) < 40)
+    out = items.withColumn("__b", best)
+    nothing = (F.col("image_count") == 0) & (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) == 0)
+    kind = F.coalesce(F.col("__b")["key"], F.when(nothing, "unknown").otherwise("generic"))
+    conf = F.when(F.col("__b").isNotNull(), F.least(F.lit(0.95), F.lit(0.45) + 0.12 * F.col("__b")["hits"] + F.when(alone, 0.08).otherwise(0.0))).when(nothing, 0.2).otherwise(0.4)
+    return out.withColumn("content_type", kind).withColumn("confidence", F.round(conf, 6)).drop("__b")
+
+
+def verdict(states: DataFrame) -> DataFrame:
+    """CLS-15: status and classification of a project's state, first matching rule.
+
+    Columns: source_count, filenames, evidence_count, team_structured_count,
+    contract_has_team, export_has_team, landing_stale, team_coverage, is_technical.
+    """
+    n, team, has, shown = F.col("source_count"), F.col("team_structured_count"), F.col("contract_has_team") | (F.col("team_structured_count") > 0), F.col("export_has_team")
+    listed = F.exists("filenames", lambda f: F.endswith(F.lower(f), F.lit(".docx")) | F.endswith(F.lower(f), F.lit(".txt")))
+    rules = (
+        ((n == 1) & ~has & ~shown & F.coalesce("team_coverage", F.lit("")).isin("missing", ""), "USER_ACTION_REQUIRED", "single_file_no_team_source"),
+        ((n >= 2) & listed & (team == 0), "BUG", "docx_present_but_team_missing"),
+        (has & ~shown, "BUG", "contract_has_team_but_export_missing"),
+        (F.col("landing_stale"), "STALE", "stale_generated_landing"),
+        ((n >= 2) & (team > 0) & shown, "OK", "team_pipeline_ok"),
+        ((n == 0) & (F.size("filenames") == 0) & (F.col("evidence_count") == 0) & F.col("is_technical"), "USER_ACTION_REQUIRED", "technical_or_empty_project"),
+    )
+    status, name = F.lit("BUG"), F.lit("ambiguous_inconsistent_state")
+    for c, s, k in reversed(rules):
+        status, name = F.when(c, s).otherwise(status), F.when(c, k).otherwise(name)
+    return states.withColumn("status", status).withColumn("classification", name)
+
+
+def choose_parser(projects: DataFrame) -> DataFrame:
+    """CLS-17: structured alone; fusion of two sources or more; else the presentation if it is more complete, assembly from 70 (or 55, if no less than the presentation), any presentation, or heuristic.
+
+    Columns: single_ready_doc, n_sources, multi_score, presentation_score (null: no presentation).
+    """
+    multi, deck = F.coalesce("multi_score", F.lit(0)), F.col("presentation_score")
+    some = deck.isNotNull()
+    mode = (
+        F.when(F.col("single_ready_doc"), "structured").when(F.col("n_sources") >= 2, "fusion").when(some & (deck > multi), "project_presentation")
+        .when((multi >= 70) | ((multi >= 55) & (multi >= F.coalesce(deck, F.lit(0)))), "multi_source_assembly").when(some, "project_presentation").otherwise("heuristic")
+    )
+    return projects.withColumn("parser_mode", mode)
+
+
+# Words that are no part of a person's name, and words that name a role.
+NO_NAME = ("проект", "команда", "задача", "этап", "данные", "система", "модель", "цель", "результат", "для", "при", "над", "под", "без")
+ROLE_WORDS = ("разработчик", "тимлид", "аналитик", "дизайнер", "инженер", "менеджер", "developer", "lead", "analyst", "designer", "engineer", "manager")
+
+
+def person_name_ok(name: Column, form: str = r"^[А-ЯЁ][а-яё-]+(?: [А-ЯЁ][а-яё-]+){1,2}$", stop: tuple[str, ...] = NO_NAME) -> Column:
+    """CLS-18: two or three capitalised words, none of them a stop word; the form is a parameter."""
+    n = squeeze(F.coalesce(name, F.lit("")))
+    return n.rlike(form) & ~F.arrays_overlap(F.split(F.lower(n), " "), F.array(*[F.lit(w) for w in stop]))
+
+
+def role_ok(role: Column, words: tuple[str, ...] = ROLE_WORDS) -> Column:
+    """CLS-18: a role names one of the role words and is no sentence."""
+    low = F.lower(squeeze(F.coalesce(role, F.lit(""))))
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)) & (F.length(low) <= 120)
+
+
+def candidate_reason(candidates: DataFrame, form: str = r"^[А-ЯЁ][а-яё-]+(?: [А-ЯЁ][а-яё-]+){1,2}$", words: tuple[str, ...] = ROLE_WORDS) -> DataFrame:
+    """CLS-18: whether a candidate (name, role, in_team_context) is accepted, and why (not)."""
+    ok, role = person_name_ok(F.col("name"), form), role_ok(F.col("role"), words)
+    reason = F.when(~ok, "invalid_name").when(role, "name_and_role").when(F.col("in_team_context"), "team_context").otherwise("no_role_or_context")
+    return candidates.withColumn("reason", reason).withColumn("accepted", reason.isin("name_and_role", "team_context"))

@@ -19,7 +19,7 @@ def extract_technologies(col: Column, dictionary: dict[str, tuple[str, str]] = T
     low = F.translate(F.lower(F.coalesce(col, F.lit(""))), " ", " ")
     keys = sorted(dictionary, key=len, reverse=True)
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dictionary[k][1]).alias("name")) for k in keys])
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(low, p["k"])), lambda p: p["name"]))
+    return tx.let(low, lambda t: F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(t, p["k"])), lambda p: p["name"])))
 
 
 def group_technologies(df: DataFrame, technologies: str = "technologies", dictionary: dict[str, tuple[str, str]] = TECHNOLOGIES) -> DataFrame:
@@ -49,9 +49,8 @@ def build_evidence(parts: DataFrame) -> DataFrame:
 
 def field_labels(evidence: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataFrame:
     """EVD-6: (item, field) for every field one of whose marks occurs."""
-    low = F.lower("text")
-    labels = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(low, m)), F.lit(f)) for f, marks in rules.items()]))
-    return evidence.select("*", F.explode(labels).alias("field"))
+    found = lambda t: F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(t, m)), F.lit(f)) for f, marks in rules.items()]))
+    return evidence.select("*", F.explode(tx.let(F.lower("text"), found)).alias("field"))
 
 
 def rank_field_evidence(labelled: DataFrame, roles: dict[str, float], types: dict[str, float], top: int = 8) -> DataFrame:

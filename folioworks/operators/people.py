@@ -59,9 +59,11 @@ def best_name_match(candidates: DataFrame, roster: DataFrame, least: float = 0.7
     c = candidates.select("project_id", "name", normalize_person(F.col("name")).alias("a")).distinct()
     r = roster.select("project_id", "roster_ord", F.col("name").alias("trusted"), normalize_person(F.col("name")).alias("b"))
     la, lb = F.length("a"), F.length("b")
-    # 2 min / (la + lb) bounds the ratio from above; so do the letters they share
+    # 2 min / (la + lb) bounds the ratio from above; so does twice the number of letters they share, each as often as both have it
     pairs = c.join(r, "project_id").where(2.0 * F.least(la, lb) / (la + lb) >= least)
-    pairs = pairs.where(F.size(F.array_intersect(F.split("a", ""), F.split("b", ""))) * 2 >= F.least(F.size(F.array_distinct(F.split("a", ""))), F.size(F.array_distinct(F.split("b", "")))))
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    alike = F.aggregate(F.array_distinct(letters("a")), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(letters("a"), lambda y: y == x)), F.size(F.filter(letters("b"), lambda y: y == x))))
+    pairs = pairs.where((F.col("a") == F.col("b")) | (2.0 * alike / (la + lb) >= least))
     score = pairs.select("a", "b").distinct().withColumn("score", sequence_ratio("a", "b"))
     best = pairs.join(score, ["a", "b"]).where(F.col("score") >= least).groupBy("project_id", "name").agg(F.max(F.struct("score", (-F.col("roster_ord")).alias("o"), "trusted")).alias("m"))
     out = candidates.join(best, ["project_id", "name"], "left").withColumn("score", F.col("m.score")).withColumn("trusted", F.col("m.trusted")).drop("m")
@@ -90,3 +92,47 @@ def review_summary(candidates: DataFrame) -> DataFrame:
     """TEAM-9: totals of a project and whether its team can be published."""
     a = team_metrics(candidates)
     return a.withColumn("can_publish", (F.col("verified") > 0) & (F.col("needs_review") == 0))
+
+
+def resolve_sources(candidates: DataFrame, names: DataFrame) -> DataFrame:
+    """TEAM-5: where each candidate's name stands: the file of an equal name, files without OCR first, then of the most similar one (0.88 or more).
+
+    ``names`` is (project_id, name, file_ord, is_ocr).
+    """
+    index = names.groupBy("project_id", normalize_person(F.col("name")).alias("key")).agg(F.min(F.struct("is_ocr", "file_ord", "name")).alias("m"))
+    exact = candidates.withColumn("key", normalize_person(F.col("name"))).join(index, ["project_id", "key"], "left")
+    open_ = exact.where("m is null").select("project_id", "name").distinct()
+    roster = index.select("project_id", F.col("m.name").alias("name"), F.col("m.file_ord").alias("roster_ord"), "m")
+    near = best_name_match(open_, roster.drop("m"), 0.88).where("trusted is not null").select("project_id", "name", normalize_person(F.col("trusted")).alias("near_key"))
+    near = near.join(index.select("project_id", F.col("key").alias("near_key"), F.col("m").alias("near")), ["project_id", "near_key"]).select("project_id", "name", "near")
+    out = exact.join(near, ["project_id", "name"], "left")
+    found = F.coalesce("m", "near")
+    how = F.when(F.col("m").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy").otherwise("none")
+    return out.select("project_id", "name", found["file_ord"].alias("source_file"), F.coalesce(found["is_ocr"], F.lit(False)).alias("source_is_ocr"), how.alias("resolved"))
+
+
+def verify(candidates: DataFrame, reject: float = 0.4, garbage: float = 0.5, strong: float = 0.88, weak: float = 0.75) -> DataFrame:
+    """TEAM-6: status and reason of a candidate, first matching rule.
+
+    Columns: quality, mixed_script, source_is_ocr, source_type (empty: unknown),
+    match_score, trusted, has_role (a role or contributions).
+    """
+    q, ocr, known = F.col("quality"), F.col("source_is_ocr"), ~F.coalesce("source_type", F.lit("")).isin("", "ocr")
+    m = F.round(F.coalesce("match_score", F.lit(0.0)), 3)
+    hit = F.col("trusted").isNotNull()
+    rules = (
+        (q < reject, "rejected", "name_quality_below_threshold"),
+        (F.col("mixed_script") & (q < garbage), "rejected", "mixed_script_noise"),
+        (~ocr & known & (q >= 0.5), "verified", "trusted_non_ocr_source"),
+        ((m >= strong) & hit, "verified", "ocr_matched_trusted_roster"),
+        ((m >= weak) & (m < strong) & hit, "needs_review", "ocr_weak_fuzzy_match"),
+        (ocr & (q < 0.6), "rejected", "ocr_low_quality_no_trusted_match"),
+        (ocr & ~F.col("has_role"), "needs_review", "ocr_only_no_role_or_contributions"),
+        (ocr, "needs_review", "ocr_only_unverified"),
+        (F.coalesce("source_type", F.lit("")) == "", "needs_review", "unknown_source_unverified"),
+    )
+    status, reason = F.lit("probable"), F.lit("unverified_probable")
+    for c, s, k in reversed(rules):
+        status, reason = F.when(c, s).otherwise(status), F.when(c, k).otherwise(reason)
+    out = candidates.withColumn("status", status).withColumn("reason", reason)
+    return out.withColumn("corrected_name", F.when((F.col("status") == "verified") & (m >= strong), F.col("trusted")))

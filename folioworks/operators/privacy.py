@@ -131,17 +131,22 @@ def assign_placeholders(entities: DataFrame) -> DataFrame:
     return e.drop("prefix").join(numbered, ["project_id", "file_ord", "original"])
 
 
+def _marked(text, back: bool = False):
+    """What looks like a placeholder in a text gets one more ``=`` behind its bracket (or one less), so that it is never taken for one."""
+    return F.regexp_replace(text, r"\[=(=*[A-Z]+_\d+\])" if back else r"\[(=*[A-Z]+_\d+\])", "[$1" if back else "[=$1")
+
+
 def redact_text(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """PII-8: spans replaced by their placeholders; files without entities stay as they are."""
+    """PII-8: spans replaced by their placeholders; the rest stays as it is, but that placeholders which stand there already are marked."""
     spans = entities.groupBy("project_id", "file_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans"))
     piece = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+        lambda acc, s: F.struct(F.concat(acc["out"], _marked(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])), s["placeholder"]).alias("out"), s["end"].alias("at")),
+        lambda acc: F.concat(acc["out"], _marked(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))),
     )
     j = files.join(spans, ["project_id", "file_ord"], "left")
-    return j.withColumn("redacted", F.when(F.col("spans").isNull(), F.col("text")).otherwise(piece)).drop("spans")
+    return j.withColumn("redacted", F.when(F.col("spans").isNull(), _marked(F.col("text"))).otherwise(piece)).drop("spans")
 
 
 def mapping_of(entities: DataFrame) -> DataFrame:
@@ -156,12 +161,12 @@ def redacted_bundle(redacted: DataFrame) -> DataFrame:
 
 
 def rehydrate(texts: DataFrame, mapping: DataFrame, column: str = "redacted") -> DataFrame:
-    """PII-11: placeholders back to originals; unknown ones stay.  Tokens meet the mapping by an equi-join."""
+    """PII-11: placeholders back to originals; unknown ones stay, marked ones lose the mark.  Tokens meet the mapping by an equi-join."""
     token = r"\[[A-Z]+_\d+\]"
     t = texts.withColumn("__row", F.struct("project_id", "file_ord"))
     parts = t.select("project_id", "file_ord", F.posexplode(F.split(column, f"(?={token})|(?<=\\])")).alias("k", "piece"))
     done = parts.join(mapping.withColumnRenamed("placeholder", "piece"), ["project_id", "piece"], "left")
-    back = done.groupBy("project_id", "file_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("original", "piece").alias("s")))), lambda x: x["s"]), "").alias("restored"))
+    back = done.groupBy("project_id", "file_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("original", _marked(F.col("piece"), back=True)).alias("s")))), lambda x: x["s"]), "").alias("restored"))
     return texts.join(back, ["project_id", "file_ord"], "left")
 
 

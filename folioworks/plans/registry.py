@@ -393,12 +393,10 @@ def _(spark, sf):
 # ---- people
 
 
-@query("team_01_name_quality", "SELECT s_suppkey, 0.25::DOUBLE AS score FROM supplier WHERE regexp_matches(s_name, '^[A-Za-z]+#[0-9]+$')")
+#: digits, no Cyrillic name, one word; and two artifact characters or more
+@query("team_01_name_quality", "SELECT s_suppkey, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.5::DOUBLE - 0.25::DOUBLE - 0.2::DOUBLE - CASE WHEN length(regexp_replace(s_name, '[^Il1O0|]', '', 'g')) >= 2 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score FROM supplier")
 def _(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_name").where(F.col("s_name").rlike("^[A-Za-z]+#[0-9]+$"))
-    # supplier names hold digits, are no Cyrillic name and one word; those with artifact characters lose more
-    q = people.name_quality(F.regexp_replace("s_name", "[01]", "2"))
-    return s.select("s_suppkey", F.round(q + 0.2, 6).alias("score"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.round(people.name_quality(F.col("s_name")), 6).alias("score"))
 
 
 @query("team_04_best_name_match")
@@ -578,10 +576,10 @@ def _(spark, sf):
     return privacy.context_preview(files(spark, sf), simple_entities(spark, sf)).select("file_ord", "start", "context_preview_redacted")
 
 
-@query("pii_10_redacted_bundle", """WITH {FILES} SELECT project_id, md5(string_agg('### ' || filename || chr(10) || regexp_replace(text, '[^@ ]*[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), chr(10) || chr(10) ORDER BY file_ord)) AS digest FROM files WHERE text <> '' AND NOT contains(text, '@') GROUP BY project_id""")
+@query("pii_10_redacted_bundle")
 def _(spark, sf):
-    f = files(spark, sf).where(~F.col("text").contains("@"))
-    return privacy.redacted_bundle(privacy.redact_text(f, privacy.privacy_pass(f, SIMPLE_RULES, names=False, medical=False))).select("project_id", F.md5("safe_text").alias("digest"))
+    f = files(spark, sf)
+    return privacy.redacted_bundle(privacy.redact_text(f, privacy.privacy_pass(f))).select("project_id", F.md5("safe_text").alias("digest"))
 
 
 @query("fus_06_fuse_stack")
@@ -623,11 +621,10 @@ def _(spark, sf):
     return uploads.fingerprints(files(spark, sf))
 
 
-@query("pii_09_scrub_payload", "WITH {FILES} SELECT file_ord, md5(text) AS digest FROM files WHERE NOT contains(text, '@')")
+@query("pii_09_scrub_payload")
 def _(spark, sf):
-    f = files(spark, sf)
-    out = privacy.scrub_payload(f, privacy.mapping_of(simple_entities(spark, sf)), ("text",))
-    return out.join(f.where(~F.col("text").contains("@")).select("file_ord"), "file_ord", "left_semi").select("file_ord", F.md5("text").alias("digest"))
+    out = privacy.scrub_payload(files(spark, sf), privacy.mapping_of(simple_entities(spark, sf)), ("text",))
+    return out.select("file_ord", F.md5("text").alias("digest"))
 
 
 @query("pii_14_public_report", f"WITH {{FILES}}, {_SPANS} SELECT file_ord, start, left(sha256(original), 16) AS original_hash FROM s")
@@ -642,10 +639,10 @@ def _(spark, sf):
     return privacy.route_privacy(r).select("project_id", "view", "is_safe", "block_reason")
 
 
-@query("pii_16_safe_payload", "WITH {FILES} SELECT project_id, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS total_chars, count(*) AS n_files FROM files GROUP BY project_id")
+@query("pii_16_safe_payload")
 def _(spark, sf):
-    f = files(spark, sf).withColumn("redacted", F.col("text"))
-    return privacy.safe_payload(f).select("project_id", "total_chars", F.size("files").cast("long").alias("n_files"))
+    f = files(spark, sf)
+    return privacy.safe_payload(privacy.redact_text(f, simple_entities(spark, sf))).select("project_id", "total_chars", F.size("files").cast("long").alias("n_files"))
 
 
 @query("evd_14_gap_analysis", "SELECT o_custkey AS project_id, CASE WHEN count(*) < 4 THEN 'weak' ELSE 'strong' END AS gap FROM orders GROUP BY o_custkey")
@@ -717,6 +714,9 @@ def _(spark, sf):
     return measure.metric_cards(o)
 
 
+from folioworks.plans import more  # noqa: E402, F401  (registers further queries)
+
+
 def queries() -> dict:
     return Q
 

@@ -50,22 +50,26 @@ def trusted_roster(given: DataFrame, found: DataFrame) -> DataFrame:
     return once.withColumn("roster_ord", F.row_number().over(Window.partitionBy("project_id").orderBy("m.src", "m.item_ord", "key"))).select("project_id", "roster_ord", F.col("m.name").alias("name"))
 
 
+def _numbered_letters(col: Column) -> Column:
+    """Each character of a name with how often it has stood there so far: two names share as many of these as characters."""
+    all_ = F.filter(F.split(col, ""), lambda x: x != "")
+    return F.transform(all_, lambda x, i: F.concat(x, F.size(F.filter(F.slice(all_, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
 def best_name_match(candidates: DataFrame, roster: DataFrame, least: float = 0.75) -> DataFrame:
     """TEAM-4: the most similar roster name of the project, first on ties, and its tier.
 
     Equal names need no comparison.  The others meet the roster inside the project,
-    only where lengths and shared letters allow ``least``; distinct pairs are compared once.
+    only where lengths and shared letters allow ``least``.
     """
-    c = candidates.select("project_id", "name", normalize_person(F.col("name")).alias("a")).distinct()
-    r = roster.select("project_id", "roster_ord", F.col("name").alias("trusted"), normalize_person(F.col("name")).alias("b"))
+    c = candidates.select("project_id", "name", normalize_person(F.col("name")).alias("a")).distinct().withColumn("la", _numbered_letters(F.col("a")))
+    r = roster.select("project_id", "roster_ord", F.col("name").alias("trusted"), normalize_person(F.col("name")).alias("b")).withColumn("lb", _numbered_letters(F.col("b")))
     la, lb = F.length("a"), F.length("b")
     # 2 min / (la + lb) bounds the ratio from above; so does twice the number of letters they share, each as often as both have it
     pairs = c.join(r, "project_id").where(2.0 * F.least(la, lb) / (la + lb) >= least)
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    alike = F.aggregate(F.array_distinct(letters("a")), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(letters("a"), lambda y: y == x)), F.size(F.filter(letters("b"), lambda y: y == x))))
-    pairs = pairs.where((F.col("a") == F.col("b")) | (2.0 * alike / (la + lb) >= least))
-    score = pairs.select("a", "b").distinct().withColumn("score", sequence_ratio("a", "b"))
-    best = pairs.join(score, ["a", "b"]).where(F.col("score") >= least).groupBy("project_id", "name").agg(F.max(F.struct("score", (-F.col("roster_ord")).alias("o"), "trusted")).alias("m"))
+    alike = F.size(F.array_intersect("la", "lb"))
+    pairs = pairs.where((F.col("a") == F.col("b")) | (2.0 * alike / (la + lb) >= least)).drop("la", "lb")
+    best = pairs.withColumn("score", sequence_ratio("a", "b")).where(F.col("score") >= least).groupBy("project_id", "name").agg(F.max(F.struct("score", (-F.col("roster_ord")).alias("o"), "trusted")).alias("m"))
     out = candidates.join(best, ["project_id", "name"], "left").withColumn("score", F.col("m.score")).withColumn("trusted", F.col("m.trusted")).drop("m")
     tier = F.when(F.col("score") >= 1, "exact").when(F.round("score", 3) >= 0.88, "strong_fuzzy").when(F.round("score", 3) >= 0.75, "weak_fuzzy").otherwise("no_match")
     return out.withColumn("tier", tier)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,8 +196,12 @@ def audit_rollup(entities: DataFrame) -> DataFrame:
 
 
 def privacy_pass(files: DataFrame, rules=RULES, names: bool = True, medical: bool = True) -> DataFrame:
-    """The entities of all files with their placeholders."""
-    return assign_placeholders(resolve_overlaps(dedupe_names(detect_entities(files, rules, names, medical))))
+    """The entities of all files with their placeholders.
+
+    Numbering reads the entities more than once, so they are kept (in memory, then on
+    disk; a lost part is found again from its files): texts are searched in one pass.
+    """
+    return assign_placeholders(resolve_overlaps(dedupe_names(detect_entities(files, rules, names, medical))).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def scrub_payload(payloads: DataFrame, mapping: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, Scratch, most_frequent
 
-KINDS, CLASSES, HIDDEN = 64, 64, 32
+KINDS, CLASSES, HIDDEN = 64, 32, 24
 BLANKS = "\t\n\x0b\x0c\r"
 LOG10 = float(np.log(10))
 
@@ -55,118 +55,152 @@ class Vocabulary:
         return np.array([get(w) or 1 + zlib.crc32(w[-2:].encode()) % KINDS for w in words] + [0], dtype=np.int64)
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def softmax(x, rows, at):
+    """Log-probability of column ``at`` of each row, and the exponentials of ``x`` (in place) and their sums.
+
+    Values beyond the range of float32's exponential are held at its edge.
+    """
+    np.clip(x, -80, 80, out=x)
+    logp = x[rows, at].astype(np.float64)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], dtype=np.float32)
+    logp -= np.log(total)
+    return logp, x, total
 
 
 class GatedModel:
-    """Parameters in float32: g holds each word's input to the three gates, u the recurrence, c and o the two outputs."""
+    """Parameters in float32: g holds each word's input to the three gates, u the recurrence, c and o the two outputs.
+
+    Rows of o and ob are in the order of the classes, so that the words of a class
+    are one slice.  Windows are time-major and their documents sorted by length: at
+    each step the live ones are a prefix, and no mask is needed.
+    """
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 11):
         rng, h, v = np.random.default_rng(seed), HIDDEN, vocabulary
         self.v = v
         f = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.p = {"g": f(v.size, 3 * h), "u": f(h, 3 * h), "c": f(h, CLASSES), "o": f(v.size, h)}
-        mass = np.array([np.logaddexp.reduce(v.log_freq[v.by_class[a:b]]) if b > a else -30.0 for a, b in zip(v.start[:-1], v.start[1:], strict=True)])
-        self.p["cb"] = mass.astype(np.float32)
-        self.p["ob"] = v.log_freq.astype(np.float32)
+        bias = v.log_freq[v.by_class]
+        mass = np.array([np.logaddexp.reduce(bias[a:b]) if b > a else -30.0 for a, b in zip(v.start[:-1], v.start[1:], strict=True)])
+        self.p["cb"] = (mass - np.logaddexp.reduce(mass)).astype(np.float32)
+        self.p["ob"] = (bias - np.repeat(mass, np.diff(v.start))).astype(np.float32)
         self.sums = None
 
-    def step(self, tok, h):
-        n = HIDDEN
-        a, b = self.p["g"][tok], h @ self.p["u"]
-        zr = sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        m = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-        return (1 - z) * m + z * h, (z, r, m, b[:, 2 * n :])
-
-    def outputs(self, hs, target, grads=None):
-        """Natural log-probabilities of the targets after the states hs; adds to ``grads`` if given and returns the states' gradient too."""
+    def forward(self, tokens, live, before, h, keep=None):
+        """States (steps, docs, hidden) after each token's left neighbour; appends what the gradient needs to ``keep``.
+
+        ``tokens`` is (steps, docs), ``live`` the count of documents at each step.
+        """
+        n, u = HIDDEN, self.p["u"]
+        inputs = np.concatenate([before[None], tokens[:-1]])
+        states = np.zeros((len(tokens) + 1, len(h), n), dtype=np.float32)
+        states[0] = h
+        for t, k in enumerate(live):
+            last, a = states[t, :k], self.p["g"][inputs[t, :k]]
+            b = last @ u
+            zr = a[:, : 2 * n] + b[:, : 2 * n]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5  # the logistic function
+            z, r = zr[:, :n], zr[:, n:]
+            m = r * b[:, 2 * n :]
+            m += a[:, 2 * n :]
+            np.tanh(m, out=m)
+            new = states[t + 1, :k]
+            np.subtract(last, m, out=new)
+            new *= z
+            new += m
+            if keep is not None:
+                keep.append((z, r, m, b[:, 2 * n :]))
+        return inputs, states
+
+    def outputs(self, hs, target, train=False):
+        """Natural log-probabilities of the targets after the states hs; with ``train`` also the states' gradient, after an update of the output weights."""
         p, v = self.p, self.v
-        logits = hs @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
         cls = v.cls[target]
+        order = np.argsort(cls, kind="stable")
+        hs, cls, place = hs[order], cls[order], v.place[target[order]]
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         rows = np.arange(len(hs))
-        logp = logits[rows, cls] - np.log(total)
+        x = hs @ p["c"]
+        x += p["cb"]
+        logp, d, total = softmax(x, rows, cls)
+        scale = np.float32(max(1, len(hs)) ** -0.5)
         dh = None
-        if grads is not None:
-            d = e / total[:, None]
+        if train:
+            d /= total[:, None]
             d[rows, cls] -= 1
-            grads["c"] += hs.T @ d
-            grads["cb"] += d.sum(axis=0)
             dh = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
-                continue
-            ids = v.by_class[v.start[k] : v.start[k + 1]]
-            x = hs[own] @ p["o"][ids].T + p["ob"][ids]
-            x -= x.max(axis=1, keepdims=True)
-            e = np.exp(x)
-            total = e.sum(axis=1)
-            at, i = v.place[target[own]], np.arange(len(own))
-            logp[own] += x[i, at] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[i, at] -= 1
-                dh[own] += d @ p["o"][ids]
-                grads["o"][ids] += d.T @ hs[own]
-                grads["ob"][ids] += d.sum(axis=0)
-        return (logp, dh) if grads is not None else logp
-
-    def train_window(self, tokens, mask, before, h):
-        """One window: tokens (docs, steps) follow ``before``; returns the last state."""
-        n, p = HIDDEN, self.p
-        inputs = np.concatenate([before[:, None], tokens[:, :-1]], axis=1)
-        states, kept = [h], []
-        for t in range(tokens.shape[1]):
-            new, k = self.step(inputs[:, t], states[-1])
-            states.append(np.where(mask[:, t : t + 1], new, states[-1]))
-            kept.append(k)
-        hs = np.stack(states[1:], axis=1)
-        grads = {k: np.zeros_like(x) for k, x in p.items()}
-        _, dh = self.outputs(hs[mask], tokens[mask], grads)
-        full = np.zeros_like(hs)
-        full[mask] = dh
+            c, cb = hs.T @ d, np.ones(len(d), dtype=np.float32) @ d
+        for k in np.nonzero(np.diff(cuts))[0]:
+            own, ids = slice(cuts[k], cuts[k + 1]), slice(v.start[k], v.start[k + 1])
+            o, part = p["o"][ids], hs[own]
+            x = part @ o.T
+            x += p["ob"][ids]
+            i = rows[: len(x)]
+            more, d, total = softmax(x, i, place[own])
+            logp[own] += more
+            if train:
+                d /= total[:, None]
+                d[i, place[own]] -= 1
+                dh[own] += d @ o
+                self.move("o", ids, (d.T @ part) * scale)
+                self.move("ob", ids, (np.ones(len(d), dtype=np.float32) @ d) * scale, 0.05)
+        if train:
+            self.move("c", slice(None), c * scale)
+            self.move("cb", slice(None), cb * scale, 0.05)
+        back = np.empty_like(order)
+        back[order] = rows
+        return (logp[back], dh[back]) if train else logp[back]
+
+    def train_window(self, tokens, live, before, h):
+        """One window; returns the last states."""
+        n, u, kept = HIDDEN, self.p["u"], []
+        inputs, states = self.forward(tokens, live, before, h, kept)
+        there = np.arange(tokens.shape[1]) < np.array(live)[:, None]
+        _, dh = self.outputs(states[1:][there], tokens[there], train=True)
+        full = np.zeros_like(states[1:])
+        full[there] = dh
+        da = np.zeros((*tokens.shape, 3 * n), dtype=np.float32)
+        db = np.zeros_like(da)
         d = np.zeros_like(h)
-        dg = np.zeros((*tokens.shape, 3 * n), dtype=np.float32)
-        for t in reversed(range(tokens.shape[1])):
-            d = d + full[:, t]
+        for t in range(len(live) - 1, -1, -1):
+            k = live[t]
             z, r, m, b = kept[t]
-            own = np.where(mask[:, t : t + 1], d, 0)
-            dm = own * (1 - z) * (1 - m * m)
-            da = np.concatenate([own * (states[t] - m) * z * (1 - z), dm * b * r * (1 - r), dm], axis=1)
-            db = np.concatenate([da[:, : 2 * n], dm * r], axis=1)
-            dg[:, t] = da
-            grads["u"] += states[t].T @ db
-            d = np.where(mask[:, t : t + 1], own * z + db @ p["u"].T, d)
-        flat = inputs[mask]
+            own = d[:k]
+            own += full[t, :k]
+            dm = own * (1 - z)
+            dm *= 1 - m * m
+            x, y = da[t, :k], db[t, :k]
+            x[:, :n] = own * (states[t, :k] - m) * z * (1 - z)
+            x[:, n : 2 * n] = dm * b * r * (1 - r)
+            x[:, 2 * n :] = dm
+            y[:, : 2 * n] = x[:, : 2 * n]
+            y[:, 2 * n :] = dm * r
+            own *= z
+            own += y @ u.T
+        scale = np.float32(max(1, int(there.sum())) ** -0.5)
+        self.move("u", slice(None), (states[:-1].reshape(-1, n).T @ db.reshape(-1, 3 * n)) * scale)
+        flat = inputs[there]
         order = np.argsort(flat, kind="stable")
         ids, first = np.unique(flat[order], return_index=True)
-        grads["g"][ids] = np.add.reduceat(dg[mask][order], first, axis=0)
-        self.update(grads, max(1, int(mask.sum())))
+        self.move("g", ids, np.add.reduceat(da[there][order], first, axis=0) * scale)
         return states[-1]
 
-    def update(self, grads, count, rate=0.15):
+    def move(self, name, at, gradient, rate=0.15):
+        """One step of rows ``at`` of a parameter against a clipped gradient, by the root of the squares so far."""
         if self.sums is None:
             self.sums = {k: np.full_like(x, 1e-8) for k, x in self.p.items()}
-        for k, g in grads.items():
-            if k in ("g", "o"):  # only the rows that the window touched
-                at = np.nonzero(g.any(axis=1))[0]
-                part = np.clip(g[at] / np.float32(count**0.5), -1, 1)
-                self.sums[k][at] += part * part
-                self.p[k][at] -= np.float32(rate) * part / np.sqrt(self.sums[k][at])
-                continue
-            g /= np.float32(count**0.5)
-            np.clip(g, -1, 1, out=g)
-            self.sums[k] += g * g
-            self.p[k] -= (np.float32(rate if k not in ("cb", "ob") else rate / 3) * g / np.sqrt(self.sums[k])).astype(np.float32)
-
-    def fit(self, documents: list[np.ndarray], batch: int = 96, steps: int = 32):
+        np.clip(gradient, -1, 1, out=gradient)
+        seen = self.sums[name][at] + gradient * gradient
+        self.sums[name][at] = seen
+        gradient *= np.float32(rate)
+        gradient /= np.sqrt(seen)
+        self.p[name][at] -= gradient
+
+    def fit(self, documents: list[np.ndarray], batch: int = 192, steps: int = 32):
         """One pass; documents of like length go side by side, the state is carried from window to window."""
         order = sorted(range(len(documents)), key=lambda i: len(documents[i]))
         groups = [order[b : b + batch] for b in range(0, len(order), batch)]
@@ -175,37 +209,35 @@ class GatedModel:
         return self
 
     def windows(self, docs, steps, do):
+        """Feeds ``docs``, longest first, window by window to ``do(tokens, live, before, h)``, which returns the next states."""
         h, before = np.zeros((len(docs), HIDDEN), dtype=np.float32), np.zeros(len(docs), dtype=np.int64)
         docs = sorted(docs, key=lambda d: -len(d))
         for a in range(0, len(docs[0]), steps):
-            live = sum(len(d) > a for d in docs)
-            h, before, docs = h[:live], before[:live], docs[:live]
+            some = sum(len(d) > a for d in docs)
+            h, before, docs = h[:some], before[:some], docs[:some]
             part = [d[a : a + steps] for d in docs]
-            width = max(map(len, part))
-            tokens, mask = np.zeros((live, width), dtype=np.int64), np.zeros((live, width), dtype=bool)
+            tokens, lens = np.zeros((some, len(part[0])), dtype=np.int64), np.array([len(x) for x in part])
             for r, x in enumerate(part):
                 tokens[r, : len(x)] = x
-                mask[r, : len(x)] = True
-            h = do(tokens, mask, before, h)
-            before = tokens[:, -1]
+            live = [int(k) for k in (lens[:, None] > np.arange(len(part[0]))).sum(axis=0)]
+            tokens = np.ascontiguousarray(tokens.T)
+            h = do(tokens, live, before, h)
+            before = tokens[-1]
 
-    def score(self, documents: list[np.ndarray], batch: int = 512, steps: int = 32) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], batch: int = 256, steps: int = 32) -> np.ndarray:
         """Natural log-probability of each whole document."""
         out = np.zeros(len(documents))
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         for b in range(0, len(order), batch):
-            own = order[b : b + batch]
-
-            def do(tokens, mask, before, h, own=own):
-                inputs = np.concatenate([before[:, None], tokens[:, :-1]], axis=1)
-                hs = np.empty((*tokens.shape, HIDDEN), dtype=np.float32)
-                for t in range(tokens.shape[1]):
-                    h, _ = self.step(inputs[:, t], h)
-                    hs[:, t] = h
+            own = np.array(order[b : b + batch])
+
+            def do(tokens, live, before, h, own=own):
+                _, states = self.forward(tokens, live, before, h)
+                there = np.arange(tokens.shape[1]) < np.array(live)[:, None]
                 logp = np.zeros(tokens.shape)
-                logp[mask] = self.outputs(hs[mask], tokens[mask])
-                out[own[: len(tokens)]] += logp.sum(axis=1)
-                return h
+                logp[there] = self.outputs(states[1:][there], tokens[there])
+                out[own[: tokens.shape[1]]] += logp.sum(axis=0)
+                return states[-1]
 
             self.windows([documents[i] for i in own], steps, do)
         return out
@@ -259,7 +291,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, first: int, total: int) -> np
     return np.concatenate([np.frombuffer(r.sums, dtype=np.float32) for r in sorted(rows, key=lambda r: r.chunk)]) if rows else model.flat()
 
 
-def score_documents(docs: DataFrame, text: str = "text", words: int = 4096, lookup: int = 131_072, first: int = 600) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", words: int = 1024, lookup: int = 131_072, first: int = 600) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for every row.
 
     A document is its words and one end; a null or empty text is the end alone.  A

@@ -22,6 +22,7 @@ from .common import ASCII_LOWER, ASCII_UPPER, Scratch, most_frequent
 KINDS, CLASSES, HIDDEN = 64, 32, 24
 BLANKS = "\t\n\x0b\x0c\r"
 LOG10 = float(np.log(10))
+TOGETHER = 8192  # rows whose documents are sorted by length: the longest decide the number of steps
 
 
 def plain(text):
@@ -52,7 +53,7 @@ class Vocabulary:
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.id_of.get
-        return np.array([get(w) or 1 + zlib.crc32(w[-2:].encode()) % KINDS for w in words] + [0], dtype=np.int64)
+        return np.array([get(w) or 1 + zlib.crc32(w[-2:].encode()) % KINDS for w in words] + [0], dtype=np.int32)
 
 
 def softmax(x, rows, at):
@@ -200,7 +201,7 @@ class GatedModel:
         gradient /= np.sqrt(seen)
         self.p[name][at] -= gradient
 
-    def fit(self, documents: list[np.ndarray], batch: int = 192, steps: int = 32):
+    def fit(self, documents: list[np.ndarray], batch: int = 384, steps: int = 32):
         """One pass; documents of like length go side by side, the state is carried from window to window."""
         order = sorted(range(len(documents)), key=lambda i: len(documents[i]))
         groups = [order[b : b + batch] for b in range(0, len(order), batch)]
@@ -224,7 +225,7 @@ class GatedModel:
             h = do(tokens, live, before, h)
             before = tokens[-1]
 
-    def score(self, documents: list[np.ndarray], batch: int = 256, steps: int = 32) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], batch: int = 512, steps: int = 32) -> np.ndarray:
         """Natural log-probability of each whole document."""
         out = np.zeros(len(documents))
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
@@ -274,8 +275,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, first: int, total: int) -> np
         voc, flat = base.value
         own, tokens = GatedModel(voc).load(flat), 0
         for whole in batches:
-            for a in range(0, len(whole), 2048):
-                ids = [voc.ids([w for w in t.split(" ") if w]) for t in whole.plain.iloc[a : a + 2048]]
+            for a in range(0, len(whole), TOGETHER):
+                ids = [voc.ids([w for w in t.split(" ") if w]) for t in whole.plain.iloc[a : a + TOGETHER]]
                 own.fit(ids)
                 tokens += sum(map(len, ids))
         if tokens:
@@ -331,12 +332,12 @@ def score_documents(docs: DataFrame, text: str = "text", words: int = 1024, look
         inner = np.array([*map(voc.id_of.get, count), None], dtype=object)
         kind = np.array([zlib.crc32(w[-2:].encode()) % KINDS for w in [*count, ""]])
         outside = np.array([x is None for x in inner])
-        id_at = np.where(outside, 1 + kind, np.where(outside, 0, inner)).astype(np.int64)
+        id_at = np.where(outside, 1 + kind, np.where(outside, 0, inner)).astype(np.int32)
         base_at, tail_at = np.log10(c / base_total), np.where(outside, np.log10(c) - log_kind[kind], 0.0)
         end = np.log10((ends + 0.1) / base_total)
         for whole in batches:
-            for a in range(0, len(whole), 2048):
-                pdf = whole.iloc[a : a + 2048]
+            for a in range(0, len(whole), TOGETHER):
+                pdf = whole.iloc[a : a + TOGETHER]
                 ids, base, tail, others, n_known = [], [], [], [], []
                 for t in pdf.pop("plain"):
                     ws = [w for w in t.split(" ") if w]
@@ -345,7 +346,7 @@ def score_documents(docs: DataFrame, text: str = "text", words: int = 1024, look
                     miss = np.nonzero(at < 0)[0].tolist()
                     other = [ws[i] for i in miss]
                     own[miss] = [1 + zlib.crc32(w[-2:].encode()) % KINDS for w in other]
-                    ids.append(np.append(own, 0))
+                    ids.append(np.append(own, np.int32(0)))
                     here = at[at >= 0]
                     base.append(end + base_at[here].sum())
                     tail.append(tail_at[here].sum())

@@ -28,7 +28,7 @@ _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, dtype=U), "down": np.ones(1,
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             for k, b in (("up", BASE), ("down", INVERSE)):
                 x = np.full(size, U(b), dtype=U)
@@ -37,11 +37,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space, A-Z lower-cased) and, for each text, where its words begin (one more at the end)."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
-    space = SPACES[data]
+def _hashed_words(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of lower-cased bytes that end with white space."""
     up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, dtype=U), np.cumsum(VALUE[data] * up[: len(data)], dtype=U)])
@@ -49,9 +46,29 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.nonzero(edge == -1)[0]
     end = np.nonzero(np.concatenate([edge[1:], [0]]) == 1)[0] + 1 if len(start) else start
     with np.errstate(over="ignore"):
-        words = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U)), start
+
+
+def word_hashes(texts: list[str], step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs without ASCII white space, A-Z lower-cased) and, for each text, where its words begin (one more at the end).
+
+    A word's hash depends on its bytes only, so about ``step`` bytes are hashed at a
+    time, up to white space: running sums take eight times the memory of their bytes.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
+    space = SPACES[data]
+    words, starts, a = [], [], 0
+    while a < len(data):
+        b = min(a + step, len(data))
+        if b < len(data):
+            b += int(np.argmax(space[b - 1 :]))
+        w, s = _hashed_words(data[a:b], space[a:b])
+        words.append(w)
+        starts.append(s + a)
+        a = b
     bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
-    return words, np.searchsorted(start, bounds)
+    return np.concatenate(words), np.searchsorted(np.concatenate(starts), bounds)
 
 
 def shingle_sets(texts: list[str], size: int = 5, chunk: int = 1 << 21):

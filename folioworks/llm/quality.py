@@ -162,7 +162,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         fm = machine.value
         for pdf in batches:
             text, n = pdf.pop("__text"), pdf.pop("__n")
-            score = np.concatenate([np.zeros(0)] + [fm.score([features(t, None if pd.isna(k) else k) for t, k in zip(text[a : a + 512], n[a : a + 512], strict=True)]) for a in range(0, len(text), 512)])
+            score = np.concatenate([np.zeros(0)] + [fm.score([features(t, None if pd.isna(k) else k) for t, k in zip(text[a : a + 128], n[a : a + 128], strict=True)]) for a in range(0, len(text), 128)])
             yield pdf.assign(score=score, predicted=(score >= threshold).astype("int32"))
 
     return base.mapInPandas(run, ", ".join([*fields, "score double", "predicted int"]))

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from folioworks.llm import ann, bpe, html_text, jaccard, line_dedup, lm, near_vectors, packing, pii, quality
+from folioworks.llm import ann, bpe, html_text, jaccard, line_dedup, lm, near_vectors, packing, pii, quality, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank long, score double, part int, v long, n_lines string"
 
@@ -320,3 +320,15 @@ def test_pii_adds_spans_in_other_forms(spark):
         assert {(k, a, b) for k, a, b in pii.base_spans(t)} <= {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].spans.split(","))}
     found = sum(bool(got[len(texts) + i].spans) for i in range(40))
     assert found >= 28, found
+
+
+@pytest.mark.parametrize("step", [1, 3, 50])
+def test_word_hashes_do_not_depend_on_the_step(step):
+    r = random.Random(step)
+    for _ in range(200):
+        texts = ["".join(r.choices("ab é \t\nZ中", k=r.choice([0, 1, 2, 40, 300]))) for _ in range(r.randint(0, 5))]
+        whole, first = shingles.word_hashes(texts)
+        some, at = shingles.word_hashes(texts, step)
+        assert whole.tolist() == some.tolist() and first.tolist() == at.tolist()
+        alone = [shingles.word_hashes([w])[0].tolist() for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        assert whole.tolist() == [h for w in alone for h in w]

@@ -155,10 +155,15 @@ def mapping_of(entities: DataFrame) -> DataFrame:
     return entities.select("project_id", "placeholder", "original").distinct()
 
 
+def bundle_parts(redacted: DataFrame) -> DataFrame:
+    """PII-10: the safe text of a project as one row per file; in the order of file_ord, with a blank line between, they are the bundle."""
+    return redacted.where(F.coalesce(F.col("redacted"), F.lit("")) != "").select("project_id", "file_ord", F.concat(F.lit("### "), "filename", F.lit("\n"), "redacted").alias("safe_text"))
+
+
 def redacted_bundle(redacted: DataFrame) -> DataFrame:
-    """PII-10: the safe text of a project, by file."""
-    part = F.struct("file_ord", F.concat(F.lit("### "), "filename", F.lit("\n"), "redacted").alias("t"))
-    return redacted.where(F.coalesce(F.col("redacted"), F.lit("")) != "").groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("safe_text"))
+    """PII-10: the safe text of a project in one value, for projects whose text fits into one (2 GB at most); ``bundle_parts`` has no such bound."""
+    part = F.struct("file_ord", "safe_text")
+    return bundle_parts(redacted).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["safe_text"]), "\n\n").alias("safe_text"))
 
 
 def rehydrate(texts: DataFrame, mapping: DataFrame, column: str = "redacted") -> DataFrame:

@@ -69,9 +69,17 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filters(spark, sf_dir):
+    from . import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard}
+    return {"op1_ann": op1_ann, "op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard, "op11_filters": op11_filters}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import filter_audit
+
+    return {"op11_filters": filter_audit.SQL}

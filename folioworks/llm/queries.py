@@ -81,11 +81,17 @@ def op12_search(spark, sf_dir):
     return lexical.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pivots(spark, sf_dir):
+    from . import pivots
+
+    return pivots.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard, "op11_filters": op11_filters, "op12_search": op12_search}
+    return {"op1_ann": op1_ann, "op2_vectors": op2_vectors, "op3_lm": op3_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_lines": op6_lines, "op7_html": op7_html, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_jaccard": op10_jaccard, "op11_filters": op11_filters, "op12_search": op12_search, "op13_pivots": op13_pivots}
 
 
 def oracle_sql() -> dict:
-    from . import filter_audit, lexical
+    from . import filter_audit, lexical, pivots
 
-    return {"op11_filters": filter_audit.SQL, "op12_search": lexical.SQL}
+    return {"op11_filters": filter_audit.SQL, "op12_search": lexical.SQL, "op13_pivots": pivots.SQL}

@@ -151,12 +151,12 @@ def _verified(pairs: DataFrame, occ: DataFrame, hashed: DataFrame, similarity: f
     return found
 
 
-def _rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with __id and __row, which name each row: by its id alone where ids are unique and not null; else the rows are written once with numbers."""
+def named_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with __id (null ids last) and __row, different for every row: the id where ids are unique and not null; else the rows are written once with numbers."""
     last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not repeats:
-        return docs.withColumn("__id", last).withColumn("__row", F.lit(0).cast("long"))
+        return docs.withColumn("__id", last).withColumn("__row", last)
     return scratch.save(docs.withColumn("__id", last).withColumn("__row", F.monotonically_increasing_id()))
 
 
@@ -197,7 +197,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = 0.85, m
     """
     scratch = Scratch(docs.sparkSession, "lines")
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = _rows(docs.select(*cols), scratch)
+    rows = named_rows(docs.select(*cols), scratch)
     joined = rows.join(mark_lines(rows, scratch, text, similarity, max_bits), ["__id", "__row"], "left")
     parts = F.split(text, "\n")
     stays = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))

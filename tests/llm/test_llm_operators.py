@@ -259,7 +259,7 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "u", page, "x"), (2, "u", None, "x"), (3, None, "", "x"), (4, "u", "plain &lt; text", "x"), (4, "u", "plain &lt; text", "x"), (5, "u", "<p>a" * 3000, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
     by = {r.page_id: r for r in got}
-    assert by[1].text == "Head & more\nOne two\nThree\nfour" and by[1].n_chars == len(by[1].text)
+    assert by[1].text == "Head & more\n\nOne two\n\nThree\n\nfour" and by[1].n_chars == len(by[1].text)
     assert by[2].text == "" and by[3].text == "" and by[4].text == "plain < text" and len(got) == 6 and by[5].text.count("a") == 3000
     assert html_text.extract(df.limit(0)).count() == 0
 
@@ -268,20 +268,30 @@ def test_html_every_article_and_text_outside():
     a, b, c = words(11, 40), words(12, 30), words(13, 60)
     nav, small = "<nav><a href=x>menu</a></nav>", "<div><p>short note</p></div>"
     siblings = f"<body>{nav}<article><p>{a}</p></article><article><p>{b}</p></article>{small}<footer>f</footer>"
-    assert html_text.main_text(siblings) == f"{a}\n{b}"
+    assert html_text.main_text(siblings) == f"{a}\n\n{b}\n\nshort note"
     # the text of the page is not in its one short article: surge and dive find it
-    assert html_text.main_text(f"<body>{nav}<div><p>{c}</p><p>{a}</p></div><article><p>{b}</p></article>") == f"{c}\n{a}\n{b}"
+    assert html_text.main_text(f"<body>{nav}<div><p>{c}</p><p>{a}</p></div><article><p>{b}</p></article>") == f"{c}\n\n{a}\n\n{b}"
     # with and without the element
     one = f"<body>{nav}<article><h1>Head</h1><p>{a}<br>{b}</p><div class='ad'>buy</div><p>{c}</p></article><footer>f</footer>"
-    assert html_text.main_text(one) == f"Head\n{a}\n{b}\n{c}" == html_text.main_text(one.replace("article>", "div>"))
+    assert html_text.main_text(one) == f"Head\n\n{a}\n\n{b}\n\n{c}" == html_text.main_text(one.replace("article>", "div>"))
+
+
+def test_html_drops_nothing_but_furniture():
+    a, b = words(14, 60), words(15, 40)
+    bare = "<div><a href=x>one</a></div><div><a href=y>two</a></div>"
+    # a short closing paragraph after a menu, and a block of links between two of text
+    assert html_text.main_text(f"<body><p>{a}</p><nav><a href=x>menu</a></nav><p>The end.</p>") == f"{a}\n\nThe end."
+    assert html_text.main_text(f"<body>{bare}<p>{a}</p><p><a href=z>See the source</a></p><p>{b}</p>{bare}") == f"{a}\n\nSee the source\n\n{b}"
+    assert html_text.main_text(f"<body>{bare}{bare}") == ""
 
 
 def test_hash_of_a_line_does_not_depend_on_its_repeats(spark):
     line = words(21, 20)
-    occ = spark.range(300_000).select(F.col("id").cast("decimal(38,0)").alias("place"), F.lit(line).alias("norm"))  # 6 million words
-    occ = occ.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7)))
-    many, once = line_dedup._hashed(occ).collect(), line_dedup._hashed(occ.limit(1)).collect()
-    assert len(many) == len(once) == 1 and (many[0].s1, many[0].s2, many[0].n) == (once[0].s1, once[0].s2, once[0].n) and many[0].place == 0
+    occ = spark.range(300_000).select("id", F.col("id").alias("row"), F.lit(2).alias("pos"), F.lit(line).alias("norm"))  # 6 million words
+    occ = occ.withColumn("v", F.xxhash64("norm")).withColumn("h2", F.xxhash64("norm", F.lit(7)))
+    many, once = line_dedup._hashed(occ, 0.85).collect(), line_dedup._hashed(occ.where("id = 0"), 0.85).collect()
+    assert len(many) == len(once) == 1 and (many[0].s1, many[0].s2, many[0].n) == (once[0].s1, once[0].s2, once[0].n)
+    assert (many[0].id, many[0].row, many[0].pos, many[0].times, once[0].times) == (0, 0, 2, 300_000, 1)
 
 
 def test_lines_that_differ_in_one_place_are_found_however_short(spark):

@@ -36,3 +36,14 @@ def test_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(pieces.doc_id) == set(masked.index) and (pieces.groupby("sequence_id").length.sum() <= 1024).all()
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_copies_go_by_row(spark):
+    w, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "wu")
+    rows = [(3, w), (5, w), (5, u), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, w), (None, "left alone by all the others here"), (8, None), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(3, w), (5, u), (7, "a b c d e f g"), (None, "left alone by all the others here"), (8, None), (8, None), (9, "")], key=repr)
+    once = docs.where("doc_id in (3, 9) or (doc_id = 5 and text like 'w%')")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, once, SF).collect()) == [3, 9]
+    assert corpus_pipeline.drop_copies(spark, docs.limit(0), SF).count() == 0

@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 read again as the next one's ``docs``.  All but the last keep the columns of
 ``documents``; n_chars follows the text.  Null and empty texts pass all stages as
-documents without lines, links or spans, and are packed as one end id.
+documents without lines, links or spans, and are packed as one end id.  Every row is
+a document of its own, also where ids are null or repeat: a copy takes no other row of
+its id along.
 """
 
 from __future__ import annotations
@@ -31,10 +33,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays."""
-    linked = jaccard.link_documents(docs.select("doc_id", "text"))
-    gone = linked.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked rows one stays: that of least id, null ids last, of equal ids the first read."""
+    scratch = Scratch(spark, "copies")
+    rows = line_dedup.named_rows(docs.select(*COLUMNS), scratch)
+    linked = jaccard.link_documents(rows.select(F.col("__row").alias("doc_id"), "text"))
+    groups = linked.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__id", "__row"), "__row")
+    stays = groups.groupBy("component_id").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row")).select("__row")
+    return rows.join(stays, "__row", "left_semi").select(*COLUMNS)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

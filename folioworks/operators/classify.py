@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioworks.functions import team_words as tw
 from folioworks.functions.lexicons import DOMAINS, SOURCE_TYPES
-from folioworks.functions.text import let, squeeze
+from folioworks.functions.text import let, squeeze, strip
 
 
 def keyword_hits(text: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
@@ -202,25 +203,57 @@ def choose_parser(projects: DataFrame) -> DataFrame:
     return projects.withColumn("parser_mode", mode)
 
 
-# Words that are no part of a person's name, and words that name a role.
-NO_NAME = ("проект", "команда", "задача", "этап", "данные", "система", "модель", "цель", "результат", "для", "при", "над", "под", "без")
-ROLE_WORDS = ("разработчик", "тимлид", "аналитик", "дизайнер", "инженер", "менеджер", "developer", "lead", "analyst", "designer", "engineer", "manager")
+def bare_name(name: Column) -> Column:
+    """CLS-18: a name without links, a last remark in brackets, a number before it and a role behind a dash."""
+    n = F.regexp_replace(strip(F.coalesce(name, F.lit(""))), r"(?U)\s+https?://\S+", "")
+    n = F.regexp_replace(F.regexp_replace(n, r"(?U)\s*\([^)]+\)\s*$", ""), r"(?U)^\d+\.\s+", "")
+    return strip(F.when(F.contains(n, F.lit(" — ")), F.substring_index(n, " — ", 1)).otherwise(F.substring_index(n, " - ", 1)))
 
 
-def person_name_ok(name: Column, form: str = r"^[А-ЯЁ][а-яё-]+(?: [А-ЯЁ][а-яё-]+){1,2}$", stop: tuple[str, ...] = NO_NAME) -> Column:
-    """CLS-18: two or three capitalised words, none of them a stop word; the form is a parameter."""
-    n = squeeze(F.coalesce(name, F.lit("")))
-    return n.rlike(form) & ~F.arrays_overlap(F.split(F.lower(n), " "), F.array(*[F.lit(w) for w in stop]))
+def has_stop_word(bare: Column, stop: tuple[str, ...] = tw.NO_NAME) -> Column:
+    return F.arrays_overlap(F.split(F.lower(bare), r"(?U)\s+"), F.array(*[F.lit(w) for w in stop]))
 
 
-def role_ok(role: Column, words: tuple[str, ...] = ROLE_WORDS) -> Column:
-    """CLS-18: a role names one of the role words and is no sentence."""
-    low = F.lower(squeeze(F.coalesce(role, F.lit(""))))
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)) & (F.length(low) <= 120)
+def person_name_ok(name: Column, form: str = tw.NAME_FORM, stop: tuple[str, ...] = tw.NO_NAME) -> Column:
+    """CLS-18: two or three capitalised words of one script, no preposition first and none a stop word; the form is a parameter."""
 
+    def good(n: Column) -> Column:
+        words = F.split(n, r"(?U)\s+")
+        first = F.lower(F.get(words, F.lit(0))).isin(*tw.PREPOSITIONS)
+        return n.rlike("(?U)" + form) & F.size(words).isin(2, 3) & ~first & ~has_stop_word(n, stop)
 
-def candidate_reason(candidates: DataFrame, form: str = r"^[А-ЯЁ][а-яё-]+(?: [А-ЯЁ][а-яё-]+){1,2}$", words: tuple[str, ...] = ROLE_WORDS) -> DataFrame:
-    """CLS-18: whether a candidate (name, role, in_team_context) is accepted, and why (not)."""
-    ok, role = person_name_ok(F.col("name"), form), role_ok(F.col("role"), words)
-    reason = F.when(~ok, "invalid_name").when(role, "name_and_role").when(F.col("in_team_context"), "team_context").otherwise("no_role_or_context")
-    return candidates.withColumn("reason", reason).withColumn("accepted", reason.isin("name_and_role", "team_context"))
+    return F.coalesce(let(bare_name(name), good), F.lit(False))
+
+
+def role_ok(role: Column, words: tuple[str, ...] = tw.ROLE_MARKERS, form: str = tw.NAME_FORM, stop: tuple[str, ...] = tw.NO_NAME) -> Column:
+    """CLS-18: a role holds a role marker, has at most 120 characters and is no name."""
+    low = F.lower(F.coalesce(role, F.lit("")))
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)) & (F.length(low) <= 120) & ~person_name_ok(role, form, stop)
+
+
+def team_context(section: Column, text: Column, hints: tuple[str, ...] = tw.CONTEXT_HINTS) -> Column:
+    """CLS-18: a section title or the start of a text speaks of a team."""
+    low = F.lower(F.concat_ws("\n", F.coalesce(section, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 400)))
+    return F.exists(F.array(*[F.lit(w) for w in hints]), lambda w: F.contains(low, w))
+
+
+def inline_role(name: Column, first_lines: Column, words: tuple[str, ...] = tw.ROLE_MARKERS, form: str = tw.NAME_FORM, stop: tuple[str, ...] = tw.NO_NAME) -> Column:
+    """CLS-18: a role behind a dash in the name itself, or else in one of the text's first lines that holds the name."""
+    tail = lambda x: F.when(F.contains(x, F.lit(" — ")), F.substring(x, F.locate(" — ", x) + 3, 1 << 30)).when(F.contains(x, F.lit(" - ")), F.substring(x, F.locate(" - ", x) + 3, 1 << 30))
+    near = F.exists(first_lines, lambda x: F.contains(x, name) & F.coalesce(role_ok(tail(x), words, form, stop), F.lit(False)))
+    own = tail(name)
+    return F.when(own.isNotNull(), role_ok(own, words, form, stop)).otherwise(F.coalesce(near, F.lit(False)))
+
+
+def candidate_reason(candidates: DataFrame, form: str = tw.NAME_FORM, words: tuple[str, ...] = tw.ROLE_MARKERS, stop: tuple[str, ...] = tw.NO_NAME) -> DataFrame:
+    """CLS-18: whether a candidate is accepted, and why (not); a null name is none.
+
+    Columns: name, role, in_team_context; first_lines (of its text), where there are any.
+    """
+    ok, role = person_name_ok(F.col("name"), form, stop), role_ok(F.col("role"), words, form, stop)
+    if "first_lines" in candidates.columns:
+        role = role | inline_role(F.col("name"), F.col("first_lines"), words, form, stop)
+    # The reasons.
+    bad = F.when(F.coalesce(has_stop_word(bare_name(F.col("name")), stop), F.lit(False)), "rejected: domain_stop_word").otherwise("rejected: not_person_name")
+    good = F.when(F.col("in_team_context"), "accepted: valid_name_in_team_context").when(role, "accepted: valid_name_with_role").otherwise("rejected: outside_team_context")
+    return candidates.withColumn("reason", F.when(ok, good).otherwise(bad)).withColumn("accepted", F.startswith("reason", F.lit("accepted")))

@@ -102,11 +102,12 @@ def _(spark, sf):
     return classify.choose_parser(p).select("project_id", "parser_mode")
 
 
-@query("cls_18_candidate_reason", """SELECT p_partkey, CASE WHEN NOT regexp_matches(p_name, '^[a-z]+ [a-z]+$') OR list_has_any(string_split(p_name, ' '), ['проект', 'без']) THEN 'invalid_name' WHEN contains(lower(p_type), 'standard') AND length(p_type) <= 120 THEN 'name_and_role'
-  WHEN p_size % 2 = 0 THEN 'team_context' ELSE 'no_role_or_context' END AS reason FROM part""")
+@query("cls_18_candidate_reason", """SELECT p_partkey, CASE WHEN NOT regexp_matches(p_name, '^[a-z]+ [a-z]+$') OR list_has_any(string_split(p_name, ' '), ['red', 'ring']) THEN
+    CASE WHEN list_has_any(string_split(p_name, ' '), ['red', 'ring']) THEN 'rejected: domain_stop_word' ELSE 'rejected: not_person_name' END
+  WHEN p_size % 2 = 0 THEN 'accepted: valid_name_in_team_context' WHEN contains(lower(p_type), 'standard') AND length(p_type) <= 120 THEN 'accepted: valid_name_with_role' ELSE 'rejected: outside_team_context' END AS reason FROM part""")
 def _(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("role"), (F.col("p_size") % 2 == 0).alias("in_team_context"))
-    return classify.candidate_reason(p, r"^[a-z]+ [a-z]+$", ("standard",)).select("p_partkey", "reason")
+    return classify.candidate_reason(p, r"^[a-z]+ [a-z]+$", ("standard",), ("red", "ring")).select("p_partkey", "reason")
 
 
 @query("seg_07_parse_metadata", "WITH {FILES} SELECT file_ord, nullif(trim(regexp_extract(coalesce(text, ''), '(?i)released\\s+under\\s*(.+?)(?:\\n|$)', 1)), '') AS client, nullif(trim(regexp_extract(coalesce(text, ''), '(?i)version\\s*(.+?)(?:\\n|$)', 1)), '') AS timeline FROM files")

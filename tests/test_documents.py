@@ -99,8 +99,8 @@ def test_decisions(spark):
     assert [(x.key, x.confidence) for x in p] == [("rag", 0.76)]
     v = spark.createDataFrame([("команда и роли", 1), ("", 0), ("x" * 50, 0), ("", 1)], "text string, image_count int")
     assert [r.content_type for r in classify.classify_visual(v, {"team": ("команда", "роли"), "stack": ("redis",)}).collect()] == ["team", "unknown", "generic", "generic"]
-    c = spark.createDataFrame([("Иванов Иван", "разработчик", False), ("Проект Новый", "разработчик", True), ("Иванов Иван", "", True), ("Иванов Иван", "", False)], "name string, role string, in_team_context boolean")
-    assert [r.reason for r in classify.candidate_reason(c).collect()] == ["name_and_role", "invalid_name", "team_context", "no_role_or_context"]
+    c = spark.createDataFrame([("Иванов Иван", "разработчик", False), ("Поиск Новый", "разработчик", True), ("Иванов Иван", "", True), ("Иванов Иван", "", False)], "name string, role string, in_team_context boolean")
+    assert [r.reason for r in classify.candidate_reason(c).collect()] == ["accepted: valid_name_with_role", "rejected: domain_stop_word", "accepted: valid_name_in_team_context", "rejected: outside_team_context"]
 
 
 def test_people(spark):

@@ -10,6 +10,34 @@ from folioworks.functions.lexicons import TECHNOLOGIES
 
 # What a field needs to count as covered.
 COVERAGE_CHARS = {"title": 15, "essence": 200, "tasks": 80, "purpose": 60, "inputs": 60, "outputs": 60, "results": 60, "outlook": 40, "modules": 40, "tech_stack": 10, "team": 5}
+# Fields that need this many characters when nothing else is said.
+COVERAGE_OTHER = {"client": 50, "timeline": 50}
+# What the role of a source counts for a field, and what its type counts.
+ROLE_WEIGHTS = {
+    "title": {"primary_project_doc": 1.0, "supporting_presentation": 0.45, "module_presentation": 0.05},
+    "client": {"primary_project_doc": 1.0, "supporting_presentation": 0.3, "module_presentation": 0.05},
+    "timeline": {"primary_project_doc": 1.0, "supporting_presentation": 0.5, "module_presentation": 0.05},
+    "essence": {"primary_project_doc": 1.0, "module_presentation": 0.55, "supporting_presentation": 0.5},
+    "tasks": {"primary_project_doc": 1.0, "supporting_presentation": 0.6},
+    "purpose": {"primary_project_doc": 1.0, "supporting_presentation": 0.6},
+    "inputs": {"primary_project_doc": 0.95, "technical_spec": 1.0},
+    "outputs": {"primary_project_doc": 0.95, "technical_spec": 1.0},
+    "results": {"primary_project_doc": 0.95, "report": 1.0},
+    "outlook": {"primary_project_doc": 0.95, "report": 1.0},
+    "team": {"primary_project_doc": 0.95, "team_source": 1.0, "team_list": 1.0},
+    "modules": {"primary_project_doc": 1.0, "module_presentation": 0.85, "supporting_presentation": 0.75},
+    "tech_stack": {"primary_project_doc": 0.95, "module_presentation": 0.8, "supporting_presentation": 0.7},
+}
+TYPE_WEIGHTS = {
+    "title": {"ready_landing_doc": 1.0, "pptx_project_presentation": 0.9},
+    "inputs": {"technical_spec": 1.0, "pptx_project_presentation": 0.7},
+    "outputs": {"technical_spec": 1.0, "pptx_project_presentation": 0.75},
+    "team": {"team_list": 1.0, "ready_landing_doc": 0.9},
+    "results": {"report": 1.0, "pptx_project_presentation": 0.7},
+    "outlook": {"report": 1.0, "pptx_project_presentation": 0.6},
+    "modules": {"pptx_project_presentation": 1.0, "architecture_doc": 0.9},
+    "essence": {"ready_landing_doc": 1.0, "pptx_project_presentation": 0.85},
+}
 # Least counts of the eleven completeness checks.
 COMPLETE = {"essence": 200, "tasks": 5, "purpose": 3, "inputs": 3, "outputs": 3, "results": 3, "outlook": 3, "team": 3, "stack": 1, "modules": 1}
 
@@ -53,21 +81,38 @@ def field_labels(evidence: DataFrame, rules: dict[str, tuple[str, ...]]) -> Data
     return evidence.select("*", F.explode(tx.let(F.lower("text"), found)).alias("field"))
 
 
-def rank_field_evidence(labelled: DataFrame, roles: dict[str, float], types: dict[str, float], top: int = 8) -> DataFrame:
-    """EVD-7: the best items of each field by confidence, role, type, inventory confidence and length."""
-    weight = lambda m, c, d: F.coalesce(F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)], F.lit(d))
-    score = F.col("confidence") + 0.6 * weight(roles, "source_role", 0.15) + 0.35 * weight(types, "source_type", 0.2) + 0.2 * F.col("inventory_confidence") + F.least(F.length("text") / 500.0, F.lit(0.3))
+def weight_of(weights: dict, label: Column, other: float, field: Column | None = None) -> Column:
+    """The weight of a role or type, ``other`` where it has none; ``weights`` is by field and label, or by label alone."""
+    flat = {f"{f}|{k}": w for f, m in weights.items() if isinstance(m, dict) for k, w in m.items()} or weights
+    if not flat:
+        return F.lit(other)
+    key = F.concat_ws("|", field, label) if flat is not weights else label
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])[key], F.lit(other))
+
+
+def rank_field_evidence(labelled: DataFrame, roles: dict = ROLE_WEIGHTS, types: dict = TYPE_WEIGHTS, top: int = 8) -> DataFrame:
+    """EVD-7: the best items of each field by confidence, role, type, inventory confidence, length, and the first slide for the title.
+
+    Sources that no inventory knows (a null inventory_confidence) get no weight of role or type.
+    """
+    f = F.col("field")
+    known = 0.6 * weight_of(roles, F.col("source_role"), 0.15, f) + 0.35 * weight_of(types, F.col("source_type"), 0.2, f) + 0.2 * F.col("inventory_confidence")
+    score = F.col("confidence") + F.coalesce(known, F.lit(0.0)) + F.least(F.length("text") / 500.0, F.lit(0.3))
+    if {"location_type", "location_index"} <= set(labelled.columns):
+        first = (f == "title") & (F.col("location_type") == "slide") & (F.col("location_index") == 1) & (F.coalesce("source_role", F.lit("")) != "module_presentation")
+        score = score + F.when(first, 0.15).otherwise(0.0)
     rank = F.row_number().over(Window.partitionBy("project_id", "field").orderBy(F.desc("score"), "file_ord", "location_index"))
     return labelled.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= top).withColumn("snippet", F.substring("text", 1, 800))
 
 
-def field_coverage(ranked: DataFrame, fields: dict[str, int] = COVERAGE_CHARS) -> DataFrame:
-    """EVD-8: every project and field (a bounded cross with a literal list): strong, weak or missing."""
+def field_coverage(ranked: DataFrame, fields: dict[str, int] | None = None) -> DataFrame:
+    """EVD-8: every project and field (a bounded cross with a literal list): strong, weak or missing; fields without a least length of their own need 50 characters."""
+    fields = {**COVERAGE_CHARS, **COVERAGE_OTHER} if fields is None else fields
     every = ranked.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("least")) for f, n in fields.items()])).alias("f")).select("project_id", "f.*")
     a = ranked.groupBy("project_id", "field").agg(F.count("*").alias("items"), F.sum(F.length("snippet")).alias("chars"), F.sum(F.when(F.col("rank") <= 5, F.col("confidence"))).alias("c"))
     out = every.join(a, ["project_id", "field"], "left")
     enough = (F.col("chars") >= F.col("least")) & (~F.col("field").isin("tasks", "modules") | (F.col("items") >= 2))
-    status = F.when(F.col("items").isNull(), "missing").when(enough, "strong").otherwise("weak")
+    status = F.when(F.coalesce("chars", F.lit(0)) == 0, "missing").when(enough, "strong").otherwise("weak")
     return out.select("project_id", "field", F.coalesce("items", F.lit(0)).alias("items"), status.alias("status"), F.when(F.col("items").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("c") / 5 + 0.1)).alias("confidence"))
 
 

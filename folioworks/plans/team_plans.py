@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioworks.operators import teams
-from folioworks.plans.registry import query, table
+from folioworks.functions import lexicons as lx
+from folioworks.operators import assemble, presentation, segment, teams
+from folioworks.plans.registry import files, query, table
 
 DIGITS, LETTERS = "0123456789", "абвгдежзик"
 SHEET = 12
@@ -123,3 +124,87 @@ def decks(spark, sf):
     CASE WHEN reason IN ('none', 'pptx_team_text_found') THEN 'ok' ELSE 'warning' END AS status, reason, bool_or(reason NOT IN ('none', 'pptx_team_text_found')) OVER (PARTITION BY conv_id % 10) AS ocr_missing FROM r""")
 def _(spark, sf):
     return teams.team_text_audit(decks(spark, sf))
+
+
+def project_decks(spark, sf):
+    """A presentation a sheet: title and client, a goal, a phase with a line a customer, results, advice, steps and members."""
+    c = named(spark, sf)
+    own = F.array_sort(F.collect_list(F.struct("k", "name", "seg")))
+    d = c.groupBy("project_id", "file_ord").agg(own.alias("p"))
+    each = lambda f: F.array_join(F.transform("p", f), "\n")
+    k = lambda x: x["k"].cast("string")
+    slides = [
+        F.concat(F.lit("Стажировка\nПроект номер "), F.col("file_ord").cast("string"), F.lit(" (Заказчик "), "project_id", F.lit(")")),
+        F.lit("Цель проекта\nСделать доступ к стоянке быстрым и понятным для всех. Коротко о важном. Уменьшить ручной труд охраны на въезде и на выезде из города."),
+        F.concat(F.lit("Этапы проекта (01.02-03.04.2024)\n1. Фаза Подготовка отчётов:\n"), each(lambda x: F.concat(F.lit("Исследование участка номер "), k(x), F.lit(".")))),
+        F.concat(F.lit("Итоги проекта\nРезультаты:\n"), each(lambda x: F.concat(F.lit("Получена таблица расчётов участка "), k(x), F.lit("."))), F.lit("\nРекомендации:\n"), each(lambda x: F.concat(F.lit("новая камера участка "), k(x), F.lit(": позже")))),
+        F.lit("Шаг 1: Обнаружение машины\n1. Процесс: поиск рамки\n2. Выход: рамка\nШаг 2: Проверка допуска\nиспользуем Python"),
+        F.concat(F.element_at("p", 1)["name"], F.lit("\nвидео")),
+        F.lit("Команда проекта\nТимлид: Иван Петров\nПомощник тимлида: Олег Попов"),
+    ]
+    return d.select("project_id", "file_ord", F.concat_ws("\n", *[F.concat(F.lit(f"Slide {i}:\n"), s) for i, s in enumerate(slides, 1)]).alias("text"))
+
+
+@query("seg_12_slide_kinds", f"""WITH {NAMES_SQL} SELECT DISTINCT file_ord, n::INTEGER AS slide, kind FROM c, (VALUES (1, 'title'), (2, 'goal'), (3, 'stages'), (4, 'results'), (5, 'pipeline_steps'), (6, 'team_member'), (7, 'team')) AS v(n, kind)""")
+def _(spark, sf):
+    return presentation.classify_slides(segment.split_slides(project_decks(spark, sf))).select("file_ord", F.col("location_index").alias("slide"), "kind")
+
+
+@query("seg_13_presentation_fields", f"""WITH {NAMES_SQL}, f AS (SELECT project_id, file_ord, min_by(name, k) AS first FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY k) AS n FROM c)
+  SELECT file_ord, field, item_ord::INTEGER AS item_ord, value, kind, note FROM (
+    SELECT file_ord, 'title' AS field, 1 AS item_ord, 'Проект номер ' || file_ord AS value, '' AS kind, '' AS note FROM f UNION ALL
+    SELECT file_ord, 'client', 1, 'Заказчик ' || project_id, '', '' FROM f UNION ALL
+    SELECT file_ord, 'timeline', 1, '01.02-03.04.2024', '', '' FROM f UNION ALL
+    SELECT file_ord, 'essence', 1, 'Сделать доступ к стоянке быстрым и понятным для всех. Уменьшить ручной труд охраны на въезде и на выезде из города. Этапы: обнаружение машины, проверка допуска. Цель проекта' || chr(10) || 'Сделать доступ к стоянке быстрым и понятным для всех. Коротко о важном. Уменьшить ручной труд охраны на въезде и на выезде из города.', '', '' FROM f UNION ALL
+    SELECT file_ord, 'tasks', 1, 'Подготовить отчётов.', '', '' FROM f UNION ALL
+    SELECT file_ord, 'tasks', n + 1, 'Исследоватьие участка номер ' || k || '.', '', '' FROM r WHERE n <= 11 UNION ALL
+    SELECT file_ord, 'results', n, 'Получена таблица расчётов участка ' || k || '.', '', '' FROM r WHERE n <= 10 UNION ALL
+    SELECT file_ord, 'outlook', n, 'Новая камера участка ' || k || '.', '', '' FROM r WHERE n <= 8 UNION ALL
+    SELECT file_ord, 'modules', n, name, kind, note FROM f, (VALUES (1, 'Обнаружение машины', 'computer_vision_detection', 'поиск рамки. рамка'), (2, 'Проверка допуска', 'access_control', 'используем Python')) AS v(n, name, kind, note) UNION ALL
+    SELECT file_ord, 'outputs', 1, 'Модель машины.', '', '' FROM f UNION ALL
+    SELECT file_ord, 'inputs', 1, 'Журнал въездов.', '', '' FROM f UNION ALL
+    SELECT file_ord, 'tech_stack', n, name, kind, '' FROM f, (VALUES (1, 'Python', 'Backend / App'), (2, 'video processing', 'Infrastructure')) AS v(n, name, kind) UNION ALL
+    SELECT file_ord, 'purpose', 1, 'Ускорить въезд.', '', '' FROM f UNION ALL
+    SELECT file_ord, 'lead', 1, 'Иван Петров', '', '' FROM f UNION ALL
+    SELECT file_ord, 'team', n, name, kind, '' FROM f, (VALUES (1, 'Иван Петров', 'Тимлид'), (2, 'Олег Попов', 'Помощник тимлида')) AS v(n, name, kind) UNION ALL
+    SELECT file_ord, 'team', 3, first, '', 'съёмка' FROM f)""")
+def _(spark, sf):
+    phrases = presentation.Phrases(
+        said={"purpose": (("goal", ("стоянк",), "Ускорить въезд."), ("goal", ("лифт",), "Ускорить лифт."))}, named=((("обнаруж", "машин"), "Модель машины."),), always={"inputs": ("Журнал въездов.",)},
+        steps="Этапы: %s.", areas=((("видео",), "съёмка"),),
+    )
+    return presentation.presentation_fields(project_decks(spark, sf), phrases).select("file_ord", "field", "item_ord", "value", "kind", "note")
+
+
+@query("evd_12_team", f"""WITH {NAMES_SQL}, r AS (SELECT *, CASE file_ord % 3 WHEN 0 THEN 0.15 WHEN 1 THEN 0.95 ELSE 1.0 END AS w, CASE file_ord % 3 WHEN 0 THEN 'дизайнер' WHEN 1 THEN 'Участник' ELSE 'помощник тимлида' END AS role FROM c)
+  SELECT project_id, n::INTEGER AS n, name, role FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY w DESC, file_ord, k) AS n FROM r) WHERE n <= 20""")
+def _(spark, sf):
+    sheets = people_sheets(spark, sf)
+    role = F.when(F.col("file_ord") % 3 == 1, "primary_project_doc").when(F.col("file_ord") % 3 == 2, "team_list").otherwise("report")
+    people = teams.extract_people(sheets).withColumn("source_role", role).withColumn("location_index", F.lit(2)).withColumn("item_ord", F.col("file_ord"))
+    return assemble.assemble_team(people).select("project_id", "n", "name", "role")
+
+
+TECH_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{lx.TECHNOLOGIES[k][1]}' END" for k in sorted(lx.TECHNOLOGIES, key=len, reverse=True))
+TECH_GROUPS = " ".join(f"WHEN '{n}' THEN '{c}'" for c, n in dict.fromkeys(lx.TECHNOLOGIES.values()))
+
+
+@query("evd_12_stack", f"""WITH {{FILES}}, t AS (SELECT project_id, file_ord, unnest([{TECH_SQL}]) AS name, generate_subscripts([{TECH_SQL}], 1) AS k FROM files),
+  o AS (SELECT project_id, name, min((file_ord, k)) AS first, CASE name {TECH_GROUPS} ELSE 'Other' END AS category FROM t WHERE name IS NOT NULL GROUP BY project_id, name)
+  SELECT project_id, category, (row_number() OVER (PARTITION BY project_id, category ORDER BY first, name))::INTEGER AS n, name FROM o""")
+def _(spark, sf):
+    return assemble.assemble_stack(files(spark, sf).withColumnRenamed("file_ord", "item_ord"))
+
+
+@query("evd_12_modules", f"""WITH {NAMES_SQL}, f AS (SELECT DISTINCT file_ord AS project_id FROM c),
+  m AS (SELECT project_id, 0 AS o, 'Проверка номера ' || project_id AS name, 'access' AS type, 'из документа' AS description FROM f WHERE project_id % 2 = 0 UNION ALL
+    SELECT project_id, o, name, type, CASE WHEN o = 1 THEN 'Обнаружение: подробности' || chr(10) || 'рамка участка ' || project_id ELSE '' END FROM f, (VALUES (1, 'Обнаружение машины', 'pipeline_step'), (2, 'Проверка допуска', 'pipeline_step')) AS v(o, name, type) UNION ALL
+    SELECT project_id, o, name, 'architecture', '' FROM f, (VALUES (3, 'Компонент: Python'), (4, 'Компонент: Neo4j')) AS v(o, name) WHERE project_id % 2 = 1)
+  SELECT project_id, (row_number() OVER (PARTITION BY project_id ORDER BY o))::INTEGER AS n, name, type, description FROM m""")
+def _(spark, sf):
+    p = named(spark, sf).select(F.col("file_ord").alias("project_id")).distinct()
+    own = p.where("project_id % 2 = 0").select("project_id", F.lit(1).alias("module_ord"), F.concat(F.lit("Проверка номера "), F.col("project_id").cast("string")).alias("name"), F.lit("access").alias("type"), F.lit("из документа").alias("description"))
+    told = F.concat(F.lit("Обнаружение: подробности\nрамка участка "), F.col("project_id").cast("string"))
+    item = lambda o, role, text, *tech: p.select("project_id", F.lit(o).alias("item_ord"), F.lit(role).alias("source_role"), F.lit("").alias("title"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.array(*[F.lit(t) for t in tech]).cast("array<string>").alias("technologies"))
+    items = item(1, "unknown", "Slide 4:\nШаг 1: Обнаружение машины\nШаг 2: Проверка допуска").unionByName(item(2, "module_presentation", told)).unionByName(item(3, "unknown", "Архитектура решения", "Python", "Neo4j")).unionByName(item(4, "module_presentation", "Нечто иное"))
+    return assemble.assemble_modules(own, items)

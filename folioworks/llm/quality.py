@@ -135,12 +135,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, held_out: i
 
     # at most max_train rows are broadcast and come back
     sample = docs.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id").mapInPandas(extract, "doc_id long, label int, at array<int>, x array<double>")
-    got = sample.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = sample.dropDuplicates(["doc_id"]).toArrow().combine_chunks()
     machine = FactorMachine()
-    if got.label.nunique() < 2:
-        machine.w0 = 2.0 if not len(got) or got.label.iloc[0] == 1 else -2.0
+    label = got["label"].to_numpy()
+    if len(set(label.tolist())) < 2:
+        machine.w0 = 2.0 if not len(label) or label[0] == 1 else -2.0
         return machine
-    return machine.fit(list(zip(got["at"].map(np.asarray), got["x"].map(np.asarray), strict=True)), got.label.to_numpy())
+    # views of the two columns' values; nothing is copied row by row
+    columns = []
+    for name in ("at", "x"):
+        lists = got[name].combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        columns.append([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    return machine.fit([(columns[0][i], columns[1][i]) for i in order], label[order])
 
 
 def with_n_chars(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioworks.functions.text import normalize_person, strip
+from folioworks.operators.occurrences import occurring
 
 # Endings that point to a misread name.
 ODD_ENDINGS = ("ец", "св", "енда", "аный")
@@ -98,10 +99,13 @@ def review_summary(candidates: DataFrame) -> DataFrame:
     return a.withColumn("can_publish", (F.col("verified") > 0) & (F.col("needs_review") == 0))
 
 
-def resolve_sources(candidates: DataFrame, names: DataFrame) -> DataFrame:
-    """TEAM-5: where each candidate's name stands: the file of an equal name, files without OCR first, then of the most similar one (0.88 or more).
+def resolve_sources(candidates: DataFrame, names: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """TEAM-5: where each candidate's name stands: the file of an equal name, files without OCR first, then of the most similar one (0.88 or more), then any text that holds it.
 
-    ``names`` is (project_id, name, file_ord, is_ocr).
+    ``names`` is (project_id, name, file_ord, is_ocr).  ``files`` is (project_id, file_ord, text,
+    is_ocr, file_type, location, ocr_engine): names that no list has are looked for in
+    its lower-cased texts, the last file without OCR first, else the last one; and
+    what it says of the file found comes along.
     """
     index = names.groupBy("project_id", normalize_person(F.col("name")).alias("key")).agg(F.min(F.struct("is_ocr", "file_ord", "name")).alias("m"))
     exact = candidates.withColumn("key", normalize_person(F.col("name"))).join(index, ["project_id", "key"], "left")
@@ -110,9 +114,19 @@ def resolve_sources(candidates: DataFrame, names: DataFrame) -> DataFrame:
     near = best_name_match(open_, roster.drop("m"), 0.88).where("trusted is not null").select("project_id", "name", normalize_person(F.col("trusted")).alias("near_key"))
     near = near.join(index.select("project_id", F.col("key").alias("near_key"), F.col("m").alias("near")), ["project_id", "near_key"]).select("project_id", "name", "near")
     out = exact.join(near, ["project_id", "name"], "left")
-    found = F.coalesce("m", "near")
-    how = F.when(F.col("m").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy").otherwise("none")
-    return out.select("project_id", "name", found["file_ord"].alias("source_file"), F.coalesce(found["is_ocr"], F.lit(False)).alias("source_is_ocr"), how.alias("resolved"))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.is_ocr").alias("is_ocr"), F.col(f"{c}.file_ord").cast("long").alias("file_ord")))
+    out = out.withColumn("found", F.coalesce(place("m"), place("near")))
+    how = F.when(F.col("m").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy")
+    if files is None:
+        return out.select("project_id", "name", F.col("found.file_ord").alias("source_file"), F.coalesce("found.is_ocr", F.lit(False)).alias("source_is_ocr"), F.coalesce(how, F.lit("none")).alias("resolved"))
+    f = files.withColumn("is_ocr", F.coalesce("is_ocr", F.lit(False)) | (F.coalesce("file_type", F.lit("")) == "ocr"))
+    left = out.where("found is null").select("project_id", F.lower("name").alias("needle")).distinct()
+    seen = occurring(f.select("project_id", "file_ord", F.lower("text").alias("text")), left).join(f.select("project_id", "file_ord", "is_ocr"), ["project_id", "file_ord"])
+    last = seen.groupBy("project_id", "needle").agg(F.max_by(F.struct("is_ocr", F.col("file_ord").cast("long").alias("file_ord")), F.struct(~F.col("is_ocr"), "file_ord")).alias("held"))
+    out = out.withColumn("needle", F.lower("name")).join(last, ["project_id", "needle"], "left")
+    out = out.withColumn("resolved", F.coalesce(how, F.when(F.col("held").isNotNull(), "text"), F.lit("none"))).withColumn("source_file", F.coalesce("found.file_ord", "held.file_ord")).withColumn("source_is_ocr", F.coalesce("found.is_ocr", "held.is_ocr", F.lit(False)))
+    about = f.select("project_id", F.col("file_ord").alias("source_file"), F.when(F.col("is_ocr"), "ocr").otherwise(F.col("file_type")).alias("source_type"), "location", "ocr_engine")
+    return out.select("project_id", "name", "source_file", "source_is_ocr", "resolved").join(about, ["project_id", "source_file"], "left").select("project_id", "name", "source_file", "source_is_ocr", "resolved", "source_type", "location", "ocr_engine")
 
 
 def verify(candidates: DataFrame, reject: float = 0.4, garbage: float = 0.5, strong: float = 0.88, weak: float = 0.75) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions.lexicons import PREFIXES, PRIORITIES
+from folioworks.operators.occurrences import occurring
+from folioworks.sources.scratch import written
 
 # Patterns of each kind of data, with the confidence of a match; the order is the order of rules.
 RULES = (
@@ -203,19 +204,39 @@ def audit_rollup(entities: DataFrame) -> DataFrame:
 def privacy_pass(files: DataFrame, rules=RULES, names: bool = True, medical: bool = True) -> DataFrame:
     """The entities of all files with their placeholders.
 
-    Numbering reads the entities more than once, so they are kept (in memory, then on
-    disk; a lost part is found again from its files): texts are searched in one pass.
+    Numbering reads the entities more than once, so they are written once, into the
+    job's folder (they hold originals: it must be as safe as the files); texts are
+    searched in one pass.
     """
-    return assign_placeholders(resolve_overlaps(dedupe_names(detect_entities(files, rules, names, medical))).persist(StorageLevel.MEMORY_AND_DISK))
+    return assign_placeholders(written(resolve_overlaps(dedupe_names(detect_entities(files, rules, names, medical))), "entities"))
 
 
 def scrub_payload(payloads: DataFrame, mapping: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """PII-9: every known original of the project out of the given text columns, longest first."""
-    per = mapping.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("original")).alias("l"), "original", "placeholder"))).alias("__m"))
-    out = payloads.join(per, "project_id", "left")
+    """PII-9: every known original of the project out of the given text or list columns, longest first.
+
+    Equal to replacing all originals of the project one after the other.  Only those that
+    occur in a value are tried on it, and those that a placeholder put there before could
+    complete: with a bracket, or of a placeholder's own signs and not longer than one.  An
+    original of several placeholders gets the last of them.  (project_id, file_ord) names a
+    payload; nulls stay.
+    """
+    last = mapping.where("original != ''").groupBy("project_id", "original").agg(F.max_by("placeholder", F.struct(F.length("placeholder"), "placeholder")).alias("placeholder"))
+    size = last.groupBy("project_id").agg(F.max(F.length("placeholder")).alias("__most"))
+    odd = last.join(size, "project_id").where((F.length("original") <= F.col("__most")) & F.col("original").rlike(r"^[A-Z]*_?[0-9]*$") | F.col("original").rlike(r"[\[\]]"))
+    odd = odd.groupBy("project_id").agg(F.collect_set(F.struct("original", "placeholder")).alias("__odd"))
+    lists = {f.name for f in payloads.schema if f.dataType.typeName() == "array"}
+    out = payloads.join(odd, "project_id", "left")
+    none = F.array().cast("array<struct<original:string,placeholder:string>>")
     for c in columns:
-        out = out.withColumn(c, F.when(F.col("__m").isNull(), F.col(c)).otherwise(F.aggregate("__m", F.col(c), lambda t, m: F.replace(t, m["original"], m["placeholder"]))))
-    return out.drop("__m")
+        whole = F.array_join(c, "\n") if c in lists else F.col(c)
+        here = occurring(payloads.select("project_id", "file_ord", whole.alias("text")), last.select("project_id", F.col("original").alias("needle")))
+        here = here.join(last, (last["project_id"] == here["project_id"]) & (last["original"] == here["needle"])).groupBy(here["project_id"], here["file_ord"]).agg(F.collect_list(F.struct("original", "placeholder")).alias("__m"))
+        out = out.join(here, ["project_id", "file_ord"], "left")
+        known = F.transform(F.array_union(F.coalesce("__m", none), F.coalesce("__odd", none)), lambda m: F.struct((-F.length(m["original"])).alias("l"), m["original"].alias("original"), m["placeholder"].alias("placeholder")))
+        out = out.withColumn("__m", F.array_sort(known))
+        scrubbed = lambda t: F.aggregate("__m", t, lambda a, m: F.replace(a, m["original"], m["placeholder"]))
+        out = out.withColumn(c, F.transform(c, scrubbed) if c in lists else scrubbed(F.col(c))).drop("__m")
+    return out.select(*payloads.columns)
 
 
 def public_report(entities: DataFrame) -> DataFrame:
@@ -226,8 +247,8 @@ def public_report(entities: DataFrame) -> DataFrame:
 
 def leaks(texts: DataFrame, entities: DataFrame, column: str = "redacted") -> DataFrame:
     """PII-14: public texts in which an original of the same project occurs; must be empty."""
-    originals = entities.groupBy("project_id").agg(F.collect_set("original").alias("__o"))
-    return texts.join(originals, "project_id").where(F.exists("__o", lambda o: F.contains(F.col(column), o))).drop("__o")
+    found = occurring(texts, entities.select("project_id", F.col("original").alias("needle")), column)
+    return texts.join(found.select("project_id", "file_ord").distinct(), ["project_id", "file_ord"], "left_semi")
 
 
 def route_privacy(reports: DataFrame, mode: str = "mode") -> DataFrame:
@@ -239,8 +260,15 @@ def route_privacy(reports: DataFrame, mode: str = "mode") -> DataFrame:
 
 
 def safe_payload(redacted: DataFrame, preview: int = 4000) -> DataFrame:
-    """PII-16: preview of the safe text, its characters and its files, by project."""
-    part = F.struct("file_ord", "filename", F.coalesce("redacted", F.lit("")).alias("t"))
-    g = redacted.groupBy("project_id").agg(F.array_sort(F.collect_list(part)).alias("a"))
-    text = F.array_join(F.transform("a", lambda x: x["t"]), "\n\n")
-    return g.select("project_id", F.substring(text, 1, preview).alias("preview"), F.length(text).cast("long").alias("total_chars"), F.transform("a", lambda x: x["filename"]).alias("files"))
+    """PII-16: the first ``preview`` characters of a project's safe texts, all their characters, and how many files they are.
+
+    The texts stand in the order of file_ord with a blank line between.  Each file has
+    two characters of that at least, so the first half of ``preview`` files are enough,
+    and no row holds a project.  Names of files are in ``bundle_parts``.
+    """
+    r = redacted.select("project_id", "file_ord", F.coalesce("redacted", F.lit("")).alias("t"))
+    sums = r.groupBy("project_id").agg((F.sum(F.length("t")) + 2 * (F.count("*") - 1)).cast("long").alias("total_chars"), F.count("*").alias("n_files"))
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("file_ord"))
+    first = r.select("project_id", "file_ord", F.substring("t", 1, preview).alias("t")).withColumn("rank", rank).where(F.col("rank") <= preview // 2 + 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "\n\n")
+    return sums.join(first.groupBy("project_id").agg(F.substring(text, 1, preview).alias("preview")), "project_id").select("project_id", "preview", "total_chars", "n_files")

@@ -495,10 +495,11 @@ def _(spark, sf):
     return out.where("n_evidence > 0 or n_contract > 0").select("project_id", "n_evidence", "n_contract", "lost_at")
 
 
-@query("str_02_skip_unchanged")
+@query("str_02_skip_unchanged", "WITH {FILES} SELECT DISTINCT project_id FROM files WHERE contains(text, 'license') AND file_ord % 2 = 1")
 def _(spark, sf):
-    now = uploads.fingerprints(files(spark, sf))
-    return uploads.skip_unchanged(now, now.where(F.crc32(F.col("project_id").cast("binary")) % 2 == 0))
+    f = files(spark, sf)
+    before = f.withColumn("text", F.when(F.col("text").contains("license") & (F.col("file_ord") % 2 == 1), F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return uploads.skip_unchanged(uploads.fingerprints(f), uploads.fingerprints(before)).select("project_id")
 
 
 @query("str_03_expire_reports", "SELECT event_id FROM events WHERE ts + INTERVAL 72 HOUR > TIMESTAMP '2024-01-20 00:00:00'")
@@ -616,14 +617,25 @@ def _(spark, sf):
     return measure.acceptance(have, need)
 
 
-@query("txt_17_fingerprint", "WITH {FILES} SELECT project_id, left(sha256(project_id || chr(10) || string_agg(filename || chr(10) || text, chr(10) ORDER BY file_ord)), 24) AS fingerprint FROM files GROUP BY project_id")
+_PRINTS = """f AS (SELECT project_id, file_ord, sha256(file_ord || chr(10) || filename || chr(10) || coalesce(text, '')) AS digest, count(*) OVER (PARTITION BY project_id) AS n FROM files),
+  g AS (SELECT project_id, file_ord % ceil(n / {size})::BIGINT AS part, sha256(string_agg(digest, '' ORDER BY file_ord)) AS digest FROM f GROUP BY ALL),
+  p AS (SELECT project_id, left(sha256(project_id || chr(10) || string_agg(digest, '' ORDER BY part)), 24) AS fingerprint FROM g GROUP BY project_id)"""
+
+
+@query("txt_17_fingerprint", f"WITH {{FILES}}, {_PRINTS.format(size='4096.0')} SELECT project_id, fingerprint FROM p")
 def _(spark, sf):
     return uploads.fingerprints(files(spark, sf))
 
 
+@query("txt_17_fingerprint_groups", f"WITH {{FILES}}, {_PRINTS.format(size='7.0')} SELECT project_id, fingerprint FROM p")
+def _(spark, sf):
+    return uploads.fingerprints(files(spark, sf), 7)
+
+
 @query("pii_09_scrub_payload")
 def _(spark, sf):
-    out = privacy.scrub_payload(files(spark, sf), privacy.mapping_of(simple_entities(spark, sf)), ("text",))
+    f = files(spark, sf)
+    out = privacy.scrub_payload(f, privacy.mapping_of(privacy.privacy_pass(f)), ("text",))
     return out.select("file_ord", F.md5("text").alias("digest"))
 
 
@@ -639,10 +651,23 @@ def _(spark, sf):
     return privacy.route_privacy(r).select("project_id", "view", "is_safe", "block_reason")
 
 
-@query("pii_16_safe_payload")
+@query("pii_14_leaks", """WITH {FILES}, d AS (SELECT project_id, file_ord, text FROM files WHERE text <> ''), w AS (SELECT DISTINCT project_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]{14,}')) AS word FROM d WHERE file_ord % 3 = 0)
+  SELECT DISTINCT d.project_id, file_ord FROM d JOIN w ON d.project_id = w.project_id AND contains(text, word)""")
+def _(spark, sf):
+    f = files(spark, sf)
+    words = f.where("file_ord % 3 = 0").select("project_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]{14,}"), 0)).alias("original"))
+    return privacy.leaks(f, words, "text").select("project_id", "file_ord")
+
+
+@query("pii_16_safe_payload", """WITH {FILES} SELECT project_id, md5(left(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY file_ord), 4000)) AS preview, (sum(length(coalesce(text, ''))) + 2 * (count(*) - 1))::BIGINT AS total_chars, count(*) AS n_files FROM files GROUP BY project_id""")
+def _(spark, sf):
+    return privacy.safe_payload(files(spark, sf).withColumnRenamed("text", "redacted")).withColumn("preview", F.md5("preview"))
+
+
+@query("pii_16_safe_payload_masked")
 def _(spark, sf):
     f = files(spark, sf)
-    return privacy.safe_payload(privacy.redact_text(f, simple_entities(spark, sf))).select("project_id", "total_chars", F.size("files").cast("long").alias("n_files"))
+    return privacy.safe_payload(privacy.redact_text(f, privacy.privacy_pass(f))).select("project_id", "total_chars", "n_files")
 
 
 @query("evd_14_gap_analysis", "SELECT o_custkey AS project_id, CASE WHEN count(*) < 4 THEN 'weak' ELSE 'strong' END AS gap FROM orders GROUP BY o_custkey")

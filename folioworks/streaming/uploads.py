@@ -9,11 +9,22 @@ from folioworks.operators import privacy
 from folioworks.sources.files import FILES
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """TXT-17: one digest of names and texts of a project, in file order."""
-    part = F.struct("file_ord", F.concat_ws("\n", "filename", F.coalesce("text", F.lit(""))).alias("t"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n")
-    return files.groupBy("project_id").agg(F.substring(F.sha2(F.concat_ws("\n", F.first("project_id"), body), 256), 1, 24).alias("fingerprint"))
+def fingerprints(files: DataFrame, group: int = 4096) -> DataFrame:
+    """TXT-17: one digest of names, texts and order of a project's files.
+
+    Two levels: every file has a digest of its own; groups of about ``group`` files, by
+    remainder of file_ord, have a digest of those in order, and the project one of its groups'.  No group
+    holds texts.  It is stable and changes with any file, but its value is not that of
+    one digest over all texts.
+    """
+    own = F.sha2(F.concat_ws("\n", F.col("file_ord").cast("string"), "filename", F.coalesce("text", F.lit(""))), 256)
+    rows = files.select("project_id", "file_ord", own.alias("digest"))
+    counts = rows.groupBy("project_id").agg(F.ceil(F.count("*") / group).alias("groups"))
+    rows = rows.join(counts, "project_id").withColumn("part", F.pmod("file_ord", F.col("groups")))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "digest"))), lambda x: x["digest"]), "")
+    parts = rows.groupBy("project_id", "part").agg(F.sha2(inner, 256).alias("digest"))
+    outer = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
+    return parts.groupBy("project_id").agg(F.substring(F.sha2(F.concat_ws("\n", F.col("project_id"), outer), 256), 1, 24).alias("fingerprint"))
 
 
 def skip_unchanged(current: DataFrame, reports: DataFrame) -> DataFrame:

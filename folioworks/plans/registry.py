@@ -739,7 +739,7 @@ def _(spark, sf):
     return measure.metric_cards(o)
 
 
-from folioworks.plans import more, team_plans  # noqa: E402, F401  (register further queries)
+from folioworks.plans import flow_plans, more, team_plans  # noqa: E402, F401  (register further queries)
 
 
 def queries() -> dict:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from folioworks.operators import privacy
-from folioworks.sources.files import FILES
+from folioworks.sources.files import UPLOADS, numbered, read_artifacts, write_artifacts
+from folioworks.sources.scratch import written
 
 
 def fingerprints(files: DataFrame, group: int = 4096) -> DataFrame:
@@ -38,23 +43,68 @@ def expire_reports(reports: DataFrame, now: str, ttl_hours: int = 72) -> DataFra
     return reports.where(F.col("created_at").isNull() | (end > F.lit(now).cast("timestamp")))
 
 
-def stream_upload_pipeline(spark: SparkSession, source: str, target: str, checkpoint: str, now: str):
-    """STR-1: every new file's project is scanned again; a failing scan gives an unknown risk and stops nothing.
+def unknown_risk(files: DataFrame, now: str, error: str) -> DataFrame:
+    """The report of projects whose scan failed."""
+    none = [F.lit(None).cast("boolean").alias("has_pii"), F.lit(0).cast("bigint").alias("n_placeholders"), F.lit(0).cast("bigint").alias("n_sources"), F.lit("unknown").alias("risk")]
+    return files.select("project_id").distinct().select("project_id", *none, F.lit(now).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(f"prescan_failed: {error}").alias("status"))
+
+
+NEWS = "project_id string, filename string, file_type string, text string, uploaded_at timestamp"
+
+
+def _changed(hours: float):
+    """For each (project, file name): its last upload, where its content is not that of the state; the state goes ``hours`` after the last upload."""
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches, ignore_index=True)
+        last = rows.sort_values(["uploaded_at", "digest"], na_position="first", kind="stable").iloc[-1:]
+        digest = last.digest.iloc[0]
+        fresh = not (state.exists and state.get[0] == digest)
+        state.update((digest,))
+        state.setTimeoutTimestamp(int(rows.seen_at.max().timestamp() * 1000 + hours * 3_600_000))
+        if fresh:
+            yield last[["project_id", "filename", "file_type", "text", "uploaded_at"]]
+
+    return step
+
+
+def stream_upload_pipeline(spark: SparkSession, source: str, target: str, checkpoint: str, now: str, scan: Callable[[DataFrame], DataFrame] | None = None, hours: float = 72, files_per_batch: int | None = None):
+    """STR-1: the projects of files that are new or changed are scanned again; a failing scan gives an unknown risk and stops nothing.
 
-    Files arrive as parquet in ``source``.  Each batch writes to its own folder, so a
-    batch that is run twice leaves the same result.
+    Files arrive as parquet in ``source`` (``UPLOADS``).  A keyed state holds the digest of
+    the last upload of each (project, file name), until ``hours`` after it: the same content
+    again gives no row, and a batch of such files writes nothing.  What is new goes to
+    ``target``/files; the projects it belongs to are read back from their buckets, and
+    those whose fingerprint no report has are scanned.  Every write replaces records of the
+    same key, so a batch that is run twice, or a file that comes back after its state has
+    gone, leaves the same result.  Of two uploads of a file in one batch the later one
+    counts, without a time the earliest; null names are empty.
     """
+    scan = scan or (lambda files: privacy.pii_report(files, privacy.privacy_pass(files), now).withColumn("status", F.lit("ok")))
 
     def batch(df: DataFrame, number: int) -> None:
-        files = df.withColumn("file_ord", F.row_number().over(Window.partitionBy("project_id").orderBy("filename")))
+        new = write_artifacts(df, target, "files", keys=("project_id", "filename"))
+        if new.isEmpty():
+            return
+        files = written(numbered(read_artifacts(spark, target, "files", new)), "project-files")
+        prints = written(fingerprints(files), "fingerprints")
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/reports")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            prints = written(skip_unchanged(prints, read_artifacts(spark, target, "reports", prints)), "changed")
+        changed = files.join(prints.select("project_id"), "project_id", "left_semi")
         try:
-            report = privacy.pii_report(files, privacy.privacy_pass(files), now)
-            report.withColumn("status", F.lit("ok")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            report = written(scan(changed), "report")
         except Exception as e:  # noqa: BLE001  the upload must go on
-            unknown = files.select("project_id").distinct()
-            cols = [F.lit(None).cast("boolean").alias("has_pii"), F.lit(0).cast("bigint").alias("n_placeholders"), F.lit(0).cast("bigint").alias("n_sources"), F.lit("unknown").alias("risk")]
-            times = [F.lit(now).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(f"prescan_failed: {type(e).__name__}").alias("status")]
-            unknown.select("project_id", *cols, *times).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            report = unknown_risk(changed, now, type(e).__name__)
+        write_artifacts(report.join(prints, "project_id").withColumn("batch", F.lit(number).cast("long")), target, "reports")
 
-    stream = spark.readStream.schema(FILES).parquet(source)
+    stream = spark.readStream.schema(UPLOADS)
+    stream = (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(source)
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("project_id", "filename", "file_type", "text")]
+    # the event time is that of arrival: nothing is late, however old a file is
+    stream = stream.select(*text, "uploaded_at", F.current_timestamp().alias("seen_at")).withColumn("digest", F.sha2("text", 256)).withWatermark("seen_at", f"{int(hours * 3600)} seconds")
+    stream = stream.groupBy("project_id", "filename").applyInPandasWithState(_changed(hours), NEWS, "digest string", "append", "EventTimeTimeout")
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

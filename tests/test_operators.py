@@ -119,8 +119,8 @@ def test_stream_equals_batch_and_runs_once(spark):
     spark.createDataFrame([("p", "a.txt", "txt", TEXT, None, None, None), ("q", "b.txt", "txt", "none", None, None, None)], rec).write.parquet(f"{top}/in")
     for _ in range(2):
         uploads.stream_upload_pipeline(spark, f"{top}/in", f"{top}/out", f"{top}/ck", "2024-06-01 00:00:00").awaitTermination()
-    got = {r.project_id: r for r in spark.read.parquet(f"{top}/out").collect()}
-    assert got["p"].has_pii and not got["q"].has_pii and len(os.listdir(f"{top}/out")) == 1
+    got = {r.project_id: r for r in spark.read.parquet(f"{top}/out/reports").collect()}
+    assert got["p"].has_pii and not got["q"].has_pii and len(got) == 2 and {r.batch for r in got.values()} == {0}
 
 
 def test_expiry(spark):

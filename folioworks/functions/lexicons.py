@@ -67,3 +67,74 @@ PARSER_PRIORITY = {"structured": 95, "multi_source_assembly": 85, "project_prese
 HEADINGS = ("задачи проекта", "этапы работы", "схема обработки данных", "результаты проекта", "перспектива развития")
 # The words that this project's test tables hold, for queries over them.
 SAMPLE_DOMAINS = {"licensing": ("license", "mit ", "apache", "gnu"), "secrets": ("token", "password", "akia"), "trends": ("trend", "rag", "llm"), "contact": ("@", "example.com", "+1 (")}
+
+# Words that speak for the profile of a record, in order of precedence.
+PROFILES = {
+    "medical": ("medical", "clinical", "patient", "hospital", "diagnosis", "медиц", "клиник", "пациент"),
+    "education": ("education", "learning", "course", "student", "обучен", "курс", "студент", "учеб"),
+    "ai_research": ("ai", "ml", "model", "research", "llm", "neural", "исследован", "модель", "нейро"),
+    "analytics": ("analytics", "dashboard", "metrics", "kpi", "аналит", "дашборд", "метрик", "отчет"),
+    "enterprise": ("enterprise", "corporate", "organization", "корпорат", "предприят", "организац"),
+    "neuro": ("neuro", "brain", "eeg", "нейро", "мозг"),
+    "fintech": ("fintech", "bank", "payment", "finance", "финтех", "банк", "платеж"),
+    "infrastructure": ("infrastructure", "cloud", "devops", "kubernetes", "инфраструктур", "облак"),
+    "cybersecurity": ("security", "cyber", "compliance", "audit", "безопасност", "кибер", "комплаенс"),
+}
+# Archetypes of systems, the domain each needs (None: any) and its words.
+ARCHETYPES = {
+    "AI Copilot": ("medical_ai", ("copilot", "assistant", "врач", "doctor", "physician", "real-time")),
+    "RAG Knowledge Assistant": ("rag_system", ("rag", "retrieval", "knowledge base", "vector", "embedding")),
+    "Multi-Agent Orchestrator": ("multi_agent_system", ("orchestrator", "multi-agent", "planner", "critic", "agent")),
+    "Analytics Dashboard": ("analytics_platform", ("dashboard", "analytics", "kpi", "visualization", "clustering")),
+    "Decision Support System": ("medical_ai", ("decision support", "clinical audit", "second opinion", "diagnosis", "диагноз")),
+    "Workflow Automation Platform": (None, ("workflow", "automation", "pipeline", "orchestration")),
+    "Document Processing Pipeline": ("document_ai", ("docx", "pdf", "document", "extraction", "ocr")),
+    "Realtime Speech Pipeline": ("speech_ai", ("whisper", "stt", "diarization", "transcript", "audio")),
+    "CV Diagnostic Assistant": ("computer_vision", ("yolo", "detection", "image", "bbox", "segmentation")),
+    "Learning Platform": ("education_ai", ("lesson", "tutor", "student", "cefr", "learning path", "course")),
+    "Recommendation Engine": (None, ("recommendation", "scoring", "personalized", "planning", "vitacalc")),
+}
+# Patterns of architectures, their words and the block that they stand for; and what a domain adds.
+PATTERNS = {
+    "ingestion pipeline": ("ingestion", "upload", "extract", "parse", "etl"),
+    "RAG pipeline": ("rag", "retrieval", "embedding", "vector", "qdrant"),
+    "multi-agent orchestration": ("agent", "orchestrator", "planner", "crew"),
+    "event-driven architecture": ("kafka", "event", "pubsub", "queue", "rabbitmq"),
+    "real-time streaming": ("websocket", "stream", "real-time", "realtime", "live"),
+    "human-in-the-loop": ("human-in-the-loop", "physician", "review", "audit", "validation"),
+    "privacy-first architecture": ("pii", "privacy", "mask", "redact", "gdpr", "hipaa"),
+    "microservices": ("microservice", "kubernetes", "docker", "service mesh"),
+    "monolith MVP": ("monolith", "mvp", "fastapi", "single service"),
+    "API gateway": ("gateway", "api gateway", "nginx", "kong"),
+    "async worker pipeline": ("celery", "worker", "async", "background job", "redis queue"),
+    "vector search": ("vector", "embedding", "similarity search", "qdrant", "faiss"),
+    "semantic enrichment": ("semantic", "enrichment", "nlp", "llm enrich"),
+    "clinical decision support": ("clinical", "diagnosis", "decision support", "cdss"),
+    "scoring engine": ("scoring", "score", "ranking", "classifier"),
+    "recommendation engine": ("recommend", "personalized", "planning"),
+}
+PATTERN_BLOCKS = {
+    "stack": ("ingestion pipeline", "event-driven architecture", "privacy-first architecture", "microservices", "monolith MVP", "API gateway", "async worker pipeline", "vector search"),
+    "architecture": ("RAG pipeline", "real-time streaming"),
+    "modules": ("multi-agent orchestration",),
+    "tasks": ("human-in-the-loop", "semantic enrichment"),
+    "results": ("clinical decision support", "scoring engine", "recommendation engine"),
+}
+PATTERN_BOOSTS = {("RAG pipeline", "rag_system"): (0.08, 0.95), ("real-time streaming", "speech_ai"): (0.06, 0.92)}
+# The sections of a page by profile, its layout and its style.
+SECTION_PLANS = {
+    "medical": ("essence", "architecture", "compliance", "pipeline", "metrics", "validation", "stack", "team", "roadmap"),
+    "education": ("essence", "learning_flow", "system", "modules", "metrics", "stack", "team", "roadmap"),
+    "analytics": ("essence", "dashboards", "pipeline", "ingestion", "orchestration", "metrics", "stack", "roadmap"),
+    "ai_research": ("problem", "system", "architecture", "modules", "metrics", "validation", "stack", "team", "roadmap"),
+    "cybersecurity": ("essence", "architecture", "compliance", "pipeline", "metrics", "stack", "team", "roadmap"),
+}
+SECTION_PLAN = ("problem", "system", "architecture", "modules", "metrics", "stack", "team", "roadmap")
+LAYOUTS = {
+    "medical": "architecture_first", "education": "research_report", "analytics": "dashboard", "ai_research": "technical_system", "enterprise": "enterprise_overview", "cybersecurity": "architecture_first",
+    "infrastructure": "technical_system", "fintech": "enterprise_overview", "neuro": "research_report", "general": "architecture_first",
+}
+STYLES = {
+    "medical": "medical", "education": "education", "analytics": "analytics", "ai_research": "ai_research", "neuro": "ai_research", "enterprise": "enterprise", "fintech": "enterprise", "infrastructure": "enterprise",
+    "cybersecurity": "enterprise", "general": "enterprise",
+}

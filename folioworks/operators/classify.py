@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import team_words as tw
-from folioworks.functions.lexicons import DOMAINS, SOURCE_TYPES
+from folioworks.functions.lexicons import ARCHETYPES, DOMAINS, LAYOUTS, PATTERN_BOOSTS, PATTERNS, PROFILES, SECTION_PLAN, SECTION_PLANS, SOURCE_TYPES, STYLES
 from folioworks.functions.text import let, squeeze, strip
 
 
@@ -107,10 +107,19 @@ def user_projects(projects: DataFrame, technical: str = r"(?iU)\b(test|smoke|dem
     return projects.where(~F.coalesce("name", F.lit("")).rlike(technical) & (F.col("n_files") > 0))
 
 
-def classify_profile(texts: DataFrame, lexicon: dict[str, tuple[str, ...]], text: str = "text", other: str = "general") -> DataFrame:
-    """CLS-8: the one profile with most hits, first in the lexicon's order on ties."""
-    best = let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: F.get(_ranked(keyword_hits(t, lexicon)), 0))
-    return texts.withColumn("__b", best).withColumn("profile", F.coalesce(F.col("__b")["key"], F.lit(other))).withColumn("hits", F.coalesce(F.col("__b")["hits"], F.lit(0))).drop("__b")
+def classify_profile(texts: DataFrame, lexicon: dict[str, tuple[str, ...]] = PROFILES, text: str = "text", other: str = "general") -> DataFrame:
+    """CLS-8: the one profile with most hits, first in the lexicon's order on ties, with hits, a confidence and the first eight marks of all profiles.
+
+    0.45 and half of the share of the best among all hits, at most 0.95; 0.4 without marks, 0.3 without a text.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    out = texts.withColumn("__h", let(low, lambda t: keyword_hits(t, lexicon))).withColumn("__b", F.get(_ranked(F.col("__h")), 0))
+    total = F.aggregate("__h", F.lit(0), lambda a, h: a + h["hits"])
+    conf = F.when(F.col("__b").isNotNull(), F.least(F.lit(0.95), F.lit(0.45) + F.col("__b")["hits"] / total * 0.5)).when(strip(low) == "", 0.3).otherwise(0.4)
+    marks = F.slice(F.flatten(F.transform("__h", lambda h: F.transform(h["markers"], lambda m: F.concat(h["key"], F.lit(":"), m)))), 1, 8)
+    signals = F.when(F.col("__b").isNotNull(), marks).when(strip(low) == "", F.array(F.lit("empty_contract"))).otherwise(F.array(F.lit("no_domain_signals")))
+    out = out.withColumns({"profile": F.coalesce(F.col("__b")["key"], F.lit(other)), "hits": F.coalesce(F.col("__b")["hits"], F.lit(0)), "profile_confidence": F.round(conf, 6), "signals": signals})
+    return out.drop("__b", "__h")
 
 
 def _scored(hits: Column, confidence, top: int) -> Column:
@@ -119,7 +128,7 @@ def _scored(hits: Column, confidence, top: int) -> Column:
     return F.transform(F.slice(F.array_sort(some), 1, top), lambda h: F.struct(h["key"].alias("key"), F.round(-h["neg"], 6).alias("confidence"), F.slice(h["markers"], 1, 5).alias("evidence")))
 
 
-def detect_archetypes(classified: DataFrame, rules: dict[str, tuple[str | None, tuple[str, ...]]], text: str = "text", top: int = 3) -> DataFrame:
+def detect_archetypes(classified: DataFrame, rules: dict[str, tuple[str | None, tuple[str, ...]]] = ARCHETYPES, text: str = "text", top: int = 3) -> DataFrame:
     """CLS-9: archetypes of texts that CLS-7 has classified.
 
     ``rules`` gives each archetype the domain it needs (None: any) and its words.  0.5
@@ -134,26 +143,41 @@ def detect_archetypes(classified: DataFrame, rules: dict[str, tuple[str | None,
     return classified.withColumn("__h", hits).withColumn("archetypes", _scored(F.filter("__h", fits), conf, top)).drop("__h")
 
 
-def detect_patterns(classified: DataFrame, rules: dict[str, tuple[str, ...]], boosts: dict[tuple[str, str], float] | None = None, text: str = "text", top: int = 10) -> DataFrame:
-    """CLS-10: patterns by their words: 0.48 and 0.1 for each, at most 0.9; ``boosts`` adds for (pattern, primary domain), at most 0.95."""
-    add = F.lit(0.0)
+#: what parts a list of tasks into modules
+TASK_ENDS = r"[\n;,]+"
+
+
+def detect_patterns(classified: DataFrame, rules: dict[str, tuple[str, ...]] = PATTERNS, boosts: dict[tuple[str, str], float | tuple[float, float]] = PATTERN_BOOSTS, text: str = "text", top: int = 10, tasks: str | None = None) -> DataFrame:  # noqa: B006
+    """CLS-10: patterns by their words: 0.48 and 0.1 for each, at most 0.9; ``boosts`` adds for (pattern, primary domain), up to a most of its own (0.95).
+
+    With ``tasks``, the column of a record's tasks, every pattern has the first five of them
+    that hold one of its words, as related.
+    """
     base = lambda h: F.least(F.lit(0.9), F.lit(0.48) + 0.1 * h["hits"])
 
     def conf(h):
-        extra = add
+        out = base(h)
         for (pattern, domain), more in (boosts or {}).items():
-            extra = F.when((h["key"] == pattern) & (F.col("primary_domain") == domain), more).otherwise(extra)
-        return F.when(extra > 0, F.least(F.lit(0.95), base(h) + extra)).otherwise(base(h))
+            add, most = more if isinstance(more, tuple) else (more, 0.95)
+            out = F.when((h["key"] == pattern) & (F.col("primary_domain") == domain), F.least(F.lit(most), base(h) + add)).otherwise(out)
+        return out
 
     hits = let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda t: keyword_hits(t, rules))
-    return classified.withColumn("__h", hits).withColumn("patterns", _scored(F.col("__h"), conf, top)).drop("__h")
+    out = classified.withColumn("__h", hits).withColumn("patterns", _scored(F.col("__h"), conf, top)).drop("__h")
+    if tasks is None:
+        return out
+    words = F.create_map(*[x for k, ws in rules.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in ws]))])
+    parts = F.filter(F.transform(F.split(F.coalesce(tasks, F.lit("")), TASK_ENDS), lambda x: F.regexp_replace(x, r"^[ \-–—•]+|[ \-–—•]+$", "")), lambda x: (F.length(x) > 2) & (F.length(x) <= 80))
+    related = lambda p: F.slice(F.filter("__t", lambda x: F.exists(words[p["key"]], lambda w: F.contains(F.lower(x), w))), 1, 5)
+    return out.withColumn("__t", parts).withColumn("patterns", F.transform("patterns", lambda p: F.struct(p["key"].alias("key"), p["confidence"].alias("confidence"), p["evidence"].alias("evidence"), related(p).alias("related")))).drop("__t")
 
 
-def plan_sections(domains: DataFrame, plan: dict[str, tuple[str, ...]], default: tuple[str, ...], domain: str = "primary_domain") -> DataFrame:
-    """CLS-11: one row for each planned section of a project, in order; domains without a plan get the default."""
+def plan_sections(domains: DataFrame, plan: dict[str, tuple[str, ...]] = SECTION_PLANS, default: tuple[str, ...] = SECTION_PLAN, domain: str = "primary_domain") -> DataFrame:
+    """CLS-11: one row for each planned section of a project, in order, with the page's layout and style; domains without a plan get the default."""
     lists = F.create_map(*[x for k, v in plan.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     rows = F.coalesce(lists[F.col(domain)], F.array(*[F.lit(s) for s in default]))
-    return domains.select(*domains.columns, F.posexplode(rows).alias("section_ord", "section"))
+    of = lambda m, other: F.coalesce(F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(domain)], F.lit(other))
+    return domains.select(*domains.columns, of(LAYOUTS, LAYOUTS["general"]).alias("layout"), of(STYLES, STYLES["general"]).alias("style"), F.posexplode(rows).alias("section_ord", "section"))
 
 
 def classify_visual(items: DataFrame, lexicon: dict[str, tuple[str, ...]], text: str = "text") -> DataFrame:

@@ -66,6 +66,39 @@ def _(spark, sf):
     return classify.plan_sections(o, plan, ("essence", "metrics")).select("project_id", "section_ord", "section")
 
 
+def _found(words, text="t"):
+    return " + ".join(f"contains({text}, '{w}')::INT" for w in words)
+
+
+_PROFILE = {k: f"({_found(w)})" for k, w in lx.PROFILES.items()}
+_MOST = "greatest(" + ", ".join(_PROFILE) + ")"
+
+
+@query("cls_08_profiles", f"""WITH {{FILES}}, h AS (SELECT file_ord, t, {", ".join(f"{x} AS {k}" for k, x in _PROFILE.items())} FROM (SELECT file_ord, lower(coalesce(text, '')) AS t FROM files))
+  SELECT file_ord, CASE WHEN {_MOST} = 0 THEN 'general' {" ".join(f"WHEN {k} = {_MOST} THEN '{k}'" for k in _PROFILE)} END AS profile, round(CASE WHEN {_MOST} > 0 THEN least(0.95::DOUBLE, 0.45::DOUBLE + {_MOST}::DOUBLE / ({" + ".join(_PROFILE)})::DOUBLE * 0.5::DOUBLE) WHEN trim(t) = '' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END, 6) AS confidence FROM h""")
+def _(spark, sf):
+    return classify.classify_profile(files(spark, sf)).select("file_ord", "profile", F.col("profile_confidence").alias("confidence"))
+
+
+@query("cls_10_default_patterns", f"""WITH {{FILES}}, t AS (SELECT file_ord, lower(coalesce(text, '')) AS t, contains(lower(coalesce(text, '')), 'rag') AS rag FROM files),
+  h AS ({" UNION ALL ".join(f"SELECT file_ord, {i} AS o, '{k}' AS key, ({_found(w)}) AS hits, rag FROM t" for i, (k, w) in enumerate(lx.PATTERNS.items()))}),
+  c AS (SELECT file_ord, o, key, round(CASE WHEN key = 'RAG pipeline' AND rag THEN least(0.95::DOUBLE, least(0.9::DOUBLE, 0.48::DOUBLE + 0.1::DOUBLE * hits) + 0.08::DOUBLE) ELSE least(0.9::DOUBLE, 0.48::DOUBLE + 0.1::DOUBLE * hits) END, 6) AS confidence FROM h WHERE hits > 0)
+  SELECT file_ord, key, confidence FROM (SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY confidence DESC, o) AS n FROM c) WHERE n <= 10""")
+def _(spark, sf):
+    f = files(spark, sf).withColumn("primary_domain", F.when(F.lower("text").contains("rag"), "rag_system").otherwise("general"))
+    return classify.detect_patterns(f).select("file_ord", F.explode("patterns").alias("p")).select("file_ord", "p.key", "p.confidence")
+
+
+@query("cls_09_default_archetypes", f"""WITH {{FILES}}, t AS (SELECT file_ord, lower(coalesce(text, '')) AS t, ['rag_system', 'analytics_platform', 'document_ai', 'speech_ai'][file_ord % 4 + 1] AS d, ['medical_ai', 'education_ai'][file_ord % 2 + 1] AS s FROM files),
+  h AS ({" UNION ALL ".join(f"SELECT file_ord, {i} AS o, '{k}' AS key, ({_found(w)}) AS hits, d = '{n or ''}' AS own, '{n or ''}' IN ('', d, s) AS fits FROM t" for i, (k, (n, w)) in enumerate(lx.ARCHETYPES.items()))}),
+  c AS (SELECT file_ord, o, key, round(CASE WHEN own THEN least(0.95::DOUBLE, least(0.92::DOUBLE, 0.5::DOUBLE + 0.12::DOUBLE * hits) + 0.1::DOUBLE) ELSE least(0.92::DOUBLE, 0.5::DOUBLE + 0.12::DOUBLE * hits) END, 6) AS confidence FROM h WHERE hits > 0 AND fits)
+  SELECT file_ord, key, confidence FROM (SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY confidence DESC, o) AS n FROM c) WHERE n <= 3""")
+def _(spark, sf):
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("file_ord") % len(v) + 1).cast("int"))
+    f = files(spark, sf).withColumn("primary_domain", pick("rag_system", "analytics_platform", "document_ai", "speech_ai")).withColumn("secondary", F.array(pick("medical_ai", "education_ai")))
+    return classify.detect_archetypes(f).select("file_ord", F.explode("archetypes").alias("a")).select("file_ord", "a.key", "a.confidence")
+
+
 @query("cls_12_classify_visual")
 def _(spark, sf):
     items = files(spark, sf).withColumn("image_count", (F.col("file_ord") % 3).cast("int"))

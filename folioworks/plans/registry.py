@@ -356,7 +356,7 @@ def candidates(spark, sf):
 
 
 _CAND = """c AS (SELECT source AS project_id, doc_id AS cand_ord, 's' || doc_id AS source_id, [95, 85, 70, 40][doc_id % 4 + 1] AS p, [100, 70, 60, 30][(doc_id // 4) % 4 + 1] AS r,
-  ['title', 'tasks', 'client'][doc_id % 3 + 1] AS field, left(text, 200) AS value FROM documents),
+  ['title', 'tasks', 'client'][doc_id % 3 + 1] AS field, text AS value FROM documents),
   k AS (SELECT *, round(least(p::DOUBLE / 100.0::DOUBLE + 0.3::DOUBLE * r / 100.0::DOUBLE, 1.0::DOUBLE), 3) AS confidence, p + r AS priority FROM c WHERE trim(value) <> '')"""
 
 

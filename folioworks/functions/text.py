@@ -124,6 +124,11 @@ def hash16(col: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(col, 256), 1, digits)
 
 
+def candidate_id(name: Column, filename: Column) -> Column:
+    """TXT-17: the id of a person of a file, the same whenever it is found again; nulls count as empty."""
+    return hash16(F.concat(F.lower(strip(F.coalesce(name, F.lit("")))), F.lit("|"), F.coalesce(filename, F.lit(""))))
+
+
 def normalize_person(col: Column) -> Column:
     """TXT-18."""
     return F.regexp_replace(F.translate(F.lower(strip(col)), "ё", "е"), r"(?U)\s+", " ")

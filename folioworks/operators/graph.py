@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as tx
+from folioworks.operators.occurrences import occurring
 
 
 def contract_corpus(blocks: DataFrame) -> DataFrame:
@@ -21,8 +22,27 @@ def grounded(label: Column, corpus: Column) -> Column:
     return F.contains(corpus, low) | ((F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.contains(corpus, w))) * 2 >= F.size(words)))
 
 
+def ground_labels(labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """KG-2 for many labels: (project_id, slug, label) with grounded, against the blocks of their project.
+
+    Labels and their words are looked for once each, wherever they stand in the project's
+    blocks; no label meets a whole corpus.  A null or empty label is not grounded.
+    """
+    low = F.lower(tx.strip(F.coalesce("label", F.lit(""))))
+    words = F.filter(F.split(low, r"(?U)[^\w]+"), lambda w: F.length(w) > 2)
+    rows = labels.select("project_id", "slug", "label", low.alias("whole"), words.alias("words"))
+    asked = rows.select("project_id", F.explode(F.array_union(F.array("whole"), "words")).alias("needle")).where("needle != ''").distinct()
+    text = F.lower(F.coalesce("content", F.lit("")))
+    found = occurring(blocks.select("project_id", F.col("block_ord").cast("long").alias("file_ord"), text.alias("text")), asked).select("project_id", "needle").distinct()
+    parts = rows.select("project_id", "slug", "label", "whole", F.size("words").alias("n"), F.explode(F.concat(F.array("whole"), "words")).alias("needle"))
+    seen = parts.join(found.withColumn("there", F.lit(True)), ["project_id", "needle"], "left")
+    # the whole label stands first among its needles; a word may equal it
+    sums = seen.groupBy("project_id", "slug", "label", "n").agg(F.count_if(F.col("there")).alias("hits"), F.bool_or(F.coalesce("there", F.lit(False)) & (F.col("needle") == F.col("whole"))).alias("direct"))
+    return sums.select("project_id", "slug", "label", (F.col("direct") | ((F.col("n") > 0) & (F.col("hits") * 2 >= F.col("n")))).alias("grounded"))
+
+
 def extract_entities(blocks: DataFrame, types: dict[str, str], top: int = 120) -> DataFrame:
-    """KG-3: labels of blocks that are grounded, by slug, first wins, surest first, at most ``top``."""
+    """KG-3: labels of blocks, by slug, first wins, surest first, at most ``top``.  A label is a piece of its block, so all of them are grounded; labels from elsewhere go through ``ground_labels``."""
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in types.items() for x in kv])[F.col("block_key")], F.lit("concept"))
     rows = blocks.select("project_id", "block_ord", kind.alias("type"), F.posexplode(tx.label_tokens(F.col("content"))).alias("k", "label"))
     rows = rows.withColumn("slug", tx.slugify(F.col("label"))).withColumn("confidence", F.when(F.col("type") == "concept", 0.75).otherwise(0.82))

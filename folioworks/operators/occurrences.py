@@ -12,9 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FOUND = "project_id string, file_ord long, needle string"
-
-
 def _in_texts(texts: pd.DataFrame, needles: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a text and a string that stands in it, each once."""
     automaton = ahocorasick.Automaton()
@@ -31,7 +28,8 @@ def occurring(texts: DataFrame, needles: DataFrame, text: str = "text", bucket:
     ``needles`` is (project_id, needle).  Null and empty strings and texts meet nothing.
     ``bucket`` strings and ``chars`` characters (or one longer text) meet in a group, about.
     """
-    n = needles.select("project_id", "needle").where("needle != '' and project_id is not null").distinct()
+    kind = {f.name: f.dataType.simpleString() for f in texts.schema}
+    n = needles.select(F.col("project_id").cast(kind["project_id"]).alias("project_id"), "needle").where("needle != '' and project_id is not null").distinct()
     t = texts.select("project_id", "file_ord", F.col(text).alias("text")).where("text != ''")
     buckets = n.groupBy("project_id").agg(F.ceil(F.count("*") / bucket).alias("buckets"))
     salts = t.groupBy("project_id").agg(F.ceil(F.sum(F.length("text")) / chars).alias("salts"))
@@ -41,9 +39,9 @@ def occurring(texts: DataFrame, needles: DataFrame, text: str = "text", bucket:
     at = t.join(sizes, "project_id").withColumn("salt", F.pmod(F.xxhash64("file_ord"), F.col("salts"))).withColumn("bucket", every("buckets")).select("project_id", "bucket", "salt", "file_ord", "text")
     keys = ("project_id", "bucket", "salt")
     put = put.select(*[F.col(c).alias(c) for c in put.columns])  # columns of its own, where both sides come from one table
-    none = pd.DataFrame({"project_id": pd.Series(dtype="object"), "file_ord": pd.Series(dtype="int64"), "needle": pd.Series(dtype="object")})
+    found = f"project_id {kind['project_id']}, file_ord {kind['file_ord']}, needle string"
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _in_texts(left, right) if len(left) and len(right) else none
+        return _in_texts(left, right) if len(left) and len(right) else pd.DataFrame([], columns=["project_id", "file_ord", "needle"])
 
-    return at.groupBy(*keys).cogroup(put.groupBy(*keys)).applyInPandas(meet, FOUND).distinct()
+    return at.groupBy(*keys).cogroup(put.groupBy(*keys)).applyInPandas(meet, found).distinct()

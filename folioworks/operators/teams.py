@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import team_words as tw
-from folioworks.functions.text import let, lines_of, strip
+from folioworks.functions.text import clean_ocr_text, let, lines_of, strip
 from folioworks.operators.classify import candidate_reason, person_name_ok, role_ok, team_context
 from folioworks.operators.people import _numbered_letters, sequence_ratio
 from folioworks.operators.segment import split_slides
@@ -217,6 +217,18 @@ def normalize_team_text(files: DataFrame, text: str = "text", roles: dict[str, s
     return files.join(back, ["project_id", "file_ord"], "left").withColumn("normal", F.coalesce("normal", F.lit("")))
 
 
+def merge_ocr_blocks(blocks: DataFrame, text: str = "text") -> DataFrame:
+    """TXT-2: (project_id, file_ord, text): the cleaned blocks of a file in the order of block_ord, a blank line between; a text with marks of a team is repaired (TXT-3).
+
+    Null and blank blocks go; a file of such blocks alone gives no row.
+    """
+    some = blocks.select("project_id", "file_ord", "block_ord", clean_ocr_text(F.col(text)).alias("t")).where("t != ''")
+    merged = some.groupBy("project_id", "file_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+    noisy = F.exists(F.array(*[F.lit(w) for w in tw.NOISY_MARKS]), lambda w: F.contains(F.lower("text"), w))
+    repaired = normalize_team_text(merged.where(noisy)).select("project_id", "file_ord", F.col("normal").alias("text"))
+    return merged.where(~noisy).unionByName(repaired)
+
+
 TRY = "array<struct<rule:string,name:string,role:string>>"
 
 

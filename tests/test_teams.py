@@ -140,3 +140,9 @@ def test_audit(spark):
         ("p", 1): "pptx_team_text_found", ("p", 2): "pptx_team_text_missing", ("p", 3): "empty_pptx_text", ("p", 4): "pptx_team_text_missing", ("q", 1): "possible_image_only_team_slide", ("q", 3): "none", ("s", 1): "empty_pptx_text",
     }
     assert got["p", 1].people == 1 and got["p", 1].ocr_missing and got["q", 3].ocr_missing and (got["p", 1].markers, got["p", 1].team_slides, got["p", 1].slides) == (2, 1, 2)
+
+
+def test_merged_blocks(spark):
+    rows = [("p", 1, 2, "второй  блок"), ("p", 1, 1, " • первый\n\n"), ("p", 1, 3, None), ("p", 2, 1, "Тимлидпроекта"), ("p", 2, 2, "Иван Петров - тимлид"), ("p", 3, 1, "  ")]
+    got = {r.file_ord: r.text for r in teams.merge_ocr_blocks(spark.createDataFrame(rows, "project_id string, file_ord long, block_ord int, text string")).collect()}
+    assert got == {1: "- первый\n\nвторой блок", 2: "Тимлид проекта\nИван Петров — помощник тимлида"}

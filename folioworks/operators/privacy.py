@@ -25,6 +25,7 @@ RULES = (
     ("organization", r"(?i)\b(?:ООО|ОАО|ЗАО|ПАО|АО|ИП|LLC|Inc\.?|Ltd\.?|GmbH|Corp\.?)\s+[«\"]?[А-ЯЁA-Za-z0-9][А-ЯЁA-Za-z0-9\s«»\".-]{2,60}", 0.8),
     ("role_person", r"(?i)(?:главный|ведущий|старший|младший)?\s*(?:врач|эндокринолог|хирург|терапевт|директор|руководитель|менеджер|архитектор|разработчик|аналитик|консультант)\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+)?", 0.82),
 )
+# Medical words, and how names are written.
 MEDICAL = r"(?i)\b(?:диагноз|МКБ[-\s]?\d|пациент|история\s+болезни|глюкоз|инсулин|гипертония|онколог|эндокринолог|аллергия|рецепт|дозировка|лабораторн)\b"
 NAMES = (r"\b[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+){1,2}\b", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}\b")
 # Capitalised words that begin no name, and parts of words that rule a name out.
@@ -32,6 +33,7 @@ NO_NAMES = (
     "Проект", "Задача", "Задачи", "Результат", "Результаты", "Цель", "Цели", "Клиент", "Команда", "Стек", "Вводные", "Выходные", "Landing", "Factory",
     "Microsoft", "Google", "OpenAI", "Python", "FastAPI", "PostgreSQL", "Qwen", "Meditron", "МОНИКИ", "Natasha",
 )
+# Parts of names that are no persons, and words beside a client's name.
 NO_PERSONS = ("openai", "qwen", "meditron", "моники", "владимирского", "microsoft", "google")
 CLIENT_WORDS = ("клиент", "заказчик", "customer", "client", "компания", "организация")
 

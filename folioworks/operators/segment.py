@@ -22,7 +22,7 @@ def split_slides(files: DataFrame) -> DataFrame:
     """SEG-1: parts from ``Slide N:`` headers, with the first line behind the header of more than 3 characters as label."""
     out = _by_header(files, r"^[ \t]*Slide\s+\d+\s*:", "slide")
     body = F.transform(lines_of(F.regexp_replace("text", r"(?i)^\s*Slide\s+\d+\s*:", "")), strip)
-    return out.withColumn("location_label", F.element_at(F.filter(body, lambda x: F.length(x) > 3), 1) if False else F.get(F.filter(body, lambda x: F.length(x) > 3), 0))
+    return out.withColumn("location_label", F.get(F.filter(body, lambda x: F.length(x) > 3), 0))
 
 
 def split_pages(files: DataFrame) -> DataFrame:

@@ -715,10 +715,13 @@ def _(spark, sf):
     return fusion.fused_contract(fusion.fuse_single(fusion.rank_candidates(candidates(spark, sf))), ("title", "client", "tasks"))
 
 
-@query("team_08_public_team", "SELECT c_nationkey AS project_id, min(c_name) AS name FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_nationkey, lower(c_name)")
+@query("team_08_public_team", """SELECT c_nationkey AS project_id, CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 10 = 0 THEN 0 WHEN c_custkey % 5 = 1 THEN 1 ELSE 2 END AS bucket
+  FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 5 = 1 OR c_custkey % 4 = 0""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("item_ord"), F.col("c_custkey").alias("candidate_id"), F.when(F.col("c_custkey") % 2 == 0, "verified").otherwise("rejected").alias("status"), F.lit(0.9).alias("quality"))
-    return people.public_team(c.limit(0), c, c.limit(0).select("project_id", "candidate_id")).select("project_id", "name")
+    key = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name"), key.alias("item_ord"), key.alias("candidate_id"), F.when(key % 2 == 0, "verified").otherwise("rejected").alias("status"), F.when(key % 4 == 0, 0.9).otherwise(0.4).alias("quality"))
+    members = c.where("item_ord % 10 = 0").withColumn("name", F.upper("name"))
+    return people.public_team(members, c, c.where("item_ord % 5 = 1").select("project_id", "candidate_id")).select("project_id", "name", "bucket")
 
 
 @query("team_09_review_summary", "SELECT o_custkey AS project_id, count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus = 'O') = 0 AS can_publish FROM orders GROUP BY o_custkey")

@@ -279,7 +279,7 @@ def nodes(spark, sf):
     labels = b.select("project_id", F.col("block_key").alias("source"), F.posexplode(tx.label_tokens(F.col("content"))).alias("k", "label"), "block_ord")
     labels = labels.select("project_id", (F.col("block_ord") * 100_000 + F.col("k")).alias("label_ord"), "label", "source", F.lit(False).alias("inferred"))
     types = (("frontend", r"\bthe|les|der\b"), ("backend", r"\band|und|des\b"), ("redis", r"\bor|oder|que\b"))
-    return topology.topology_nodes(labels, graph.contract_corpus(b), types)
+    return topology.topology_nodes(labels, b, types)
 
 
 @query("top_01_nodes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import lexicons as lx
 from folioworks.functions import text as tx
-from folioworks.operators import classify, evidence, fusion, graph, measure, people, privacy, segment, teams
+from folioworks.operators import classify, evidence, fusion, graph, measure, people, privacy, segment, teams, topology
 from folioworks.sources import files as src
 from folioworks.streaming import uploads
 
@@ -428,7 +428,7 @@ def entities(spark, sf):
     return graph.extract_entities(blocks(spark, sf), {"user": "module", "assistant": "technology"})
 
 
-KG_RULES = (("module", 8, "technology", 6, "uses"), ("technology", 4, "module", 3, "produces"))
+KG_RULES = (graph.Relation(("module",), ("technology",), "uses", 8, 6), graph.Relation(("technology",), ("module",), "produces", 4, 3))
 
 
 @query("kg_03_entities")
@@ -450,7 +450,8 @@ def _(spark, sf):
 @query("top_03_topology")
 def _(spark, sf):
     e = entities(spark, sf)
-    return graph.topology_summary(e, graph.build_relations(e, KG_RULES))
+    e = e.withColumn("inferred", F.lit(False))
+    return topology.validate_topology(e, graph.build_relations(e, KG_RULES)).withColumn("warnings", joined(F.col("warnings")))
 
 
 @query("kg_07_stale_reports", "WITH c AS (SELECT user_id AS project_id, max(ts) AS updated_at FROM events GROUP BY user_id), r AS (SELECT user_id AS project_id, max(ts) AS report_at FROM events WHERE event_id % 2 = 0 GROUP BY user_id) SELECT c.project_id, updated_at, report_at FROM c LEFT JOIN r USING (project_id) WHERE report_at IS NULL OR report_at < updated_at")
@@ -732,14 +733,14 @@ def _(spark, sf):
 
 @query("kg_02_grounded", """WITH b AS (SELECT conv_id AS project_id, turn AS block_ord, lower(coalesce(text, '')) AS t FROM conversations),
   w AS (SELECT project_id, block_ord, regexp_extract(t, '^[^\\x20\\x09-\\x0D]+') AS first FROM b),
-  l AS (SELECT project_id, block_ord, CASE block_ord % 3 WHEN 0 THEN first || ' zzzz' WHEN 1 THEN first || ' zzzz qqqq' ELSE first END AS label FROM w),
+  l AS (SELECT project_id, block_ord, CASE block_ord % 3 WHEN 0 THEN first || ' zzzz' WHEN 1 THEN 'zzzz qqqq ' || first || ' wwww' ELSE first END AS label FROM w),
   x AS (SELECT *, list_filter(regexp_split_to_array(label, '[^\\p{L}\\p{M}\\p{N}_]+'), lambda v: length(v) > 2) AS words FROM l),
   c AS (SELECT project_id, string_agg(t, chr(10) ORDER BY block_ord) AS corpus FROM b GROUP BY project_id)
-  SELECT project_id, block_ord::VARCHAR AS slug, label <> '' AND contains(corpus, label) OR (len(words) > 0 AND 2 * len(list_filter(words, lambda v: contains(corpus, v))) >= len(words)) AS grounded FROM x JOIN c USING (project_id)""")
+  SELECT project_id, block_ord::VARCHAR AS slug, length(label) >= 3 AND (contains(corpus, label) OR (len(words) > 0 AND len(list_filter(words, lambda v: contains(corpus, v))) >= greatest(1, len(words) // 2))) AS grounded FROM x JOIN c USING (project_id)""")
 def _(spark, sf):
     b = blocks(spark, sf)
     first = F.regexp_extract(F.lower("content"), r"^[^\x20\x09-\x0D]+", 0)
-    label = F.when(F.col("block_ord") % 3 == 0, F.concat(first, F.lit(" zzzz"))).when(F.col("block_ord") % 3 == 1, F.concat(first, F.lit(" zzzz qqqq"))).otherwise(first)
+    label = F.when(F.col("block_ord") % 3 == 0, F.concat(first, F.lit(" zzzz"))).when(F.col("block_ord") % 3 == 1, F.concat(F.lit("zzzz qqqq "), first, F.lit(" wwww"))).otherwise(first)
     labels = b.select("project_id", F.col("block_ord").cast("string").alias("slug"), label.alias("label"))
     return graph.ground_labels(labels, b).select("project_id", "slug", "grounded")
 
@@ -767,7 +768,7 @@ def _(spark, sf):
     return measure.metric_cards(o)
 
 
-from folioworks.plans import flow_plans, more, team_plans  # noqa: E402, F401  (register further queries)
+from folioworks.plans import flow_plans, graph_plans, more, team_plans  # noqa: E402, F401  (register further queries)
 
 
 def queries() -> dict:

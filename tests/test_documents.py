@@ -130,8 +130,8 @@ def test_placeholders_that_stand_in_a_text_are_no_data(spark):
 def test_architecture_graph(spark):
     rows = [("p", 1, "React UI", "stack", False), ("p", 2, "FastAPI", "stack", False), ("p", 3, "Redis", "stack", False), ("p", 4, "Redis", "tasks", False), ("p", 5, "Data Ingestion", "inputs", True), ("p", 6, "Worker", "tasks", False), ("p", 7, "unheard of", "tasks", False)]
     labels = spark.createDataFrame(rows, "project_id string, label_ord long, label string, source string, inferred boolean")
-    corpus = spark.createDataFrame([("p", "react ui with fastapi, redis and a worker")], "project_id string, corpus string")
-    n = topology.topology_nodes(labels, corpus)
+    blocks = spark.createDataFrame([("p", 0, "React UI with FastAPI,"), ("p", 1, "Redis and a worker")], "project_id string, block_ord int, content string")
+    n = topology.topology_nodes(labels, blocks)
     got = {r.slug: (r.node_type, r.layer, r.inferred, r.sources) for r in n.collect()}
     assert got["redis"] == ("redis", "data", False, ["stack", "tasks"]) and got["data-ingestion"][2] and "unheard-of" not in got
     e = {(r.source, r.target): (r.relation, r.confidence) for r in topology.topology_edges(n).collect()}

@@ -99,7 +99,7 @@ def test_graph_edges_have_both_ends(spark):
     e = graph.extract_entities(b, {"user": "module", "assistant": "technology"})
     slugs = {r.slug for r in e.collect()}
     assert "redis" in slugs
-    rel = graph.validate_graph(e, graph.build_relations(e, (("module", 8, "technology", 6, "uses"),))).collect()
+    rel = graph.validate_graph(e, graph.build_relations(e, (graph.Relation(("module",), ("technology",), "uses", 8, 6),))).collect()
     assert rel and all(r.source in slugs and r.target in slugs and r.source != r.target for r in rel)
 
 

@@ -88,3 +88,13 @@ def test_fingerprint_in_two_levels(spark):
     assert first == sha(f"p\n{outer}")[:24] == uploads.fingerprints(df.repartition(7), 5).first().fingerprint
     changed = df.withColumn("text", F.when(F.col("file_ord") == 7, "other").otherwise(F.col("text")))
     assert uploads.fingerprints(changed, 5).first().fingerprint != first
+
+
+def test_many_small_projects_share_groups(spark):
+    # ids that differ behind a NUL only are different projects
+    name = lambda c: F.concat(F.lit("p\x00"), c.cast("string"))
+    texts = spark.range(120).select(name(F.col("id") % 40).alias("project_id"), F.col("id").alias("file_ord"), F.concat(F.lit("has "), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    needles = spark.range(40).select(name(F.col("id")).alias("project_id"), F.explode(F.array(F.col("id").cast("string"), (F.col("id") + 80).cast("string"), F.lit("none"))).alias("needle"))
+    plain = sorted((f"p\x00{i % 40}", i, n) for i in range(120) for n in {str(i % 40), str(i % 40 + 80)} if n in f"has {i}.")
+    for bucket, chars in ((20_000, 1 << 23), (20, 200), (2, 1 << 23)):
+        assert sorted(tuple(r) for r in occurrences.occurring(texts, needles, bucket=bucket, chars=chars).collect()) == plain

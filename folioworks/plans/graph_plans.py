@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioworks.functions import text as tx
 from folioworks.operators import graph, measure, topology
 from folioworks.plans.registry import joined, query, table
+from folioworks.sources.scratch import written
 
 KINDS = ("project", "module", "pipeline", "technology", "llm", "database", "output", "data_source", "metric")
 
@@ -191,7 +192,7 @@ def architecture(spark, sf):
     kind = F.when(F.col("rank") == 0, "inputs").when((F.col("rank") == 4) & (F.col("project_id") % 2 == 0), "outputs").otherwise("tasks")
     blocks = c.where("rank % 4 = 0").select("project_id", F.col("rank").alias("block_ord"), kind.alias("block_key"), F.col("label").alias("content"), F.array().cast("array<string>").alias("bullets"))
     labels = c.select("project_id", F.col("rank").cast("long").alias("label_ord"), "label", F.lit("tasks").alias("source"), (F.col("rank") % 10 == 9).alias("inferred")).unionByName(topology.pipeline_anchors(blocks))
-    nodes = topology.topology_nodes(labels, blocks)
+    nodes = written(topology.topology_nodes(labels, blocks), "nodes")  # read by every kind of edge
     links = c.where("rank in (0, 13, 24, 36)").select("project_id", F.col("rank").alias("link_ord"), F.upper("label").alias("label"), F.split(pick(WORDS, (F.col("rank") + 5) % 12), " ")[0].alias("connection"))
     slug = tx.slugify(F.col("label"), 48, "node")
     ends = c.select("project_id", F.col("rank").alias("to"), slug.alias("target"))

@@ -12,7 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ STATS = 14
 BINS = 24
 DIM = WORD_DIM + STATS * BINS + STATS
 SYMBOL = re.compile(r"[#*$%&^~<>{}\[\]\\|=_]")
+STEP = 128  # rows whose features are there at once
 UPPER_WORD = re.compile(r"\b[^\W\d_a-z]{2,}\b")
 
 
@@ -129,12 +130,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, held_out: i
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "label")
 
     def extract(batches):
-        for pdf in batches:
-            rows = [features(t, None if pd.isna(n) else n) for t, n in zip(pdf.text, pdf.n_chars, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "label": pdf.label, "at": [r[0] for r in rows], "x": [r[1] for r in rows]})
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP):
+                part = whole.slice(a, STEP)
+                rows = [features(t, n) for t, n in zip(part["text"].to_pylist(), part["n_chars"].to_pylist(), strict=True)]
+                at, x, starts = ragged(rows)
+                ends = pa.array(np.append(starts, len(at)).astype("int32"))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype("int32"), x)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], *lists], names=["doc_id", "label", "at", "x"])
 
     # at most max_train rows are broadcast and come back
-    sample = docs.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id").mapInPandas(extract, "doc_id long, label int, at array<int>, x array<double>")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars").join(F.broadcast(picked.withColumn("label", F.col("label").cast("int"))), "doc_id").mapInArrow(extract, "doc_id long, label int, at array<int>, x array<double>")
     got = sample.dropDuplicates(["doc_id"]).toArrow().combine_chunks()
     machine = FactorMachine()
     label = got["label"].to_numpy()
@@ -163,14 +169,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     """
     docs = with_n_chars(docs)
     machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))  # DIM x (k + 1) numbers
-    base = docs.select(*keep, F.coalesce(bucket(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("text").alias("__text"), F.col("n_chars").alias("__n"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if not f.name.startswith("__")]
+    own = {"text": "__text", "n_chars": "__n"}  # what is kept anyway does not go to Python twice
+    more = [F.col(c).alias(own[c]) for c in own if c not in keep]
+    base = docs.select(*keep, F.coalesce(bucket(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), *more)
+    text_at, n_at = [base.columns.index(c if c in keep else own[c]) for c in own]
+    given = [f for f in base.schema if f.name not in own.values()]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given]
 
     def run(batches):
         fm = machine.value
-        for pdf in batches:
-            text, n = pdf.pop("__text"), pdf.pop("__n")
-            score = np.concatenate([np.zeros(0)] + [fm.score([features(t, None if pd.isna(k) else k) for t, k in zip(text[a : a + 128], n[a : a + 128], strict=True)]) for a in range(0, len(text), 128)])
-            yield pdf.assign(score=score, predicted=(score >= threshold).astype("int32"))
-
-    return base.mapInPandas(run, ", ".join([*fields, "score double", "predicted int"]))
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP):
+                part = whole.slice(a, STEP)
+                score = fm.score([features(t, n) for t, n in zip(part.column(text_at).to_pylist(), part.column(n_at).to_pylist(), strict=True)])
+                columns = [*part.columns[: len(given)], pa.array(score), pa.array((score >= threshold).astype("int32"))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[: len(given)], "score", "predicted"])
+
+    return base.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))

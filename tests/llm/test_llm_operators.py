@@ -245,6 +245,16 @@ def test_pii_rules_are_the_plain_patterns(alphabet):
         assert pii.base_spans(t) == [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, t) if pii.passes(k, m.group())]
 
 
+def test_quality_sends_a_kept_text_to_python_once(spark, docs):
+    labels = spark.createDataFrame([(0, 1, 0), (2, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    own, kept = quality.score_documents(docs, labels), quality.score_documents(docs, labels, keep=("doc_id", "text", "n_chars"))
+    assert "__text" in own._jdf.queryExecution().toString() and "__text" not in kept._jdf.queryExecution().toString()
+    key = lambda r: (str(r.doc_id), r.score, r.held_out, r.predicted)
+    assert sorted(map(key, own.collect())) == sorted(map(key, kept.collect()))
+    assert sorted((str(r.doc_id), r.text or "", r.n_chars is None) for r in kept.collect()) == sorted((str(r.doc_id), r.text or "", r.n_chars is None) for r in docs.collect())
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (2, 1, 0), (8, 0, 0), (9, 1, 0), (9, 0, 0), (None, 1, 0), (12, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_documents(docs, labels).collect()

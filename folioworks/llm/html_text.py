@@ -128,12 +128,12 @@ def lines(page: str) -> tuple[list[str], list[int], list[int]]:
     return text, weight, where
 
 
-def main_text(page: str | None, window: int = 3, least: float = 0.0) -> str:
+def main_text(page: str | None, window: int = 3) -> str:
     """The blocks between a surge and its dive, joined by empty lines.
 
     A block of mostly links outside of articles starts or ends no run (a bare menu),
-    but stays between two blocks of text.  Runs that weigh less than ``least`` of the
-    heaviest go, unless they are in an article; by default all stay, equal ones too.
+    but stays between two blocks of text.  No run goes for its weight: a short closing
+    paragraph is text as well.
     """
     if not page:
         return ""
@@ -151,11 +151,10 @@ def main_text(page: str | None, window: int = 3, least: float = 0.0) -> str:
             start = None
         if start is None and s > 0 and not gap_here:
             start = i  # surge
-    heavy = max([float(w[a:b].sum()) for a, b in runs], default=0.0)
     kept = []
     for a, b in runs:
         own = np.nonzero(w[a:b])[0] + a
-        if len(own) and (art[a] or w[a:b].sum() >= least * heavy):
+        if len(own):
             kept += text[own[0] : own[-1] + 1]
     return "\n\n".join(kept)
 

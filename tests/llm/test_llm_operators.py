@@ -245,6 +245,15 @@ def test_pii_rules_are_the_plain_patterns(alphabet):
         assert pii.base_spans(t) == [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, t) if pii.passes(k, m.group())]
 
 
+def test_html_has_no_switch_that_drops_light_runs():
+    a, b = words(71, 60), words(72, 60)
+    menu = "".join(f"<div><a href=x>{w}</a></div>" for w in "one two three four".split())  # nothing but its links marks it
+    page = f"<body>{menu}<p>{a}</p>{menu}<p>{b}</p>{menu}<p>The end.</p></body>"
+    assert html_text.main_text(page) == f"{a}\n\n{b}\n\nThe end." and "two" in html_text.lines(page)[0]
+    with pytest.raises(TypeError):
+        html_text.main_text(page, least=0.2)
+
+
 def test_quality_sends_a_kept_text_to_python_once(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0), (2, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))

@@ -96,13 +96,17 @@ def _block_keys():
 
 def _lists(hashed: DataFrame, scratch: Scratch) -> DataFrame:
     """(list, v): lines that share a key with another line; lists of the same lines once."""
-    keys = hashed.select(F.explode(F.filter(F.array(*_block_keys(), "e0", "e1", "e2", "e3"), lambda x: x.isNotNull())).alias("list"), "v")
-    # most keys are of one line: they go by a count before anything else moves
-    shared = keys.groupBy("list").agg(F.count("*").alias("all")).where("all > 1").select("list")
-    lists = scratch.save(keys.join(shared, "list"))
+    parts, blocks = [], _block_keys()
+    # keys of different blocks, and of starts and ends, are never equal: some at a time, so that the shuffles of few are on disk together
+    for some in (blocks[:3], blocks[3:], ["e0", "e2"], ["e1", "e3"]):
+        keys = hashed.select(F.explode(F.filter(F.array(*some), lambda x: x.isNotNull())).alias("list"), "v")
+        # most keys are of one line: they go by a count before anything else moves
+        shared = keys.groupBy("list").agg(F.count("*").alias("all")).where("all > 1").select("list")
+        parts.append(scratch.save(keys.join(shared, "list")))
+    lists = reduce(DataFrame.unionByName, parts)
     named = lists.groupBy("list").agg(F.count("*").alias("all"), F.sum(F.shiftright(F.xxhash64("v"), 20)).alias("sum"), F.bit_xor(F.xxhash64("v", F.lit(3))).alias("name"))
     once = scratch.save(lists.join(named.groupBy("all", "sum", "name").agg(F.min("list").alias("list")).select("list"), "list"))
-    scratch.drop(lists)
+    scratch.drop(*parts)
     return once
 
 
@@ -164,7 +168,8 @@ def mark_lines(rows: DataFrame, scratch: Scratch, text: str = "text", similarity
     """(__id, __row, gone): the numbers of the lines that go, for each row of ``rows`` that loses any."""
     base = rows.where(F.col(text).isNotNull()).select(F.col("__id").alias("id"), F.col("__row").alias("row"), normalised(F.col(text)).alias("lines"))
     occ = base.select("id", "row", F.posexplode(F.split("lines", "\n")).alias("pos", "norm")).select("id", "row", "pos", F.trim("norm").alias("norm")).where("norm != ''")
-    occ = scratch.save(occ.select("id", "row", "pos", F.xxhash64("norm").alias("v"), F.xxhash64("norm", F.lit(7)).alias("h2"), "norm"))
+    # not written: the lines are most of the input once more, and are cut from it again where they are read
+    occ = occ.select("id", "row", "pos", F.xxhash64("norm").alias("v"), F.xxhash64("norm", F.lit(7)).alias("h2"), "norm")
     hashed = scratch.save(_hashed(occ, similarity))
     lists = _lists(hashed, scratch)
     hubs = lists.groupBy("list").agg(F.min("v").alias("m0"), F.count("*").alias("all"), *[F.min_by("v", F.xxhash64("v", F.lit(k))).alias(f"m{k}") for k in range(1, HUBS)])

@@ -313,6 +313,24 @@ def test_hash_of_a_line_does_not_depend_on_its_repeats(spark):
     assert (many[0].id, many[0].row, many[0].pos, many[0].times, once[0].times) == (0, 0, 2, 300_000, 1)
 
 
+def test_line_texts_are_written_only_to_be_compared(spark, monkeypatch):
+    saved, save = [], line_dedup.Scratch.save
+
+    def watch(self, df, by=None):
+        out = save(self, df, by)
+        saved.append(out.count() if "norm" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", watch)
+    docs = spark.createDataFrame([(i, "\n".join(words(100 * i + j, 30) for j in range(3))) for i in range(5)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).collect()
+    assert {(r.n_lines, r.n_removed) for r in got} == {(3, 0)} and sum(saved) == 0
+    near = docs.unionByName(docs.where("doc_id = 4").selectExpr("doc_id + 1 AS doc_id", "concat(text, 'x') AS text"))
+    saved.clear()
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(near).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 3}
+    assert 0 < sum(saved) <= 4
+
+
 def test_lines_that_differ_in_one_place_are_found_however_short(spark):
     r, texts = random.Random(5), []
     for i in range(90):

@@ -342,6 +342,18 @@ def test_lines_that_differ_in_one_place_are_found_however_short(spark):
     assert {x.doc_id for x in got} == {2 * i + 1 for i in range(90)}
 
 
+def test_lines_that_differ_in_four_places_are_found(spark):
+    r, texts = random.Random(6), []
+    for i in range(60):
+        a = words(2000 + i, 80).split(" ")
+        b = list(a)
+        for k in range(4):
+            b[20 * k + r.randrange(5, 15)] = f"other{k}"
+        texts += [" ".join(a), " ".join(b)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 1").select("doc_id").collect()
+    assert {x.doc_id for x in got} <= {2 * i + 1 for i in range(60)} and len(got) >= 48, len(got)
+
+
 def test_language_model_learns_from_every_training_document(spark):
     # a text that no draw of one in 16 by its hash takes, without a start on a few documents
     texts = spark.createDataFrame([(words(s, 60),) for s in range(40, 48)], "text string")

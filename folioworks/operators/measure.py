@@ -16,13 +16,19 @@ GENERIC_TITLES = ("проект", "презентация", "слайд", "landi
 
 
 def impact_metrics(texts: DataFrame, units: dict[str, str], text: str = "text") -> DataFrame:
-    """MET-1: number and unit pairs; the largest number of each label, 3 at least."""
+    """MET-1: number and unit pairs; the largest number of each label, 3 at least.
+
+    Numbers of any length are compared by their digits.  ``digits`` is the largest one as
+    written, without blanks and leading zeros; ``value`` is the same as a bigint, null where that cannot hold it.
+    """
     number, unit = r"(\d[\d  ]*\d|\d)\+?\s*(", "|".join(units)
     pattern = F.lit("(?i)" + number + unit + ")")
     rows = texts.select("project_id", F.explode(F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("n"), F.regexp_extract_all(text, pattern, 2).alias("u"))).alias("m"))
     label = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])[F.lower("m.u")]
-    value = F.regexp_replace("m.n", "[  ]", "").cast("long")
-    return rows.select("project_id", label.alias("label"), value.alias("value")).where("value >= 3").groupBy("project_id", "label").agg(F.max("value").alias("value"))
+    digits = F.regexp_replace(F.regexp_replace("m.n", "[  ]", ""), "^0+(?=.)", "")
+    sized = F.struct(F.length("digits").alias("n"), "digits")  # of equal length, digits sort as their numbers
+    largest = rows.select("project_id", label.alias("label"), digits.alias("digits")).where("length(digits) > 1 OR digits >= '3'").groupBy("project_id", "label").agg(F.max(sized)["digits"].alias("digits"))
+    return largest.withColumn("value", F.col("digits").try_cast("long")).select("project_id", "label", "value", "digits")
 
 
 def engine_scores(runs: DataFrame) -> DataFrame:

@@ -466,7 +466,7 @@ def _(spark, sf):
 
 @query("met_01_impact_metrics", "WITH {FILES}, m AS (SELECT project_id, unnest(regexp_extract_all(text, '(?i)(\\d[\\d ]*\\d|\\d)\\+?\\s*(version|inha|st|the)', 1)) AS n, unnest(regexp_extract_all(text, '(?i)(\\d[\\d ]*\\d|\\d)\\+?\\s*(version|inha|st|the)', 2)) AS u FROM files) SELECT project_id, lower(u) AS label, max(replace(n, ' ', '')::BIGINT) AS value FROM m WHERE replace(n, ' ', '')::BIGINT >= 3 GROUP BY project_id, lower(u)")
 def _(spark, sf):
-    return measure.impact_metrics(files(spark, sf), {"version": "version", "inha": "inha", "st": "st", "the": "the"})
+    return measure.impact_metrics(files(spark, sf), {"version": "version", "inha": "inha", "st": "st", "the": "the"}).drop("digits")
 
 
 def engine_runs(spark, sf):

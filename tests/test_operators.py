@@ -144,3 +144,9 @@ def test_fusion_sees_whole_texts(spark):
     assert [(r.field, r.n_values) for r in q["fus_09_conflicts"](spark, top).collect()] == [("title", 2)]
     assert "a task far down the list" in {r.item for r in q["fus_05_fuse_lists"](spark, top).collect()}
     assert q["fus_08_fuse_modules"](spark, top).first().description == head
+
+
+def test_impact_metrics_of_numbers_beyond_a_bigint(spark):
+    f = files(spark, "6437 4918187128635271 posts, 9223372036854775807 posts, 007 tests, 2 users", "4918187128635271 posts, 12 tests, 003 days")
+    got = {r.label: (r.value, r.digits) for r in measure.impact_metrics(f, {"post": "posts", "test": "tests", "user": "users", "day": "days"}).collect()}
+    assert got == {"posts": (None, "64374918187128635271"), "tests": (12, "12"), "days": (3, "3")}

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from folioworks.functions.text import normalize_person, strip
 from folioworks.operators.occurrences import occurring
+from folioworks.operators.similar import most_similar
 
 # Endings that point to a misread name.
 ODD_ENDINGS = ("ец", "св", "енда", "аный")
@@ -60,17 +61,18 @@ def _numbered_letters(col: Column) -> Column:
 def best_name_match(candidates: DataFrame, roster: DataFrame, least: float = 0.75) -> DataFrame:
     """TEAM-4: the most similar roster name of the project, first on ties, and its tier.
 
-    Equal names need no comparison.  The others meet the roster inside the project,
-    only where lengths and shared letters allow ``least``.
+    Different names are compared once: equal ones meet by a join, and of the others
+    ``similar.most_similar`` reads only pairs whose bounds allow ``least`` and the best ratio so far.
     """
-    c = candidates.select("project_id", "name", normalize_person(F.col("name")).alias("a")).distinct().withColumn("la", _numbered_letters(F.col("a")))
-    r = roster.select("project_id", "roster_ord", F.col("name").alias("trusted"), normalize_person(F.col("name")).alias("b")).withColumn("lb", _numbered_letters(F.col("b")))
-    la, lb = F.length("a"), F.length("b")
-    # 2 min / (la + lb) bounds the ratio from above; so does twice the number of letters they share, each as often as both have it
-    pairs = c.join(r, "project_id").where(2.0 * F.least(la, lb) / (la + lb) >= least)
-    alike = F.size(F.array_intersect("la", "lb"))
-    pairs = pairs.where((F.col("a") == F.col("b")) | (2.0 * alike / (la + lb) >= least)).drop("la", "lb")
-    best = pairs.withColumn("score", sequence_ratio("a", "b")).where(F.col("score") >= least).groupBy("project_id", "name").agg(F.max(F.struct("score", (-F.col("roster_ord")).alias("o"), "trusted")).alias("m"))
+    c = candidates.select("project_id", "name", normalize_person(F.col("name")).alias("a")).distinct().where("a is not null and project_id is not null")
+    r = roster.groupBy("project_id", normalize_person(F.col("name")).alias("b")).agg(F.max(F.struct((-F.col("roster_ord")).alias("o"), F.col("name").alias("trusted"))).alias("first"))
+    r = r.where("b is not null and project_id is not null")
+    own = c.select("project_id", "a").distinct()
+    equal = own.join(r.withColumnRenamed("b", "a"), ["project_id", "a"]).select("project_id", "a", F.struct(F.lit(1.0).alias("score"), "first.o", "first.trusted").alias("m"))
+    other = own.join(r.select("project_id", F.col("b").alias("a")), ["project_id", "a"], "left_anti")
+    near = most_similar(other, r.select("project_id", "b", "first.o"), least).join(r, ["project_id", "b"])
+    near = near.groupBy("project_id", "a").agg(F.max(F.struct("score", "first.o", "first.trusted")).alias("m"))
+    best = c.join(equal.unionByName(near), ["project_id", "a"]).select("project_id", "name", "m")
     out = candidates.join(best, ["project_id", "name"], "left").withColumn("score", F.col("m.score")).withColumn("trusted", F.col("m.trusted")).drop("m")
     tier = F.when(F.col("score") >= 1, "exact").when(F.round("score", 3) >= 0.88, "strong_fuzzy").when(F.round("score", 3) >= 0.75, "weak_fuzzy").otherwise("no_match")
     return out.withColumn("tier", tier)

@@ -77,7 +77,7 @@ class _Search:
             rows = np.flatnonzero(self.a.codes[:, k] >= 0)
             masks[rows, self.a.codes[rows, k] % BUCKETS] |= np.uint64(1 << k)
         self.masks = masks.reshape(-1)
-        self.letters = np.where(self.b.codes >= 0, self.b.codes % BUCKETS, BUCKETS)
+        self.letters = np.where(self.b.codes >= 0, self.b.codes % BUCKETS, BUCKETS).astype(np.int16)
 
     def bounds(self, i: np.ndarray, j: np.ndarray, known: np.ndarray | float = 1.0) -> np.ndarray:
         """The ratio's bound by the longest common subsequence; ``known`` for pairs with a long string."""

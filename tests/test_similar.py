@@ -52,3 +52,13 @@ def test_parts_of_a_project_and_empty_names(spark):
     c = spark.createDataFrame([("p", ""), ("p", "anna"), ("p", None)], "project_id string, name string")
     r = spark.createDataFrame([("p", " ", 1), ("p", None, 2), ("p", "Anna", 4), ("p", "ANNA", 3)], "project_id string, name string, roster_ord int")
     assert {(x.name, x.tier, x.trusted) for x in people.best_name_match(c, r).collect()} == {("", "exact", " "), ("anna", "exact", "ANNA"), (None, "no_match", None)}
+
+
+def test_copies_in_a_roster_are_one_name(spark):
+    c = spark.range(300).select(F.lit(1).alias("project_id"), F.format_string("Customer#%09d", F.col("id") * 7).alias("name"))
+    r = spark.range(60_000).select(F.lit(1).alias("project_id"), F.format_string("Customer#%09d", F.col("id") % 20 * 7 + 1).alias("name"), F.col("id").alias("roster_ord"))
+    plan = people.best_name_match(c, r)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [x for x in plan.splitlines() if "Join " in x and "a#" in x and "b#" in x]
+    assert all(x.count(" = ") >= 2 for x in pairs)  # names meet by equality, never by their project alone
+    got = {x.name: x.trusted for x in people.best_name_match(c, r).where("score >= 0.9").collect()}
+    assert got["Customer#000000000"] == "Customer#000000001" and got["Customer#000000007"] == "Customer#000000001"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import text as tx
 from folioworks.functions.lexicons import HEADINGS, PARSER_PRIORITY, ROLE_PRIORITY
+from folioworks.sources.scratch import written
 
 
 def _map(m: dict, key: Column, default) -> Column:
@@ -21,8 +22,8 @@ def field_candidates(rows: DataFrame) -> DataFrame:
     return rows.where(F.trim(F.coalesce("value", F.lit(""))) != "").withColumn("confidence", conf).withColumn("priority", p + r)
 
 
-def rank_candidates(candidates: DataFrame) -> DataFrame:
-    """FUS-2: the weighted score of a field, falling, first come first on ties."""
+def score_candidates(candidates: DataFrame) -> DataFrame:
+    """FUS-2 without its rank: the weighted score of a field."""
     r, p, c = _map(ROLE_PRIORITY, F.col("source_role"), 30) / 100.0, _map(PARSER_PRIORITY, F.col("parser_mode"), 40) / 100.0, F.col("confidence")
     n = F.col("n_items")
     score = (
@@ -31,8 +32,12 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
         .when(F.col("field") == "modules", F.when(F.col("source_role").isin("module_presentation", "supporting_presentation"), 0.85 + 0.1 * c).otherwise(0.5 * c + 0.3 * p + 0.2 * r))
         .otherwise(0.45 * c + 0.3 * p + 0.15 * r + F.least(0.02 * n, F.lit(0.15)))
     )
-    scored = candidates.withColumn("score", F.round(score, 6))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "field").orderBy(F.desc("score"), "cand_ord")))
+    return candidates.withColumn("score", F.round(score, 6))
+
+
+def rank_candidates(candidates: DataFrame) -> DataFrame:
+    """FUS-2: the weighted score of a field, falling, first come first on ties."""
+    return score_candidates(candidates).withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "field").orderBy(F.desc("score"), "cand_ord")))
 
 
 def fuse_single(ranked: DataFrame, generic: tuple[str, ...] = ("project", "проект", "untitled")) -> DataFrame:
@@ -84,17 +89,26 @@ def fusion_decisions(ranked: DataFrame) -> DataFrame:
     )
 
 
-def fuse_text(ranked: DataFrame, least: int = 80, most: int = 1500) -> DataFrame:
-    """FUS-4: the longest text of ``least`` characters or more, plus up to two new sentences of each other, cut at ``most``."""
-    w = Window.partitionBy("project_id").orderBy((F.length("value") >= least).desc(), F.desc(F.length("value")), "rank")
-    rows = ranked.withColumn("o", F.row_number().over(w))
-    base = rows.where("o = 1").select("project_id", F.col("value").alias("base"))
-    parts = F.filter(F.transform(F.split("value", r"\. "), tx.strip), lambda x: F.length(x) > 20)
-    more = rows.where("o > 1").select("project_id", "rank", F.posexplode(parts).alias("k", "s")).join(base, "project_id")
-    more = more.where(~F.contains(F.lower("base"), F.lower("s"))).withColumn("key", tx.text_key(F.col("s")))
-    first = more.withColumn("f", F.row_number().over(Window.partitionBy("project_id", "key").orderBy("rank", "k"))).where("f = 1")
-    two = first.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "rank").orderBy("k"))).where("n <= 2")
-    extra = two.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "k", "s"))), lambda x: x["s"]).alias("e"))
+def fuse_text(candidates: DataFrame, least: int = 80, most: int = 1500) -> DataFrame:
+    """FUS-4: the longest text of ``least`` characters or more, plus up to two new sentences of each other, cut at ``most``.
+
+    ``candidates`` are ranked (rank) or only scored (score, cand_ord): then no project is sorted,
+    and of one score and cand_ord a hash of the text decides.  A longest text of ``most`` characters fills
+    the result, so sentences are looked for in the other projects alone; there every text is
+    shorter than ``most``, and so many sentences as fill the rest are put together.
+    """
+    rank = F.col("rank") if "rank" in candidates.columns else F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))), "cand_ord", F.xxhash64("value"))
+    rows = candidates.select("project_id", "value", F.coalesce(F.length("value"), F.lit(-1)).alias("n"), rank.alias("rank"))
+    longest = F.min(F.struct(F.col("n") < least, -F.col("n"), "rank", F.substring("value", 1, most).alias("base"), "n")).alias("m")
+    base = written(rows.groupBy("project_id").agg(longest).select("project_id", "m.base", "m.rank", "m.n"), "bases")
+    open_ = written(base.where(F.col("n") < most).select("project_id", "base", F.col("rank").alias("own")), "open-bases")
+    parts = F.filter(F.transform(F.split("value", r"\. "), tx.strip), lambda x: (F.length(x) > 20) & ~F.contains(F.lower("base"), F.lower(x)))
+    more = rows.where(F.col("n") < most).join(open_, "project_id").where(F.col("rank") != F.col("own")).select("project_id", "rank", F.posexplode(parts).alias("k", "s"))
+    first = more.groupBy("project_id", tx.text_key(F.col("s")).alias("key")).agg(F.min(F.struct("rank", "k", "s")).alias("m")).select("project_id", "m.*")
+    two = first.withColumn("o", F.row_number().over(Window.partitionBy("project_id", "rank").orderBy("k"))).where("o <= 2").drop("o")
+    # every sentence has more than 20 characters
+    enough = two.withColumn("o", F.row_number().over(Window.partitionBy("project_id").orderBy("rank", "k"))).where(F.col("o") <= most // 21 + 1)
+    extra = enough.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "s"))), lambda x: x["s"]).alias("e"))
     out = base.join(extra, "project_id", "left")
     return out.select("project_id", F.substring(F.concat_ws(" ", "base", F.array_join("e", ". ")), 1, most).alias("value"))
 

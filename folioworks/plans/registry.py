@@ -702,7 +702,7 @@ def _(spark, sf):
 
 @query("fus_04_fuse_text")
 def _(spark, sf):
-    return fusion.fuse_text(fusion.rank_candidates(candidates(spark, sf)).where("field = 'tasks'"))
+    return fusion.fuse_text(fusion.score_candidates(candidates(spark, sf).where("field = 'tasks'")))
 
 
 @query("fus_08_fuse_modules")

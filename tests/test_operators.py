@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as tx
@@ -150,3 +151,27 @@ def test_impact_metrics_of_numbers_beyond_a_bigint(spark):
     f = files(spark, "6437 4918187128635271 posts, 9223372036854775807 posts, 007 tests, 2 users", "4918187128635271 posts, 12 tests, 003 days")
     got = {r.label: (r.value, r.digits) for r in measure.impact_metrics(f, {"post": "posts", "test": "tests", "user": "users", "day": "days"}).collect()}
     assert got == {"posts": (None, "64374918187128635271"), "tests": (12, "12"), "days": (3, "3")}
+
+
+def test_fused_text_sorts_no_project_and_is_the_same(spark):
+    head = "A text that is the longest one of its project. It says a good deal of things here" + " and there" * 9
+    tail = " and so on" * 150
+    rows = [
+        ("p", 1, 0.9, head), ("p", 2, 0.5, "A sentence nobody else has. IT SAYS A GOOD DEAL of things here. Another new sentence. Third new sentence here"), ("p", 2, 0.5, "Third new sentence here. And one more of its own"),
+        ("p", 3, 0.7, "another  New sentence. too short"), ("p", 4, 0.1, None), ("q", 1, 0.1, head + tail), ("q", 2, 0.9, "Something new that finds no place"), ("r", 1, 0.1, "short"), ("s", 1, 0.1, None),
+    ]
+    c = spark.createDataFrame(rows, "project_id string, cand_ord long, score double, value string").withColumn("field", F.lit("tasks"))
+    got = {r.project_id: r.value for r in fusion.fuse_text(c.repartition(3)).collect()}
+    mine = head + " another  New sentence. "
+    assert got["q"] == (head + tail)[:1500] and got["r"] == "short" and got["s"] == ""
+    # of the two texts of one score and cand_ord either may be first
+    assert got["p"] in (mine + "A sentence nobody else has. Third new sentence here. And one more of its own", mine + "Third new sentence here. And one more of its own. A sentence nobody else has")
+    ranked = c.where("value is not null and cand_ord != 2").withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("score"), "cand_ord")))
+    assert {r.project_id: r.value for r in fusion.fuse_text(ranked).collect()} == {"p": head + " another  New sentence", "q": (head + tail)[:1500], "r": "short"}
+
+
+def test_many_sentences_fill_a_text(spark):
+    rows = [("p", i, 1.0 - i / 1000, f"sentence number {i:03} is new. another one is {i:03} too") for i in range(200)]
+    c = spark.createDataFrame(rows, "project_id string, cand_ord long, score double, value string")
+    want = rows[0][3] + " " + ". ".join(r[3] for r in rows[1:])
+    assert fusion.fuse_text(c.repartition(5)).first().value == want[:1500]

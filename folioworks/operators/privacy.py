@@ -49,6 +49,8 @@ def find_spans(rules=RULES, names: bool = True, medical: bool = True):
         out = []
         row = lambda kind, s, conf, a, b, k: out.append({"type": kind, "original": s, "confidence": conf, "start": a, "end": b, "rule_ord": k})
         for k, (kind, p, conf) in enumerate(compiled):
+            if p.pattern == RULES[0][1] and "@" not in text:  # no match of this pattern is without one
+                continue
             for m in p.finditer(text):
                 s = m.group(0).strip()
                 if len(s) >= 3 or kind == "email":

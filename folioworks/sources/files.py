@@ -99,8 +99,8 @@ def _bucket(project_id, buckets: int):
 def write_artifacts(df: DataFrame, path: str, kind: str, buckets: int = 64, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """SNK-1: the records of a kind, by bucket of their project; a record replaces that of the same ``keys``, the others stay.
 
-    Only buckets with new records are read and written again, each whole, so writing
-    twice leaves the same table; of equal keys in ``df`` one row stays.  A column that only
+    Only buckets with new records are read and written again, each whole (a large one by
+    several tasks), so writing twice leaves the same table; of equal keys in ``df`` one row stays.  A column that only
     the older records have is null in new ones, and the other way round.  Returns what
     was written.  One writer at a time.
     """
@@ -113,7 +113,7 @@ def write_artifacts(df: DataFrame, path: str, kind: str, buckets: int = 64, keys
         known = written(spark.read.option("mergeSchema", "true").parquet(target).where(F.col("bucket").isin(touched)), kind)
         merged = new.unionByName(known.join(new.select(*keys), [*keys], "left_anti"), allowMissingColumns=True)
     if touched:
-        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+        merged.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
     return new.drop("bucket")
 
 

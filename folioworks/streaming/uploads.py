@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,31 +53,47 @@ def unknown_risk(files: DataFrame, now: str, error: str) -> DataFrame:
 NEWS = "project_id string, filename string, file_type string, text string, uploaded_at timestamp"
 
 
+#: one entry of the state: which file, the digest of its last upload, and when that came (milliseconds)
+KNOWN = np.dtype([("file", "V32"), ("digest", "V32"), ("seen", "<i8")])
+
+
 def _changed(hours: float):
-    """For each (project, file name): its last upload, where its content is not that of the state; the state goes ``hours`` after the last upload."""
+    """For each (project, file name) of a part: its last upload, where its content is not that of the state; an entry goes ``hours`` after the last upload."""
+    keep_ms = int(hours * 3_600_000)
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(batches, ignore_index=True)
-        last = rows.sort_values(["uploaded_at", "digest"], na_position="first", kind="stable").iloc[-1:]
-        digest = last.digest.iloc[0]
-        fresh = not (state.exists and state.get[0] == digest)
-        state.update((digest,))
-        state.setTimeoutTimestamp(int(rows.seen_at.max().timestamp() * 1000 + hours * 3_600_000))
-        if fresh:
-            yield last[["project_id", "filename", "file_type", "text", "uploaded_at"]]
+        last, seen = None, 0
+        for rows in batches:
+            seen = max(seen, int(rows.seen.max()))
+            rows = rows if last is None else pd.concat([last, rows], ignore_index=True)
+            last = rows.sort_values(["uploaded_at", "digest"], na_position="first", kind="stable").drop_duplicates("file", keep="last")
+        known = np.frombuffer(state.get[0], KNOWN) if state.exists else np.zeros(0, KNOWN)
+        known = known[known["seen"] + keep_ms > state.getCurrentWatermarkMs()]
+        now = np.zeros(len(last), KNOWN)
+        now["file"], now["digest"], now["seen"] = np.frombuffer(b"".join(last.file), "V32"), np.frombuffer(b"".join(last.digest), "V32"), seen
+        digests = dict(zip(known["file"].tolist(), known["digest"].tolist(), strict=True))
+        files = now["file"].tolist()
+        fresh = [digests.get(f) != d for f, d in zip(files, now["digest"].tolist(), strict=True)]
+        come = set(files)
+        others = known[np.fromiter((f not in come for f in digests), bool, len(known))]
+        state.update((np.concatenate([others, now]).tobytes(),))
+        state.setTimeoutTimestamp(seen + keep_ms)
+        if any(fresh):
+            yield last.loc[fresh, ["project_id", "filename", "file_type", "text", "uploaded_at"]]
 
     return step
 
 
-def stream_upload_pipeline(spark: SparkSession, source: str, target: str, checkpoint: str, now: str, scan: Callable[[DataFrame], DataFrame] | None = None, hours: float = 72, files_per_batch: int | None = None):
+def stream_upload_pipeline(spark: SparkSession, source: str, target: str, checkpoint: str, now: str, scan: Callable[[DataFrame], DataFrame] | None = None, hours: float = 72, files_per_batch: int | None = None, parts: int = 1024):
     """STR-1: the projects of files that are new or changed are scanned again; a failing scan gives an unknown risk and stops nothing.
 
-    Files arrive as parquet in ``source`` (``UPLOADS``).  A keyed state holds the digest of
-    the last upload of each (project, file name), until ``hours`` after it: the same content
-    again gives no row, and a batch of such files writes nothing.  What is new goes to
+    Files arrive as parquet in ``source`` (``UPLOADS``).  A state in ``parts`` parts, dealt out by the
+    hash of (project, file name), holds the digest of the last upload of each file, until
+    ``hours`` after it: the same content again gives no row, and a batch of such files writes
+    nothing.  What is new goes to
     ``target``/files; the projects it belongs to are read back from their buckets, and
     those whose fingerprint no report has are scanned.  Every write replaces records of the
     same key, so a batch that is run twice, or a file that comes back after its state has
@@ -105,6 +122,7 @@ def stream_upload_pipeline(spark: SparkSession, source: str, target: str, checkp
     stream = (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(source)
     text = [F.coalesce(c, F.lit("")).alias(c) for c in ("project_id", "filename", "file_type", "text")]
     # the event time is that of arrival: nothing is late, however old a file is
-    stream = stream.select(*text, "uploaded_at", F.current_timestamp().alias("seen_at")).withColumn("digest", F.sha2("text", 256)).withWatermark("seen_at", f"{int(hours * 3600)} seconds")
-    stream = stream.groupBy("project_id", "filename").applyInPandasWithState(_changed(hours), NEWS, "digest string", "append", "EventTimeTimeout")
+    own = F.unhex(F.sha2(F.concat(F.octet_length("project_id").cast("string"), F.lit(" "), "project_id", "filename"), 256))
+    stream = stream.select(*text, "uploaded_at", F.current_timestamp().alias("seen_at")).withColumns({"seen": F.unix_millis("seen_at"), "digest": F.unhex(F.sha2("text", 256)), "file": own, "part": F.pmod(F.xxhash64("project_id", "filename"), F.lit(parts))})
+    stream = stream.withWatermark("seen_at", f"{int(hours * 3600)} seconds").groupBy("part").applyInPandasWithState(_changed(hours), NEWS, "known binary", "append", "EventTimeTimeout")
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,9 @@
 """Readers, artifacts and the upload stream on small tables."""
 
+import hashlib
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioworks.operators import privacy
@@ -89,3 +91,60 @@ def test_stream_equals_batch_and_skips_what_it_knows(spark, tmp_path):
     whole = kept.withColumn("file_ord", F.col("filename").substr(1, 1).cast("int"))
     want = {r.project_id: (r.n_placeholders, r.n_sources) for r in privacy.pii_report(whole, privacy.privacy_pass(whole, names=False, medical=False), NOW).collect()}
     assert want == {k: v[:2] for k, v in bad.items() if k != "bad"}
+
+
+def test_the_state_of_uploads_is_as_many_rows_as_parts(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "project_id string, filename string, file_type string, text string, uploaded_at timestamp"
+    scan = lambda files: privacy.pii_report(files, privacy.privacy_pass(files, privacy.RULES[:1], names=False, medical=False), NOW).withColumn("status", F.lit("ok"))
+
+    def upload(*rows):
+        spark.createDataFrame([(p, f, "txt", t, None) for p, f, t in rows], schema).write.mode("append").parquet(source)
+        q = uploads.stream_upload_pipeline(spark, source, target, f"{target}/checkpoint", NOW, scan, parts=3)
+        q.awaitTermination()
+        assert {p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]} <= {0, 1, 2, 3}
+        return {r.project_id: (r.n_placeholders, r.batch) for r in src.read_artifacts(spark, target, "reports").collect()}
+
+    files = [(f"p{i % 4}", f"{i}.txt", f"mail a{i}@b.org" if i % 3 else "none") for i in range(40)]
+    # a project and a name that read alike when put together are different files
+    files += [("p1", "1x.txt", "other@b.org"), ("p11", "x.txt", "else@b.org")]
+    first = upload(*files)
+    found = lambda p, rows: sum("@" in t for q, _, t in rows if q == p)
+    assert {p: n for p, (n, _) in first.items()} == {p: found(p, files) for p in ("p0", "p1", "p2", "p3", "p11")}
+    assert upload(*files) == first
+    after = upload(*[(p, f, t) for p, f, t in files if p != "p3"], ("p3", "3.txt", "new@b.org"))
+    assert {p: n for p, (n, _) in after.items() if p != "p3"} == {p: n for p, (n, _) in first.items() if p != "p3"} and after["p3"][0] == first["p3"][0] + 1
+    assert {p for p in first if after[p] != first[p]} == {"p3"}
+
+
+def test_a_part_knows_each_of_its_files():
+    class State:
+        value, timeout, hasTimedOut, mark = None, None, False, 0
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def remove(self):
+            self.value = None
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.timeout = at
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return self.mark
+
+    state, step, hour = State(), uploads._changed(1), 3_600_000
+
+    def come(at, *rows):
+        b = lambda s: hashlib.sha256(s.encode()).digest()
+        chunk = lambda rs: pd.DataFrame([("p", f, "txt", t, pd.Timestamp(u) if u else pd.NaT, at, b(t), b(f)) for f, t, u in rs], columns=["project_id", "filename", "file_type", "text", "uploaded_at", "seen", "digest", "file"])
+        return sorted((r.filename, r.text) for out in step((0,), iter([chunk(rows[:1]), chunk(rows)]), state) for r in out.itertuples())
+
+    assert come(5, ("a", "1", "2024-01-02"), ("a", "2", "2024-01-01"), ("a", "0", None), ("b", "x", None)) == [("a", "1"), ("b", "x")] and state.timeout == 5 + hour
+    assert come(6, ("a", "1", None), ("b", "y", None)) == [("b", "y")] and come(7, ("b", "x", None)) == [("b", "x")] and come(8, ("c", "z", None)) == [("c", "z")]
+    state.mark = 6 + hour  # a's last upload is too long ago, b's and c's are not
+    assert come(9 + hour, ("a", "1", None), ("b", "x", None), ("c", "z", None)) == [("a", "1")]
+    state.hasTimedOut = True
+    assert list(step((0,), iter([]), state)) == [] and not state.exists
